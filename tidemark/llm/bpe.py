@@ -28,12 +28,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_text
 
 SHIFT = 21
-#: Words that a worker remembers; beyond it, it starts anew.
-KNOWN_WORDS = 400_000
+#: Words that a worker remembers (about 200 bytes each); beyond it, it keeps those of few characters, which recur most.
+KNOWN_WORDS = 1_000_000
+SHORT = 8
 #: Texts beyond so many characters are split into words piece by piece.
 LONG_TEXT = 4_000_000
 
 
+def shortened(known: dict[str, bytes], most: int) -> dict[str, bytes]:
+    """The short words of a full table, or none if those alone would fill half of it."""
+    short = {w: x for w, x in known.items() if len(w) <= SHORT}
+    return short if len(short) <= most // 2 else {}
+
+
 class Vocabulary:
     """A rank file: its tokens, and which neighbours merge to which rank."""
 
@@ -146,8 +153,8 @@ class Vocabulary:
     def _look_up(self, split: list[list[str]]) -> list[bytes]:
         if new := set().union(*split).difference(self.known):
             if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known.clear()
-                new = set().union(*split)
+                self.known = shortened(self.known, KNOWN_WORDS)
+                new = set().union(*split).difference(self.known)
             self.learn(new)
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in split]

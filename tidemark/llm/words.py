@@ -14,7 +14,11 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-KNOWN_CHUNKS = 400_000
+from tidemark.llm.bpe import shortened
+
+#: Chunks and words that a worker remembers (about 200 bytes each); beyond it, it keeps the short ones.
+KNOWN_CHUNKS = 1_000_000
+KNOWN_WORDS = 500_000
 #: Characters for which lower-casing, composition and white space are the same everywhere.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 #: Fixed value: the tokenizer file's split pattern.
@@ -42,11 +46,13 @@ class WordIds:
                 self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > KNOWN_CHUNKS:
-            self.chunks.clear()
-            self.words.clear()
         split = {c: MATCH.findall(c) for c in chunks}
-        self._learn_words(list(set().union(*split.values()).difference(self.words)))
+        words = set().union(*split.values())
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > KNOWN_WORDS:
+            self.words = shortened(self.words, KNOWN_WORDS)
+            new = words.difference(self.words)
+        self._learn_words(list(new))
         known = self.words.__getitem__
         self.chunks.update((c, b"".join(map(known, w))) for c, w in split.items())
 
@@ -57,7 +63,8 @@ class WordIds:
         new = set().union(*split).difference(self.chunks)
         if new:
             if len(self.chunks) + len(new) > KNOWN_CHUNKS:
-                new = set().union(*split)
+                self.chunks = shortened(self.chunks, KNOWN_CHUNKS)
+                new = set().union(*split).difference(self.chunks)
             self._learn(new)
         known = self.chunks.__getitem__
         return [
