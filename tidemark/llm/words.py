@@ -8,7 +8,9 @@ special tokens written out) go to the tokenizer whole.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
@@ -17,10 +19,10 @@ from tokenizers import Tokenizer
 from tidemark.llm.bpe import shortened
 
 #: Chunks and words that a worker remembers (about 200 bytes each); beyond it, it keeps the short ones.
-KNOWN_CHUNKS = 1_000_000
-KNOWN_WORDS = 500_000
+KNOWN_CHUNKS = 1_600_000
+KNOWN_WORDS = 700_000
 #: Characters for which lower-casing, composition and white space are the same everywhere.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 #: Fixed value: the tokenizer file's split pattern.
 MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -56,15 +58,17 @@ class WordIds:
         known = self.words.__getitem__
         self.chunks.update((c, b"".join(map(known, w))) for c, w in split.items())
 
+    def _unknown(self, split: list) -> set[str]:
+        return set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without special tokens, as little-endian 32-bit numbers."""
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         split = [t.lower().split() if p else () for t, p in zip(texts, plain, strict=True)]
-        new = set().union(*split).difference(self.chunks)
-        if new:
+        if new := self._unknown(split):
             if len(self.chunks) + len(new) > KNOWN_CHUNKS:
                 self.chunks = shortened(self.chunks, KNOWN_CHUNKS)
-                new = set().union(*split).difference(self.chunks)
+                new = self._unknown(split)
             self._learn(new)
         known = self.chunks.__getitem__
         return [
