@@ -27,20 +27,31 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+def _words(chunk: str) -> list[str]:
+    """The matches in a plain chunk; letters alone, or with one mark after them, need no pattern."""
+    if chunk.isalpha():
+        return [chunk]
+    if chunk[-1] in ".,!?" and chunk[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return MATCH.findall(chunk)
+
+
 class WordIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _learn_words(self, words: list[str]) -> None:
         """Encode many words in one call; each ends with a token that marks the end of a word."""
         if not words:
             return
-        ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
-        flat = np.array(ids, dtype="<u4").tobytes()
-        ends = [0, *(4 * (i + 1) for i, x in enumerate(ids) if x in self.ends)]
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        flat = ids.tobytes()
+        ends = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         if len(ends) == len(words) + 1 and ends[-1] == len(flat):
             self.words.update((w, flat[a:b]) for w, a, b in zip(words, ends, ends[1:]))  # noqa: B905  pairs of neighbours
         else:
@@ -48,7 +59,7 @@ class WordIds:
                 self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        split = {c: MATCH.findall(c) for c in chunks}
+        split = {c: _words(c) for c in chunks}
         words = set().union(*split.values())
         new = words.difference(self.words)
         if len(self.words) + len(new) > KNOWN_WORDS:
