@@ -49,7 +49,7 @@ class WordIds:
         """Encode many words in one call; each ends with a token that marks the end of a word."""
         if not words:
             return
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         flat = ids.tobytes()
         ends = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         if len(ends) == len(words) + 1 and ends[-1] == len(flat):
