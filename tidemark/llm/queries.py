@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, packing, secret_scan
+from tidemark.llm import bpe, jaccard, license_scan, packing, secret_scan, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,80 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+#: verdict, host, path.
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("allow", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
+
+@lru_cache(maxsize=1)
+def url_model() -> tuple[list[int], int]:
+    return url_filter.train(url_filter.labelled_urls())
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_model())
+
+
+def _op6_sql() -> str:
+    weights, bias = url_model()
+    part = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in longest)
+    grams = lambda c: (
+        f"list_transform(range(1, length({c}) + 1), lambda i: (unicode(substr('^' || {c} || '$', i, 1)) * {131 * 131} + "
+        f"unicode(substr('^' || {c} || '$', i + 1, 1)) * 131 + unicode(substr('^' || {c} || '$', i + 2, 1))) % 1024)"
+    )
+    return f"""
+        WITH a AS (SELECT page_id, {part} AS rest FROM pages),
+        b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM a),
+        c AS (SELECT page_id, coalesce(translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                     coalesce(regexp_extract(substr(rest, length(h) + 1), '^[^?#]*'), '') AS path FROM b),
+        d AS (SELECT *, CAST({bias} + coalesce(list_sum(list_transform(list_distinct(list_concat({grams('host')}, {grams('path')})),
+                     lambda i: ({weights})[i + 1])), 0) AS BIGINT) AS model_score FROM c)
+        SELECT page_id, host, path, CASE {rule} END AS rule,
+               CASE {verdict} ELSE CASE WHEN model_score > 0 THEN 'block' ELSE 'allow' END END AS verdict, model_score
+        FROM d"""
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line", "licence", F.round("dice", 6).alias("dice"))
+
+
+def _op7_sql() -> str:
+    t = license_scan.THRESHOLD
+    quoted = lambda words: "[" + ", ".join("'" + w + "'" for w in words) + "]"
+    known = ", ".join(f"('{name}', {quoted(license_scan.bigrams(text))})" for name, text in license_scan.TEMPLATES.items())
+    return f"""
+        WITH templates(licence, own) AS (VALUES {known}),
+        lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents WHERE text IS NOT NULL),
+        units AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS unit FROM lines
+                  UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(l) > 1),
+        words AS (SELECT doc_id, line, string_split(lower(trim(regexp_replace(unit, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM units),
+        pairs AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p
+                  FROM words WHERE len(w) > 1),
+        scored AS (SELECT doc_id, line, licence, 2.0::DOUBLE * len(list_intersect(p, own)) / (len(p) + len(own)) AS dice
+                   FROM pairs JOIN templates ON len(p) * {t} <= len(own) * {2 - t} + 1e-9 AND len(own) * {t} <= len(p) * {2 - t} + 1e-9),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, licence) AS k FROM scored WHERE dice >= {t} - 1e-9)
+        SELECT doc_id, CAST(line AS INTEGER) AS line, licence, round(dice, 6) AS dice FROM best WHERE k = 1"""
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _number(kind: str):
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -52,6 +128,10 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_url_filters": op6_url_filters,
+    "op7_license_scans": op7_license_scans,
+    "op8_token_counts": op8_token_counts,
     "op9_secret_scans": op9_secret_scans,
+    "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": _op6_sql(), "op7_license_scans": _op7_sql()}
