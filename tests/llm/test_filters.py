@@ -1,6 +1,7 @@
 """Operators 6, 7, 8 and 10 on small fixtures, against plain Python."""
 
 import base64
+import random
 import zlib
 
 import numpy as np
@@ -35,10 +36,11 @@ def test_urls(spark):
 
 
 def test_url_model_learns_names():
-    rows = [(u, y) for i, (u, y) in enumerate(url_filter.labelled_urls())]
-    w, b = url_filter.train(rows[::2])
-    right = sum((b + sum(w[i] for i in url_filter.buckets(*url_filter.split(u))) > 0) == bool(y) for u, y in rows[1::2])
-    assert right >= 0.9 * len(rows[1::2])
+    rows = url_filter.labelled_urls()
+    random.Random(1).shuffle(rows)
+    w, b = url_filter.train(rows[:140])
+    right = sum((b + sum(w[i] for i in url_filter.buckets(*url_filter.split(u))) > 0) == bool(y) for u, y in rows[140:])
+    assert right >= 0.9 * len(rows[140:])
 
 
 def brute_dice(text, templates, t):

@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, license_scan, packing, secret_scan, token_counts, toxicity, url_filter
+from tidemark.llm import ann, bpe, jaccard, license_scan, packing, secret_scan, token_counts, toxicity, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0, with_ids=False
@@ -125,6 +133,8 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_vector_dedup": op2_vector_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
