@@ -1,8 +1,53 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: reject toxic texts, keep one of each near-duplicate group, mask
+secrets, pack. Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import jaccard, packing, secret_scan, toxicity
+from tidemark.llm.common import Scratch, maybe_broadcast
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, scores below one half."""
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest id, of each group of similar ones; repeated rows once."""
+    scratch = Scratch(spark)
+    groups = jaccard.join(docs, n=5, percent=80)
+    gone = scratch.table(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    repeated = scratch.table(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    repeated = maybe_broadcast(repeated)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mask."""
+    return secret_scan.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, with_ids=False)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, out, sf_dir)
+        if k < len(STAGES) - 1:
+            out = scratch.table(out)
+    return out
