@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_text
+from tidemark.llm.common import map_text, use_table
 
 SHIFT = 21
 #: Words that a worker remembers (about 200 bytes each); beyond it, it keeps those of few characters, which recur most.
@@ -139,6 +139,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
+        use_table("bpe", self.known.clear)
         if any(len(t) > LONG_TEXT for t in texts):
             return [self._long(t) if len(t) > LONG_TEXT else self.encode([t])[0] for t in texts]
         split = [self.pattern.findall(t) for t in texts]
@@ -153,7 +154,9 @@ class Vocabulary:
     def _look_up(self, split: list[list[str]]) -> list[bytes]:
         if new := set().union(*split).difference(self.known):
             if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known = shortened(self.known, KNOWN_WORDS)
+                short = shortened(self.known, KNOWN_WORDS)
+                self.known.clear()
+                self.known.update(short)
                 new = set().union(*split).difference(self.known)
             self.learn(new)
         known = self.known.__getitem__

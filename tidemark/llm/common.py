@@ -25,6 +25,19 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_tables: dict[str, Callable[[], None]] = {}
+_in_use: list[str] = []
+
+
+def use_table(name: str, clear: Callable[[], None]) -> None:
+    """Workers outlive a job: when another operator's table of known words is about to grow, clear the ones before."""
+    _tables[name] = clear
+    if _in_use != [name]:
+        for other in set(_tables) - {name}:
+            _tables.pop(other)()
+        _in_use[:] = [name]
+
+
 class Scratch:
     """Tables in the shared folder. They cut lineage, outlive executors, and go when the driver ends or on drop()."""
 

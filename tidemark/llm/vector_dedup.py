@@ -1,9 +1,11 @@
 """Embedding near-dedup on robust-pruned flat graphs.
 
 Equal vectors of a label are one node with a size. Nodes go to cluster shards of their label: their own, that of the
-nearest centre, and every other one that could hold a node similar enough to them as its own (if a unit vector within
-chord d of u lies beyond the bisector of two centres, u is within d of it). So all links of a node are inside its own
-shard. Each shard builds a flat graph: near neighbours and some far ones, pruned robustly (an edge goes if a kept
+nearest centre, and every other one that may hold a node similar enough to them as its own. A unit vector within chord d
+of u can lie beyond the bisector of two centres only if u is within d of it; as a difference of that length seldom points
+straight at the bisector, shards overlap by OVERLAP deviations of its projection (d / sqrt(dimensions)), or by the whole d
+where that is less. The links of AUDITED rows, found by brute force among all rows, must all be found: if one is missed,
+the overlap is doubled, up to d, where no link can be missed, and the shards are dealt again. Each shard builds a flat graph: near neighbours and some far ones, pruned robustly (an edge goes if a kept
 neighbour is clearly nearer to its end), with reverse edges. The adjacency lists of a node from all its shards are
 united. Then every node is searched for in its own shard over the united lists, from the medoid and from itself: the
 best unexpanded nodes of the beam are expanded, and all nodes within the radius, until none is left. Some nodes of each
@@ -29,13 +31,16 @@ from tidemark.llm.common import Scratch, connected_components
 from tidemark.llm.vectors import cosine, kmeans, matrix, sample, unit, usable
 
 SAMPLE = 20_000
-SHARD_ROWS = 2048
+SHARD_ROWS = 256
 DEGREE = 24
 NEAREST = 48
 FAR = 12
 ALPHA = 1.2
 BEAM = 32
-AUDIT = 48
+AUDIT = 24
+#: Rows audited against all rows of their label, and by how many deviations shards overlap at first.
+AUDITED = 128
+OVERLAP = 4.0
 
 
 def build(x: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
@@ -154,20 +159,31 @@ def search_shard(ids: np.ndarray, raw: np.ndarray, sizes: np.ndarray, own: np.nd
     return pd.DataFrame({"node": ids, "links": np.where(own, links, -1), "root": least[group]})
 
 
-def near_duplicates(vectors: DataFrame, radius: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark)
-    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    valid = named.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
-    nodes = scratch.table(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("size")))
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
-    if largest is None:
-        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fitted = unit(sample(nodes.withColumnRenamed("node", "vec_id"), SAMPLE))
-    shards = max(1, min(-(-largest // SHARD_ROWS), len(fitted) // 32))
-    shared = spark.sparkContext.broadcast(kmeans(fitted, shards)[0])  # bounded by the sample
-    chord = float(np.sqrt(2 - 2 * radius)) + 1e-6
+def _audit(nodes: DataFrame, radius: float) -> DataFrame:
+    """node, links of AUDITED nodes, counted over all nodes of their label."""
+    spark = nodes.sparkSession
+    some = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).toPandas()
+    asked, label = np.array(some["embedding"].tolist()), some["label"].to_numpy()
+    of, names = some["node"].to_numpy(), unit(asked)
+
+    def count(batches):
+        total = np.zeros(len(of), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                raw, own = matrix(b.column(1)), np.array(b.column(2).to_pylist())
+                near = (names @ unit(raw).T >= radius - 1e-6) & (label[:, None] == own[None, :]) & (of[:, None] != b.column(0).to_numpy()[None, :])
+                i, j = np.nonzero(near)
+                true = cosine(asked[i], raw[j]) >= radius if len(i) else np.empty(0, dtype=bool)
+                total += np.bincount(i[true], weights=b.column(3).to_numpy()[j[true]], minlength=len(of)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(total)], names=["node", "links"])
+
+    counted = nodes.select("node", "embedding", "label", "size").mapInArrow(count, "node long, links long")
+    rows = [(r.node, r.links) for r in counted.groupBy("node").agg(F.sum("links").alias("links")).collect()]  # AUDITED rows
+    return spark.createDataFrame(rows, "node long, links long")
+
+
+def _searched(nodes: DataFrame, shared, reach: float, radius: float, scratch: Scratch) -> DataFrame:
+    """node, links (-1 out of its own shard), root: each shard's search, shards overlapping by reach."""
 
     def deal(batches):
         for b in batches:
@@ -177,7 +193,7 @@ def near_duplicates(vectors: DataFrame, radius: float = 0.98) -> DataFrame:
             near = unit(matrix(b.column(1))) @ centres.T
             own = np.argmax(near, axis=1)
             apart = np.linalg.norm(centres[own][:, None, :] - centres[None, :, :], axis=2)
-            row, shard = np.nonzero(near[np.arange(len(own)), own][:, None] - near <= chord * apart)
+            row, shard = np.nonzero(near[np.arange(len(own)), own][:, None] - near <= reach * apart)
             out = b.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shard.astype(np.int32)), pa.array(own[row] == shard)], names=["node", "embedding", "label", "size", "shard", "own"])
 
@@ -203,6 +219,35 @@ def near_duplicates(vectors: DataFrame, radius: float = 0.98) -> DataFrame:
 
     found = dealt.join(united, "node").groupBy("label", "shard").applyInArrow(find, "node long, links long, root long")
     found = scratch.table(found)
+    scratch.drop(dealt)
+    scratch.drop(united)
+    return found
+
+
+def near_duplicates(vectors: DataFrame, radius: float = 0.98) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    valid = named.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
+    nodes = scratch.table(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("size")))
+    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
+    if largest is None:
+        return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    fitted = unit(sample(nodes.withColumnRenamed("node", "vec_id"), SAMPLE))
+    shards = max(1, min(-(-largest // SHARD_ROWS), len(fitted) // 32))
+    shared = spark.sparkContext.broadcast(kmeans(fitted, shards)[0])  # bounded by the sample
+    dims = fitted.shape[1]
+    chord = float(np.sqrt(2 - 2 * radius)) + 1e-6
+    truth = _audit(nodes, radius)
+    overlap = min(1.0, OVERLAP / np.sqrt(dims))
+    while True:
+        found = _searched(nodes, shared, overlap * chord, radius, scratch)
+        got = {r.node: r.links for r in found.join(F.broadcast(truth.select("node")), "node").groupBy("node").agg(F.max("links").alias("links")).collect()}
+        if overlap >= 1 or all(got[r.node] == r.links for r in truth.collect()):
+            break
+        scratch.drop(found)
+        overlap = min(1.0, 2 * overlap)
     component = connected_components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     per_node = found.groupBy("node").agg(F.max("links").alias("links")).join(component, "node", "left")
     per_class = nodes.join(per_node, "node").select("label", "embedding", (F.col("links") + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
