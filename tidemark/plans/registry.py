@@ -417,3 +417,55 @@ def i9_x6_strategies(spark, d):
     long = df.select("ticker", "date", "r", parts).select("ticker", "date", "r", "x.*")
     net = F.coalesce(F.lag("w").over(W.partitionBy("strategy", "ticker").orderBy("date")), F.lit(0.0)) * F.col("r")
     return long.withColumn("net", net).groupBy("strategy", "ticker").agg(F.count("net").alias("n"), *r6(sharpe=backtest.sharpe(F.col("net")), final=F.product(1 + F.col("net"))))
+
+
+@query()
+def q1_master_table(spark, d):
+    """Daily supervision: volatility path, change points, detectors, override, and the label, in one table."""
+    r = rets(spark, d)
+    sigma = recursions.garch(r.where("r is not null").select("ticker", "date", "r")).select("ticker", "date", "sigma")
+    points = recursions.change_points(bridge.decisions(spark, d).select("ticker", "date", "size"), "size").select("ticker", "date", F.col("cp_prob").alias("psa"))
+    df = labelled(spark, d).join(sigma, ["ticker", "date"], "left_semi").join(sigma, ["ticker", "date"]).join(points, ["ticker", "date"])
+    df = supervision.detect(df).withColumn("psa_severity", supervision.severity(F.col("psa"), supervision.CUTS["psa"]))
+    return supervision.intervene(df, "override", "C").select("ticker", "date", "action", "size", "ram_severity", "psa_severity", "gso_severity", "final_action", "final_size", "was_intervened", "r_next")
+
+
+@query()
+def c3_gate(spark, d):
+    from tidemark.operators import inference
+
+    df = labelled(spark, d).where("r_next is not null and r_next <> 0 and ticker = '1-URGENT'").orderBy("date")
+    right = (F.when(F.col("calm") >= F.col("crisis"), 1.0).otherwise(-1.0) == F.signum("r_next")).cast("double")
+    rows = df.select(F.greatest("calm", "crisis").alias("c"), right.alias("y")).toPandas()  # one ticker's days
+    return spark.createDataFrame([inference.gate(spark, rows["c"].to_numpy(), rows["y"].to_numpy(), 50)], "tau double, tau_point double, low double, high double, identified boolean, share double")
+
+
+@query()
+def t1_t11_tests(spark, d):
+    """Deflated Sharpe, McNemar, TOST, and bootstrap interval of each ticker's net returns."""
+    from tidemark.operators import inference
+
+    stats = ran(spark, d).where("net is not null").groupBy("ticker").agg(F.count("*").alias("n"), F.avg("net").alias("m"), F.stddev_samp("net").alias("s"), F.count_if(F.col("net") > 0).alias("k"))
+    rows = [(r.ticker, inference.deflated_sharpe(r.m / r.s, 10, r.n), inference.mcnemar_p(r.k, r.n - r.k), inference.tost_p(r.m, r.s, r.n, 0.001), *inference.sign_interval(r.k, r.n)) for r in stats.collect()]  # a row a ticker
+    return spark.createDataFrame(rows, "ticker string, deflated double, sign_p double, tost_p double, low double, high double")
+
+
+@query()
+def v6_meta_learner(spark, d):
+    """Out-of-fold probabilities of one ticker's next direction, and the position that they give."""
+    from tidemark.operators import learning
+
+    order = W.partitionBy("ticker").orderBy("date")
+    df = labelled(spark, d).where("r_next is not null and r_next <> 0 and ticker = '1-URGENT'")
+    df = df.withColumns({"row_pos": (F.row_number().over(order) - 1).cast("long"), "label": (F.col("r_next") > 0).cast("double"), "t1": F.coalesce(F.lead("date").over(order), "date")})
+    cut = folds.purged(df.select("row_pos", F.col("date").alias("t0"), "t1"), 4, 1)
+    got = learning.out_of_fold(df, cut, ["size", "confidence", "calm", "stress", "crisis"], "logistic")
+    return got.select("row_pos", "p", F.signum(F.col("p") - 0.5).alias("position"))
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value) + 1e-9, 4) + 0.0 AS total FROM events GROUP BY 1, 2")
+def s1_event_windows(spark, d):
+    from tidemark.streaming import paths
+
+    out = paths.windowed(spark.read.parquet(f"{d}/events.parquet"))
+    return out.select("event_type", F.to_date("window.start").alias("day"), "n", (F.round(F.col("total") + 1e-9, 4) + 0.0).alias("total"))
