@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +39,10 @@ def use_table(name: str, clear: Callable[[], None]) -> None:
         for other in set(_tables) - {name}:
             _tables.pop(other)()
         _in_use[:] = [name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # what was freed goes back to the system, where its library can
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class Scratch:

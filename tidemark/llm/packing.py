@@ -28,15 +28,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import as_lists
 from tidemark.llm.common import Scratch, slices
-from tidemark.llm.words import word_ids
+from tidemark.llm.words import KNOWN, word_ids
 
 SHARD_ROWS = 4096
 #: Fillings that the branch and bound looks at in a shard before it keeps the incumbent.
 BUDGET = 3000
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, shards: int = 1, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids array<int> or ids_crc32, and shard: each document's ids cut into pieces."""
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, shards: int = 1, with_ids: bool = True, remember: int = KNOWN) -> DataFrame:
+    """doc_id, piece, start, length, ids array<int> or ids_crc32, and shard: each document's ids cut into pieces.
+
+    remember: chunks of text whose ids a worker keeps; fewer take less memory and more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 7919 * TaskContext.get().partitionId()
@@ -44,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, sh
             for part in slices(batch, 1):
                 ids, number, start, data = [], [], [], []
                 end = int(end_id).to_bytes(4, "little")
-                encoded = word_ids(path).encode([t or "" for t in part.column(1).to_pylist()])
+                encoded = word_ids(path).encode([t or "" for t in part.column(1).to_pylist()], remember)
                 for doc, x in zip(part.column(0).to_pylist(), encoded, strict=True):
                     x += end
                     for k in range(0, len(x), 4 * capacity):
@@ -211,8 +214,8 @@ def pack(cut: DataFrame, scratch: Scratch, capacity: int = 2048) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, remember: int = KNOWN) -> DataFrame:
     """doc_id, piece, start, length, ids (or ids_crc32), sequence_id, offset: all documents in sequences of `capacity`."""
     scratch = Scratch(docs.sparkSession)
     shards = max(1, -(-docs.count() // SHARD_ROWS))
-    return pack(scratch.table(pieces(docs, path, capacity, end_id, shards, with_ids)), scratch, capacity)
+    return pack(scratch.table(pieces(docs, path, capacity, end_id, shards, with_ids, remember)), scratch, capacity)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_text
+from tidemark.llm.common import map_text, use_table
 
 #: Labelled rows to learn from, and features kept: what is collected is bounded by these.
 SAMPLE = 12_000
@@ -205,6 +205,7 @@ def reject(docs: DataFrame, weights: dict[str, float], threshold: float = 0.5) -
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         table = shared.value
+        use_table("toxicity", lambda: None)
         return texts.map(lambda t: text_score(t, table) < threshold).astype(bool)
 
     return docs.where(clean("text"))

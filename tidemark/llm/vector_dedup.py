@@ -5,7 +5,7 @@ nearest centre, and every other one that may hold a node similar enough to them
 of u can lie beyond the bisector of two centres only if u is within d of it; as a difference of that length seldom points
 straight at the bisector, shards overlap by OVERLAP deviations of its projection (d / sqrt(dimensions)), or by the whole d
 where that is less. The links of AUDITED rows, found by brute force among all rows, must all be found: if one is missed,
-the overlap is doubled, up to d, where no link can be missed, and the shards are dealt again. Each shard builds a flat graph: near neighbours and some far ones, pruned robustly (an edge goes if a kept
+the overlap is widened by a quarter, up to d, where no link can be missed, and the shards are dealt again. Each shard builds a flat graph: near neighbours and some far ones, pruned robustly (an edge goes if a kept
 neighbour is clearly nearer to its end), with reverse edges. The adjacency lists of a node from all its shards are
 united. Then every node is searched for in its own shard over the united lists, from the medoid and from itself: the
 best unexpanded nodes of the beam are expanded, and all nodes within the radius, until none is left. Some nodes of each
@@ -40,7 +40,7 @@ BEAM = 32
 AUDIT = 24
 #: Rows audited against all rows of their label, and by how many deviations shards overlap at first.
 AUDITED = 128
-OVERLAP = 4.0
+OVERLAP = 5.5
 
 
 def build(x: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
@@ -247,7 +247,7 @@ def near_duplicates(vectors: DataFrame, radius: float = 0.98) -> DataFrame:
         if overlap >= 1 or all(got[r.node] == r.links for r in truth.collect()):
             break
         scratch.drop(found)
-        overlap = min(1.0, 2 * overlap)
+        overlap = min(1.0, 1.25 * overlap)
     component = connected_components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     per_node = found.groupBy("node").agg(F.max("links").alias("links")).join(component, "node", "left")
     per_class = nodes.join(per_node, "node").select("label", "embedding", (F.col("links") + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("component"))

@@ -19,9 +19,8 @@ from tokenizers import Tokenizer
 from tidemark.llm.bpe import shortened
 from tidemark.llm.common import use_table
 
-#: Chunks and words that a worker remembers (about 200 bytes each); beyond it, it keeps the short ones.
-KNOWN_CHUNKS = 1_600_000
-KNOWN_WORDS = 700_000
+#: Chunks that a worker remembers, and half as many words (about 200 bytes each); beyond it, it keeps the short ones.
+KNOWN = 1_600_000
 #: Characters for which lower-casing, composition and white space are the same everywhere.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 #: Fixed value: the tokenizer file's split pattern.
@@ -59,12 +58,12 @@ class WordIds:
             for w in words:
                 self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[str], most: int) -> None:
         split = {c: _words(c) for c in chunks}
         words = set().union(*split.values())
         new = words.difference(self.words)
-        if len(self.words) + len(new) > KNOWN_WORDS:
-            self.words = shortened(self.words, KNOWN_WORDS)
+        if len(self.words) + len(new) > most // 2:
+            self.words = shortened(self.words, most // 2)
             new = words.difference(self.words)
         self._learn_words(list(new))
         known = self.words.__getitem__
@@ -77,16 +76,16 @@ class WordIds:
     def _unknown(self, split: list) -> set[str]:
         return set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], most: int = KNOWN) -> list[bytes]:
         """Ids of each text, without special tokens, as little-endian 32-bit numbers."""
         use_table("words", self.clear)
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         split = [t.lower().split() if p else () for t, p in zip(texts, plain, strict=True)]
         if new := self._unknown(split):
-            if len(self.chunks) + len(new) > KNOWN_CHUNKS:
-                self.chunks = shortened(self.chunks, KNOWN_CHUNKS)
+            if len(self.chunks) + len(new) > most:
+                self.chunks = shortened(self.chunks, most)
                 new = self._unknown(split)
-            self._learn(new)
+            self._learn(new, most)
         known = self.chunks.__getitem__
         return [
             b"".join(map(known, s)) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
