@@ -35,8 +35,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, with_ids=False)
+    """Pieces of all documents and their places in sequences of 2048 tokens.
+
+    Workers that have run the stages before hold less memory for known chunks than those of packing alone.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, with_ids=False, remember=250_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]
