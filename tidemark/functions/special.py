@@ -43,6 +43,9 @@ def t_tail(t: float, df: float) -> float:
 
 def binomial_tail(k: int, n: int, p: float = 0.5) -> float:
     """P(X >= k)."""
+    if n > 500 and 0 < p < 1:  # in logarithms, as the coefficients are too large for doubles
+        log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+        return min(1.0, math.fsum(math.exp(log(i)) for i in range(k, n + 1)))
     return min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)))
 
 

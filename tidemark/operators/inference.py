@@ -132,7 +132,7 @@ def logistic_cross(conf: np.ndarray, right: np.ndarray, penalty: float = 1e-6) -
         w += step
         if np.abs(step).max() < 1e-10:
             break
-    tau = -w[0] / w[1] if w[1] > 0 else math.nan
+    tau = float(-w[0] / w[1]) if w[1] > 0 else math.nan
     return tau if 0 < tau < 1 else math.nan
 
 
@@ -153,7 +153,7 @@ def gate(spark, conf: np.ndarray, right: np.ndarray, reps: int = 200) -> dict:
     taus = spark.range(reps).mapInPandas(run, "v double").where(~F.isnan("v"))
     r = taus.agg(F.count("*"), F.percentile("v", F.array(*map(F.lit, (0.025, 0.5, 0.975))))).first()
     share = r[0] / reps
-    found = share > 0.5 and not math.isnan(point)
+    found = bool(share > 0.5 and not math.isnan(point))
     low, mid, high = r[1] or (math.nan,) * 3
     return {"tau": mid if found else math.nan, "tau_point": point, "low": low, "high": high, "identified": found, "share": share}
 
