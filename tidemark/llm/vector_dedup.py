@@ -6,7 +6,7 @@ of u can lie beyond the bisector of two centres only if u is within d of it; as
 straight at the bisector, shards overlap by OVERLAP deviations of its projection (d / sqrt(dimensions)), or by the whole d
 where that is less. The links of AUDITED rows, found by brute force among all rows, must all be found: if one is missed,
 the overlap is widened by a quarter, up to d, where no link can be missed, and the shards are dealt again. Each shard builds a flat graph: near neighbours and some far ones, pruned robustly (an edge goes if a kept
-neighbour is clearly nearer to its end), with reverse edges. The adjacency lists of a node from all its shards are
+neighbour is clearly nearer to its end), with all reverse edges, so that no node is without a way to it. The adjacency lists of a node from all its shards are
 united. Then every node is searched for in its own shard over the united lists, from the medoid and from itself: the
 best unexpanded nodes of the beam are expanded, and all nodes within the radius, until none is left. Some nodes of each
 shard are audited against brute force; if a link was missed, the beam is doubled and the shard searched again. Links are
@@ -31,12 +31,13 @@ from tidemark.llm.common import Scratch, connected_components
 from tidemark.llm.vectors import cosine, kmeans, matrix, sample, unit, usable
 
 SAMPLE = 20_000
-SHARD_ROWS = 256
-DEGREE = 24
+#: Rows of one label in a shard before overlap. Graph work grows with the copies dealt, so shards are as large as a task holds well.
+SHARD_ROWS = 2048
+DEGREE = 16
 NEAREST = 48
-FAR = 12
+FAR = 8
 ALPHA = 1.2
-BEAM = 32
+BEAM = 16
 AUDIT = 24
 #: Rows audited against all rows of their label, and by how many deviations shards overlap at first.
 AUDITED = 128
@@ -57,6 +58,8 @@ def build(x: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
         cand = np.concatenate([cand, rng.integers(0, n, (len(block), FAR))], axis=1)
         dist = 1 - np.take_along_axis(sims, cand, axis=1)
         dist[cand == block[:, None]] = np.inf
+        ends = x[cand]
+        gaps = 1 - ends @ ends.transpose(0, 2, 1)
         chosen = np.full((len(block), degree), -1)
         for d in range(degree):
             best = np.argmin(dist, axis=1)
@@ -66,53 +69,57 @@ def build(x: np.ndarray, degree: int = DEGREE) -> list[np.ndarray]:
                 break
             pick = cand[at, best]
             chosen[live, d] = pick[live]
-            gap = 1 - np.einsum("qd,qcd->qc", x[pick], x[cand])
-            gone = (ALPHA * gap <= dist) | (cand == pick[:, None])
+            gone = (ALPHA * gaps[at, best] <= dist) | (cand == pick[:, None])
             dist[gone & live[:, None]] = np.inf
         kept += [row[row >= 0] for row in chosen]
     back: list[list[int]] = [[] for _ in range(n)]
     for i, row in enumerate(kept):
         for j in row.tolist():
-            if len(back[j]) < degree:
-                back[j].append(i)
+            back[j].append(i)
     return [np.unique(np.concatenate([row, np.array(b, dtype=np.int64)])).astype(np.int64) for row, b in zip(kept, back, strict=True)]
 
 
-def within(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: int, radius: float, beam: int) -> np.ndarray:
-    """Similarity of each query to the rows that a range-expanding greedy search from entry finds; -9 elsewhere."""
+def compressed(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists as where each begins and their ends, one after another."""
+    return np.cumsum([0, *map(len, lists)]), np.array([j for row in lists for j in row], dtype=np.int64)
+
+
+def within(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], queries: np.ndarray, entry: int, radius: float, beam: int) -> np.ndarray:
+    """Similarity of each query to the rows that a range-expanding greedy search from entry finds; -9 elsewhere.
+
+    A round expands what is unexpanded among the best `beam` found so far and all within the radius.
+    """
+    starts, ends = graph
     n, at = len(x), np.arange(len(queries))
     sims = np.full((len(queries), n), -9.0)
+    open_ = np.zeros((len(queries), n), dtype=bool)
     for start in (np.full(len(queries), entry), queries):
         sims[at, start] = np.einsum("qd,qd->q", x[queries], x[start])
-    open_ = sims > -9
-    wave = min(16, n)
-    while True:
-        floor = np.minimum(np.partition(sims, -min(beam, n), axis=1)[:, -min(beam, n)], radius - 1e-6)
-        ready = np.where(open_ & (sims >= floor[:, None]), sims, -9.0)
-        live = np.flatnonzero(ready.max(axis=1) > -9)
-        if not len(live):
-            return sims
-        top = np.argpartition(-ready[live], wave - 1, axis=1)[:, :wave]
-        rows = np.repeat(live, wave)
-        nodes = top.ravel()
-        fine = ready[rows, nodes] > -9
-        rows, nodes = rows[fine], nodes[fine]
+        open_[at, start] = True
+    live, k = at, min(beam, n)
+    while len(live):
+        now = sims[live]
+        floor = np.minimum(np.partition(now, n - k, axis=1)[:, n - k], radius - 1e-6)
+        ready = open_[live] & (now >= floor[:, None])
+        rows, nodes = np.nonzero(ready)
+        rows = live[rows]
+        live = live[ready.any(axis=1)]
         open_[rows, nodes] = False
-        nexts = graph[nodes]
-        rows = np.repeat(rows, nexts.shape[1])
-        nexts = nexts.ravel()
-        new = nexts >= 0
-        rows, nexts = rows[new], nexts[new]
-        unseen = sims[rows, nexts] == -9
-        pairs = np.unique(rows[unseen] * n + nexts[unseen])
-        rows, nexts = pairs // n, pairs % n
+        fresh = np.zeros((len(queries), n), dtype=bool)
+        for a in range(0, len(rows), 20_000):
+            r, t = rows[a : a + 20_000], nodes[a : a + 20_000]
+            many = starts[t + 1] - starts[t]
+            to = np.arange(many.sum()) + np.repeat(starts[t] - (np.cumsum(many) - many), many)
+            fresh[np.repeat(r, many), ends[to]] = True
+        rows, nodes = np.nonzero(fresh & (sims == -9))
         for a in range(0, len(rows), 200_000):
-            r, t = rows[a : a + 200_000], nexts[a : a + 200_000]
+            r, t = rows[a : a + 200_000], nodes[a : a + 200_000]
             sims[r, t] = np.einsum("qd,qd->q", x[queries[r]], x[t])
-        open_[rows, nexts] = True
+        open_[rows, nodes] = True
+    return sims
 
 
-def _linked(x: np.ndarray, raw: np.ndarray, graph: np.ndarray, own: np.ndarray, entry: int, radius: float, beam: int):
+def _linked(x: np.ndarray, raw: np.ndarray, graph: tuple[np.ndarray, np.ndarray], own: np.ndarray, entry: int, radius: float, beam: int):
     """For each own row, the rows that are verified to be similar enough, itself left out."""
     for a in range(0, len(own), 256):
         block = own[a : a + 256]
@@ -133,9 +140,7 @@ def search_shard(ids: np.ndarray, raw: np.ndarray, sizes: np.ndarray, own: np.nd
     x = unit(raw)
     where = {v: i for i, v in enumerate(ids.tolist())}
     near = [[where[v] for v in row if v in where] for row in lists]
-    graph = np.full((n, max(1, max(map(len, near)))), -1)
-    for i, row in enumerate(near):
-        graph[i, : len(row)] = row
+    graph = compressed(near)
     mean = x.mean(axis=0)
     entry = int(np.argmax(x @ mean))
     mine = np.flatnonzero(own)
@@ -186,14 +191,14 @@ def _searched(nodes: DataFrame, shared, reach: float, radius: float, scratch: Sc
     """node, links (-1 out of its own shard), root: each shard's search, shards overlapping by reach."""
 
     def deal(batches):
+        centres = shared.value
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) + 1e-7
         for b in batches:
             if not b.num_rows:
                 continue
-            centres = shared.value
             near = unit(matrix(b.column(1))) @ centres.T
             own = np.argmax(near, axis=1)
-            apart = np.linalg.norm(centres[own][:, None, :] - centres[None, :, :], axis=2)
-            row, shard = np.nonzero(near[np.arange(len(own)), own][:, None] - near <= reach * apart)
+            row, shard = np.nonzero(near[np.arange(len(own)), own][:, None] - near <= reach * apart[own])
             out = b.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shard.astype(np.int32)), pa.array(own[row] == shard)], names=["node", "embedding", "label", "size", "shard", "own"])
 
