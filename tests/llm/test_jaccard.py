@@ -89,3 +89,37 @@ def test_levels_follow_cost():
     assert jaccard.prefix(tokens, rare, 1.0, 90)[0] == 1
     level, kept = jaccard.prefix(tokens, common, 1.0, 90)
     assert level > 1 and len(kept) == len(tokens) - -(-90 * len(tokens) // 100) + level
+
+
+def run(spark, rows, n, percent):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, n, percent).collect()}
+
+
+@pytest.mark.parametrize(("size", "more", "n", "percent"), [(104, 20, 5, 80), (102, 11, 3, 90), (404, 99, 5, 80)])
+def test_appended_paragraph(spark, size, more, n, percent):
+    """The longer document's prefix ends among its own words; much of the other's prefix stands in it further on."""
+    words = [f"w{i}" for i in range(size)]
+    added = words + [f"a{i}" for i in range(more)]
+    rows = [(1, " ".join(words)), (2, " ".join(added))]
+    got = run(spark, rows, n, percent)
+    assert got == brute(rows, n, percent) and got[2][1] == 1
+
+
+@pytest.mark.parametrize(("seed", "n", "percent", "others"), [(1, 5, 80, 0), (2, 3, 90, 0), (3, 5, 80, 3000)])
+def test_appended_and_removed(spark, seed, n, percent, others):
+    """Sizes and levels differ within pairs: passages that stand in hundreds of documents, words put at or cut from an end.
+
+    With the others, the table has more tokens than the sketch has counters."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}x{i}" for i in range(120)] for k in range(3)]
+    rows, doc = [], 0
+    for g in range(150):
+        base = [f"g{g}x{i}" for i in range(rng.choice([10, 40, 100]))] + passages[g % 3][: rng.choice([0, 60, 120])]
+        for _ in range(rng.choice([2, 2, 3])):
+            k = round(len(base) * rng.choice([0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.24]))
+            own = [f"d{doc}x{i}" for i in range(k)]
+            rows.append((doc, " ".join(rng.choice([base + own, own + base, base[k:], base[: len(base) - k]]))))
+            doc += 1
+    rows += [(doc + i, " ".join(f"o{rng.randrange(10**7)}" for _ in range(150))) for i in range(others)]
+    assert run(spark, rows, n, percent) == brute(rows, n, percent)

@@ -6,9 +6,9 @@ whatever stands in more than a small share of them, at any scale. If two sets ar
 length n - c + l (c: the least overlap that a set of size n allows, l: a level) share at least l tokens. Each document
 takes the level that makes its estimated cost least: the postings to scan plus the candidates to verify, which are at
 most the postings divided by l. A pair is a candidate if its prefixes share at least as many tokens as the lower of the
-two levels, and is then verified on the whole sets. Prefix tokens that no other document has are counted beforehand: they
-bound the overlap from above and the union from below. So does the place of a shared token among the others of each
-document. Pairs that cannot reach the similarity are dropped in the join, before they are counted.
+two levels, and is then verified on the whole sets. Prefix tokens up to a shared one that no other prefix has are not in the
+other document of a pair that shares it: they and its place bound the overlap from above and the union from
+below. Pairs that cannot reach the similarity are dropped in the join, before they are counted.
 
 Documents with the same set are one node. Candidates are looked for in two steps, so that a group of thousands of near
 copies does not turn into all its pairs: first each token joins its documents with a central one only; what these links
@@ -191,14 +191,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
 def _may_link(x: str, y: str, percent: int) -> str:
     """Whether two documents that share the token of this row can be similar enough.
 
-    u tokens of each stand in no other document. Of the others, `at` come up to this token in the global order; what
-    both have in common up to it is at most the fewer of these, and behind it at most the fewer that are left. That
-    bounds the overlap of the sets, and, with the prefixes for the sets, the number of prefix tokens that they share.
+    Both prefixes reach this token, so whatever both documents have up to it (in the global order) stands in both
+    prefixes: it is among the `at` tokens of each that another prefix has too. Of tokens behind this one, `pos` being its
+    place in the prefix, each has n - pos. Nothing is known of a token further on that no other prefix has: it may stand
+    in the other document behind the end of its prefix. Only the number of prefix tokens shared is bounded by those (u).
     """
     left = f"{{0}}.n - ({percent} * {{0}}.n + 99) div 100 + {{0}}.level - {{0}}.u - {{0}}.at"
-    both = f"(least({x}.at, {y}.at) + least({x}.n - {x}.u - {x}.at, {y}.n - {y}.u - {y}.at))"
+    both = f"(least({x}.at, {y}.at) + least({x}.n - {x}.pos, {y}.n - {y}.pos))"
     return (
-        f"100 * {both} >= {percent} * greatest({x}.n + {y}.u, {y}.n + {x}.u, {x}.n + {y}.n - {both})"
+        f"100 * {both} >= {percent} * ({x}.n + {y}.n - {both})"
         f" and least({x}.at, {y}.at) + least({left.format(x)}, {left.format(y)}) >= {_need(x, y, percent)}"
     )
 
@@ -241,9 +242,9 @@ def links(docs: DataFrame, features: DataFrame, scratch: Scratch, n: int, percen
     posted = posted.repartition("tok")
     twice = posted.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1").select("tok")
     own = f"meta div 16 - ({percent} * (meta div 16) + 99) div 100 + meta % 16 - count(*) over (partition by doc)"
-    common = posted.join(twice, "tok").selectExpr("tok", "doc", "meta", f"{own} as u", "row_number() over (partition by doc order by pos) as at")
-    alive = common.where(f"100 * (meta div 16 - u) >= {percent} * (meta div 16)")
-    x = F.struct(F.col("u"), F.col("doc"), F.expr("meta div 16").alias("n"), F.expr("meta % 16").alias("level"), F.col("at").cast("long").alias("at"))
+    common = posted.join(twice, "tok").selectExpr("tok", "doc", "meta", "pos + 1L as pos", f"{own} as u", "row_number() over (partition by doc order by pos) as at")
+    alive = common.where(f"100 * (meta div 16 - pos + at) >= {percent} * (meta div 16)")  # what it can share with one that has this token
+    x = F.struct(F.col("u"), F.col("doc"), F.expr("meta div 16").alias("n"), F.expr("meta % 16").alias("level"), F.col("at").cast("long").alias("at"), F.col("pos"))
     shared = scratch.table(alive.select("tok", x.alias("y")))
 
     # The pivot of a token is the document with the fewest tokens of its own: of a group of near copies, a central one.
