@@ -2,6 +2,8 @@
 
 import base64
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -71,6 +73,59 @@ def test_licences(spark, sf):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def plain_passages(text):
+    windowed = {**license_scan.TEMPLATES, **license_scan.TEXTS}
+    templates = {k: license_scan.bigrams(v) for k, v in sorted(windowed.items())}
+    words = [(w, k) for k, line in enumerate(text.split("\n")) for w in re.sub("[^A-Za-z0-9]+", " ", line).lower().split()]
+    pairs = [f"{a} {b}" for (a, _), (b, _) in zip(words, words[1:], strict=False)]
+    found = []
+    for name, own in templates.items():
+        size = len(re.findall("[A-Za-z0-9]+", windowed[name])) - 1
+        for i in range(len(pairs)):
+            window = set(pairs[i : i + size])
+            dice = 2 * len(window & set(own)) / (len(window) + len(own))
+            if pairs[i] in own and dice >= 0.8 - 1e-9:
+                found.append((-len(own), -dice, i, min(i + size, len(pairs)), name))
+    kept = []
+    for x in sorted(found):
+        if all(x[3] < k[2] or k[3] < x[2] for k in kept):
+            kept.append(x)
+    short = {k: templates[k] for k in sorted(license_scan.TEMPLATES)}
+    units = {k: v[0] for k, v in brute_dice(text, short, 0.8).items()}
+    whole = units.get(-1, units.get(0) if "\n" not in text else None)
+    out = []
+    for _, less, start, end, name in kept:
+        first, last = words[start][1], words[end][1]
+        if name not in [units.get(k) for k in range(first, last + 1)] and not (first == last and first in units) and whole != name:
+            out.append((first, name, round(-less, 9)))
+    return sorted(out)
+
+
+def test_licence_passages(spark, sf):
+    grant, text = license_scan.TEMPLATES["MIT-grant"], license_scan.TEXTS["MIT-text"]
+    code = "\n".join(f"value_{i} = compute_{i}(argument_{i})" for i in range(200))
+    header = license_scan.TEMPLATES["Apache-2.0-header"]
+    wrapped = lambda t: "\n".join("# " + x for x in textwrap.wrap(t, 78))
+    texts = [
+        wrapped(grant) + "\n" + code,
+        "Some notes. This module is released under the MIT License. See docs for more of it and other things.",
+        "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + "\n".join(textwrap.wrap(text, 80)),
+        code + "\n" + wrapped(header) + "\n\nand\n" + wrapped(header) + "\n" + code + "\nReleased under the MIT License.",
+        "", "software", "Released under the MIT License.", grant, *license_scan.TEMPLATES.values(),
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[1]), (99, None)], "doc_id long, text string")
+    got = license_scan.passages(docs).collect()
+    of = lambda i: sorted((r.line, r.licence, round(r.dice, 9)) for r in got if r.doc_id == i)
+    assert [(x[0], x[1]) for x in of(0)] == [(0, "MIT-grant")] and [x[1] for x in of(1)] == ["MIT"] and of(None) == of(1)
+    assert [(x[0], x[1]) for x in of(2)] == [(4, "MIT-text")] and [(x[0], x[1]) for x in of(3)] == [(200, "Apache-2.0-header"), (205, "Apache-2.0-header")]
+    assert not any(of(i) for i in (*range(4, len(texts)), 99))
+    assert all(of(i) == plain_passages(t) for i, t in enumerate(texts))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = license_scan.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, r.line, r.licence, round(r.dice, 9)) for r in got)
+    assert found == sorted((i, *x) for i, t in rows if t for x in plain_passages(t))
+
+
 def test_token_counts(spark, sf):
     path = P.path("byte_bpe_50k.tiktoken")
     lib = tiktoken.Encoding("o", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})

@@ -109,6 +109,12 @@ def _op7_sql() -> str:
         SELECT doc_id, CAST(line AS INTEGER) AS line, licence, round(dice, 6) AS dice FROM best WHERE k = 1"""
 
 
+def op7_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_license_scans, whose units are lines and whole texts, has no row for."""
+    found = license_scan.passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line", "licence", F.round("dice", 6).alias("dice"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return token_counts.count(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -140,6 +146,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filters": op6_url_filters,
     "op7_license_scans": op7_license_scans,
+    "op7_license_passages": op7_license_passages,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
