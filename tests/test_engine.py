@@ -188,3 +188,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {x.date: x.sigma for x in spark.sql("select * from sigma_stream").collect() if not x.late}
     whole = {x.date: x.sigma for x in recursions.garch(r).collect()}
     assert len(got) == 40 and all(got[d] == pytest.approx(whole[d], abs=1e-12) for d in whole)
+
+
+def test_gate_and_meta_learner_cover_all_tickers(spark, sf, monkeypatch):
+    """Every ticker has a gate of 1000 resamples and a probability for each of its labelled days, on the default folds."""
+    from tidemark.operators import inference
+    from tidemark.plans import registry
+
+    gate, asked = inference.gate, []
+    monkeypatch.setattr(inference, "gate", lambda spark, c, y, reps=200: asked.append(reps) or gate(spark, c, y, reps))
+    days = {r.ticker: r["count"] for r in registry.labelled(spark, sf).where("r_next is not null and r_next <> 0").groupBy("ticker").count().collect()}
+    gates = {r.ticker: r for r in registry.QUERIES["c3_gate"](spark, sf).collect()}
+    assert len(days) == 5 and set(gates) == set(days) and asked == [1000] * 5
+    got = registry.QUERIES["v6_meta_learner"](spark, sf).collect()
+    assert {t: sum(r.ticker == t for r in got) for t in days} == days and all(0 <= r.p <= 1 for r in got)

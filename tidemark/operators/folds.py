@@ -38,3 +38,21 @@ def purged(events: DataFrame, k: int = 6, m: int = 2, embargo: int = 5) -> DataF
     overlaps = (F.col("t1") >= F.col("lo")) & (F.col("t0") <= F.col("hi"))
     train = rows.join(F.broadcast(spans), ~(overlaps | F.array_contains("groups", F.col("group_id")) | after))  # folds are few
     return tests.withColumn("role", F.lit("test")).union(train.select("fold_id", "row_pos").withColumn("role", F.lit("train")))
+
+
+def purged_by(events: DataFrame, key: str, k: int = 6, m: int = 2, embargo: int = 5) -> DataFrame:
+    """key, fold_id, row_pos, role: the folds of purged() for the events of each key, whose row_pos starts from 0."""
+    if not 0 < m < k:
+        raise ValueError("m must be between 0 and k")
+    sizes = events.groupBy(key).agg(F.count("*").alias("n"))
+    ends = F.array(*[F.floor(F.col("n") * i / F.lit(k)).cast("int") for i in range(1, k + 1)])
+    rows = events.join(sizes, key).withColumn("ends", ends)
+    rows = rows.withColumn("group_id", F.size(F.filter(F.slice("ends", 1, k - 1), lambda e: e <= F.col("row_pos"))))
+    folds = fold_table(events, k, m)
+    tests = rows.join(F.broadcast(folds), "group_id")
+    bounds = tests.groupBy(key, "fold_id").agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
+    held = folds.groupBy("fold_id").agg(F.collect_list("group_id").alias("groups"))  # m numbers a fold
+    after = F.exists("groups", lambda g: F.col("row_pos").between(F.get("ends", g), F.get("ends", g) + embargo - 1))
+    overlaps = (F.col("t1") >= F.col("lo")) & (F.col("t0") <= F.col("hi"))
+    train = rows.join(bounds.join(F.broadcast(held), "fold_id"), key).where(~(overlaps | F.array_contains("groups", F.col("group_id")) | after))
+    return tests.select(key, "fold_id", "row_pos", F.lit("test").alias("role")).union(train.select(key, "fold_id", "row_pos", F.lit("train")))

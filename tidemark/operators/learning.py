@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -37,6 +41,25 @@ def out_of_fold(rows: DataFrame, folds: DataFrame, features: list[str], kind: st
     return out.groupBy("row_pos").agg(F.avg("p").alias("p"))
 
 
+def out_of_fold_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "gbt", at_once: int = 8) -> DataFrame:
+    """key, row_pos, p: out_of_fold() for each key of rows and folds, a model for each of its folds. Keys and folds are few;
+    their models are fitted at_once at a time."""
+    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows.na.fill(0.0, features))
+    both = folds.join(data.select(key, "row_pos", "label", "features"), [key, "row_pos"]).persist()
+    classes = both.groupBy(key, "fold_id").agg(F.countDistinct(F.when(F.col("role") == "train", F.col("label"))).alias("n"))
+
+    def scored(at) -> DataFrame:
+        one = both.where((F.col(key) == at[key]) & (F.col("fold_id") == at.fold_id))
+        model = CANDIDATES[kind]().fit(one.where("role = 'train'"))
+        return class_one(model.transform(one.where("role = 'test'"))).select(key, "row_pos", "p")
+
+    with ThreadPool(at_once) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(scored), classes.where("n > 1").orderBy(key, "fold_id").collect(), 1)
+    if not parts:
+        return rows.select(key, "row_pos", F.lit(None).cast("double").alias("p")).limit(0)
+    return reduce(DataFrame.unionByName, parts).groupBy(key, "row_pos").agg(F.avg("p").alias("p"))
+
+
 def leaderboard(rows: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
     """kind, brier of each candidate, best first."""
     out = None

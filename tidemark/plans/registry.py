@@ -287,16 +287,27 @@ def j11_i10_threshold_sweep(spark, d):
     return df.groupBy("cut").agg(F.count_if(F.col("ram") >= F.col("cut")).alias("fired"), *r6(accuracy=F.avg((F.signum(w) == F.signum("r_next")).cast("double"))))
 
 
-@query("SELECT d.ticker, d.date, b.date AS bar_date, round(b.close + 1e-9, 6) + 0.0 AS close FROM dec d ASOF JOIN (SELECT * FROM daily WHERE ok % 3 = 0) b ON d.ticker = b.ticker AND d.date >= b.date")
-def j6_asof(spark, d):
+def last_bars(bars: DataFrame, decisions: DataFrame) -> DataFrame:
     """Last bar at or before each decision: one ordered pass over both, no range join."""
-    orders = bridge._daily(spark, d).where("ok % 3 = 0").select("ticker", "date", F.struct("date", "close").alias("bar"), F.lit(False).alias("asked"))
-    both = orders.unionByName(bridge.decisions(spark, d).select("ticker", "date", F.lit(None).cast("struct<date: date, close: double>").alias("bar"), F.lit(True).alias("asked")))
+    orders = bars.select("ticker", "date", F.struct("date", "close").alias("bar"), F.lit(False).alias("asked"))
+    both = orders.unionByName(decisions.select("ticker", "date", F.lit(None).cast("struct<date: date, close: double>").alias("bar"), F.lit(True).alias("asked")))
     frame = W.partitionBy("ticker").orderBy("date", "asked").rowsBetween(W.unboundedPreceding, 0)
     out = both.withColumn("bar", F.last("bar", ignorenulls=True).over(frame)).where("asked and bar is not null")
     return out.select("ticker", "date", F.col("bar.date").alias("bar_date"), *r6(close=F.col("bar.close")))
 
 
+@query("SELECT d.ticker, d.date, b.date AS bar_date, round(b.close + 1e-9, 6) + 0.0 AS close FROM dec d ASOF JOIN (SELECT * FROM daily WHERE ok % 3 = 0) b ON d.ticker = b.ticker AND d.date >= b.date")
+def j6_asof(spark, d):
+    """Over a third of the bars, as its SQL has it; j6_asof_all_bars has them all."""
+    return last_bars(bridge._daily(spark, d).where("ok % 3 = 0"), bridge.decisions(spark, d))
+
+
+@query("SELECT d.ticker, d.date, b.date AS bar_date, round(b.close + 1e-9, 6) + 0.0 AS close FROM dec d ASOF JOIN daily b ON d.ticker = b.ticker AND d.date >= b.date")
+def j6_asof_all_bars(spark, d):
+    """As j6_asof, over every bar."""
+    return last_bars(bridge._daily(spark, d), bridge.decisions(spark, d))
+
+
 @query(f"SELECT ticker, date, {R(f'last_value(x IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS close FROM (SELECT ticker, date, CASE WHEN ok % 4 <> 0 THEN close END AS x FROM daily)")
 def j8_forward_fill(spark, d):
     df = bridge._daily(spark, d).withColumn("x", F.when(F.col("ok") % 4 != 0, F.col("close")))
@@ -385,6 +396,19 @@ def v1_v2_purged_folds(spark, d):
     return folds.purged(events)
 
 
+@query(""", e AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos, date AS t0, coalesce(lead(date) OVER (PARTITION BY ticker ORDER BY date), date) AS t1, count(*) OVER (PARTITION BY ticker) AS n FROM dec),
+ f AS (SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INT) AS fold, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b),
+ g AS (SELECT *, CASE WHEN pos >= n * 5 // 6 THEN 5 WHEN pos >= n * 4 // 6 THEN 4 WHEN pos >= n * 3 // 6 THEN 3 WHEN pos >= n * 2 // 6 THEN 2 WHEN pos >= n // 6 THEN 1 ELSE 0 END AS g FROM e),
+ te AS (SELECT ticker, fold, pos, t0, t1 FROM g JOIN f ON g = a OR g = b), env AS (SELECT ticker, fold, min(t0) AS lo, max(t1) AS hi FROM te GROUP BY ticker, fold)
+ SELECT ticker, fold AS fold_id, pos AS row_pos, 'test' AS role FROM te UNION ALL
+ SELECT g.ticker, f.fold, pos, 'train' FROM g JOIN env ON env.ticker = g.ticker JOIN f ON f.fold = env.fold WHERE g <> a AND g <> b AND NOT (t1 >= lo AND t0 <= hi)
+  AND NOT (pos >= n * (a + 1) // 6 AND pos < n * (a + 1) // 6 + 5) AND NOT (pos >= n * (b + 1) // 6 AND pos < n * (b + 1) // 6 + 5)""")
+def v1_v2_purged_folds_by_ticker(spark, d):
+    """As v1_v2_purged_folds, for every ticker."""
+    events = bridge.decisions(spark, d).select("ticker", (F.row_number().over(by()) - 1).cast("long").alias("row_pos"), F.col("date").alias("t0"), F.coalesce(F.lead("date").over(by()), "date").alias("t1"))
+    return folds.purged_by(events, "ticker")
+
+
 @query("SELECT ticker, date, fold FROM (SELECT ticker, date, CAST(floor(i * 5 / n::DOUBLE) AS INT) AS fold, i, n FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM dec)) WHERE fold = 4 OR i < ceil((fold + 1) * n / 5.0::DOUBLE) - 5")
 def v3_fold_ids(spark, d):
     """Contiguous folds; the last rows of each but the last are dropped as embargo."""
@@ -434,10 +458,11 @@ def q1_master_table(spark, d):
 def c3_gate(spark, d):
     from tidemark.operators import inference
 
-    df = labelled(spark, d).where("r_next is not null and r_next <> 0 and ticker = '1-URGENT'").orderBy("date")
+    df = labelled(spark, d).where("r_next is not null and r_next <> 0").orderBy("ticker", "date")
     right = (F.when(F.col("calm") >= F.col("crisis"), 1.0).otherwise(-1.0) == F.signum("r_next")).cast("double")
-    rows = df.select(F.greatest("calm", "crisis").alias("c"), right.alias("y")).toPandas()  # one ticker's days
-    return spark.createDataFrame([inference.gate(spark, rows["c"].to_numpy(), rows["y"].to_numpy(), 50)], "tau double, tau_point double, low double, high double, identified boolean, share double")
+    days = df.select("ticker", F.greatest("calm", "crisis").alias("c"), right.alias("y")).toPandas()  # a row a ticker and day
+    rows = [{"ticker": t, **inference.gate(spark, x["c"].to_numpy(), x["y"].to_numpy(), 1000)} for t, x in days.groupby("ticker")]
+    return spark.createDataFrame(rows, "ticker string, tau double, tau_point double, low double, high double, identified boolean, share double")
 
 
 @query()
@@ -452,15 +477,14 @@ def t1_t11_tests(spark, d):
 
 @query()
 def v6_meta_learner(spark, d):
-    """Out-of-fold probabilities of one ticker's next direction, and the position that they give."""
+    """Out-of-fold probabilities of each ticker's next direction, and the position that they give."""
     from tidemark.operators import learning
 
-    order = W.partitionBy("ticker").orderBy("date")
-    df = labelled(spark, d).where("r_next is not null and r_next <> 0 and ticker = '1-URGENT'")
-    df = df.withColumns({"row_pos": (F.row_number().over(order) - 1).cast("long"), "label": (F.col("r_next") > 0).cast("double"), "t1": F.coalesce(F.lead("date").over(order), "date")})
-    cut = folds.purged(df.select("row_pos", F.col("date").alias("t0"), "t1"), 4, 1)
-    got = learning.out_of_fold(df, cut, ["size", "confidence", "calm", "stress", "crisis"], "logistic")
-    return got.select("row_pos", "p", F.signum(F.col("p") - 0.5).alias("position"))
+    df = labelled(spark, d).where("r_next is not null and r_next <> 0")
+    df = df.withColumns({"row_pos": (F.row_number().over(by()) - 1).cast("long"), "label": (F.col("r_next") > 0).cast("double"), "t1": F.coalesce(F.lead("date").over(by()), "date")})
+    cut = folds.purged_by(df.select("ticker", "row_pos", F.col("date").alias("t0"), "t1"), "ticker")
+    got = learning.out_of_fold_by(df, cut, ["size", "confidence", "calm", "stress", "crisis"], "ticker", "gbt")
+    return got.select("ticker", "row_pos", "p", F.signum(F.col("p") - 0.5).alias("position"))
 
 
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value) + 1e-9, 4) + 0.0 AS total FROM events GROUP BY 1, 2")
