@@ -467,7 +467,7 @@ def c3_gate(spark, d):
 
 @query()
 def t1_t11_tests(spark, d):
-    """Deflated Sharpe, McNemar, TOST, and bootstrap interval of each ticker's net returns."""
+    """Deflated Sharpe, McNemar, TOST, and Clopper-Pearson interval of the share of gains, of each ticker's net returns."""
     from tidemark.operators import inference
 
     stats = ran(spark, d).where("net is not null").groupBy("ticker").agg(F.count("*").alias("n"), F.avg("net").alias("m"), F.stddev_samp("net").alias("s"), F.count_if(F.col("net") > 0).alias("k"))
