@@ -139,7 +139,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        use_table("bpe", self.known.clear)
+        use_table("bpe", forget)
         if any(len(t) > LONG_TEXT for t in texts):
             return [self._long(t) if len(t) > LONG_TEXT else self.encode([t])[0] for t in texts]
         split = [self.pattern.findall(t) for t in texts]
@@ -172,6 +172,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+def forget() -> None:
+    """Drop the vocabularies and what they know, when another operator takes over the worker."""
+    vocabulary.cache_clear()
+
+
 def as_lists(ids: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))

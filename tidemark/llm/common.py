@@ -15,9 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one or two longs that may be broadcast (about 16 MB); beyond it, the joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch of texts, one text at least.
+BATCH_BYTES = 2_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -83,7 +86,7 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice have about most_bytes together (one text at least, never a part of one)."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
     begin = 0
@@ -94,10 +97,20 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4_000_000) -> I
         begin = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session cut Arrow batches by their bytes: Spark's own bound lets a batch of long texts take many times as much,
+    in the JVM and again in the worker. A smaller bound that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).removesuffix("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_text(
-    df: DataFrame, columns: list, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: int = 1
+    df: DataFrame, columns: list, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, text: int = 1
 ) -> DataFrame:
     """Apply step to Arrow batches of the named columns, of which number `text` sizes the batches."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, connected_components, is_small, map_text, slices, use_table
+from tidemark.llm.common import Scratch, connected_components, is_small, map_text, slices, small_batches, use_table
 
 #: Counters of the sketch (4 bytes each), and the blocks in which it is added up.
 SKETCH = 1 << 18
@@ -114,6 +114,7 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "salt": [0], "counts": [total.tobytes()]})
 
     schema = "block int, salt int, counts binary"
+    small_batches(docs.sparkSession)
     parts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, schema)
     added = parts.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
     out = np.zeros(SKETCH, dtype=np.int64)

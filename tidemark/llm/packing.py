@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import as_lists
-from tidemark.llm.common import Scratch, slices
+from tidemark.llm.common import Scratch, slices, small_batches
 from tidemark.llm.words import KNOWN, word_ids
 
 SHARD_ROWS = 4096
@@ -63,6 +63,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, sh
                 at += len(ids)
 
     schema = f"doc_id long, piece int, start long, length long, {'ids array<int>' if with_ids else 'ids_crc32 long'}, shard int"
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 

@@ -19,12 +19,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_text, use_table
+from tidemark.llm.common import map_text, small_batches, use_table
 
 #: Labelled rows to learn from, and features kept: what is collected is bounded by these.
 SAMPLE = 12_000
@@ -71,6 +70,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     """feature, toxic, n: in how many rows of the sample each feature stands."""
 
     def run(batches):
+        use_table("toxicity", lambda: None)
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -81,6 +81,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                     [pa.array(list(c)), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "toxic", "n"]
                 )
 
+    small_batches(rows.sparkSession)
     return rows.select("text", "toxic").mapInArrow(run, "feature string, toxic int, n long")
 
 
@@ -184,6 +185,7 @@ def score(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # FEATURES numbers
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        use_table("toxicity", lambda: None)
         table = shared.value
         out = [text_score(t, table) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
@@ -202,10 +204,10 @@ def reject(docs: DataFrame, weights: dict[str, float], threshold: float = 0.5) -
     """The rows of docs whose text scores below the threshold, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # FEATURES numbers
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        table = shared.value
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         use_table("toxicity", lambda: None)
-        return texts.map(lambda t: text_score(t, table) < threshold).astype(bool)
+        table = shared.value
+        return batch.filter(pa.array([text_score(t, table) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.where(clean("text"))
+    at = docs.columns.index("text")
+    return map_text(docs, [F.col(f"`{c}`") for c in docs.columns], step, docs.schema, text=at)

@@ -69,16 +69,12 @@ class WordIds:
         known = self.words.__getitem__
         self.chunks.update((c, b"".join(map(known, w))) for c, w in split.items())
 
-    def clear(self) -> None:
-        self.chunks.clear()
-        self.words.clear()
-
     def _unknown(self, split: list) -> set[str]:
         return set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
 
     def encode(self, texts: list[str], most: int = KNOWN) -> list[bytes]:
         """Ids of each text, without special tokens, as little-endian 32-bit numbers."""
-        use_table("words", self.clear)
+        use_table("words", word_ids.cache_clear)
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         split = [t.lower().split() if p else () for t, p in zip(texts, plain, strict=True)]
         if new := self._unknown(split):
