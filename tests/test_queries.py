@@ -29,8 +29,12 @@ def test_equals_sql(spark, sf, name):
     assert ours == theirs
 
 
+#: Blocks of under 30 rows are skipped, and this table has no longer ones.
+TOO_SHORT = {"c7_q7_heldout", "c8_q8_directional", "q6_directional_later"}
+
+
 def test_others_run(spark, sf):
     names = [n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"]
     for n in names:
-        assert entry.queries()[n](spark, sf).count() > 0, n
+        assert (entry.queries()[n](spark, sf).count() > 0) == (n not in TOO_SHORT), n
     assert entry.entry(spark).count() > 0

@@ -94,48 +94,161 @@ def viterbi(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarra
     return np.array(path[::-1], dtype=int)
 
 
-def hmm_fit(x: np.ndarray, k: int, seeds: range = range(10), rounds: int = 200, tolerance: float = 1e-4) -> dict:
-    """Gaussian hidden Markov model by EM on standardised columns; the best of several starts, states ordered by the mean
-    of the second raw column under Viterbi labels."""
+def _chain(first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row vectors first, first @ moves[0], first @ moves[0] @ moves[1], ... of several series at once (S x T + 1 x K), each scaled to sum 1,
+    and the log of the last one's sum. Blocks of the square root of the length are multiplied side by side."""
+    size, rows, k = moves.shape[:3]
+    step = max(1, math.isqrt(rows))
+    blocks = -(-rows // step) if rows else 0
+    m = np.concatenate([moves, np.broadcast_to(np.eye(k), (size, blocks * step - rows, k, k))], axis=1).reshape(size, blocks, step, k, k)
+    within, logs = np.empty_like(m), np.zeros((size, blocks))
+    for j in range(step):
+        now = m[:, :, j] if j == 0 else now @ m[:, :, j]
+        top = now.max(axis=(2, 3), keepdims=True)
+        now = now / top
+        logs += np.log(top[:, :, 0, 0])
+        within[:, :, j] = now
+    total = first.sum(axis=1)
+    entry, scale = first / total[:, None], np.log(total)
+    out = np.empty((size, blocks * step + 1, k))
+    out[:, 0] = entry
+    for i in range(blocks):
+        got = (entry[:, None, None, :] @ within[:, i])[:, :, 0]
+        sums = got.sum(axis=2, keepdims=True)
+        out[:, 1 + i * step : 1 + (i + 1) * step] = got / sums
+        entry = got[:, -1] / sums[:, -1]
+        scale = scale + logs[:, i] + np.log(sums[:, -1, 0])
+    return out[:, : rows + 1], scale
+
+
+def hmm_loglik(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> float:
+    """Log-likelihood of a series under its log densities."""
+    top = dens.max(axis=1, keepdims=True)
+    b = np.exp(dens - top)[None]
+    return float(_chain(start * b[:, 0], trans * b[:, 1:, None, :])[1][0] + top.sum())
+
+
+def hmm_fits(x: np.ndarray, k: int, seeds: list[int], rounds: int = 1000, tolerance: float = 1e-2) -> list[dict]:
+    """Gaussian hidden Markov models by EM on standardised columns, one a start, all starts at once; starts that fail are
+    left out. States are ordered by the mean of the second raw column under Viterbi labels."""
     centre, spread = x.mean(axis=0), x.std(axis=0)
     spread = np.where(spread > 0, spread, 1.0)
-    z, best = (x - centre) / spread, None
-    for seed in seeds:
-        rng = np.random.default_rng(seed)
-        means = z[rng.choice(len(z), k, replace=False)]
-        covs = np.repeat((np.cov(z.T) + 1e-3 * np.eye(z.shape[1]))[None], k, axis=0)
-        start, trans, last = np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), -np.inf
-        for _ in range(rounds):
-            dens = log_gauss(z, means, covs)
-            top = dens.max(axis=1, keepdims=True)
-            b = np.exp(dens - top)
-            f, scale = np.empty_like(b), np.empty(len(b))
-            now = start * b[0]
-            for t in range(len(b)):
-                now = now if t == 0 else (now @ trans) * b[t]
-                scale[t] = now.sum()
-                now = now / scale[t]
-                f[t] = now
-            back = np.ones_like(b)
-            for t in range(len(b) - 2, -1, -1):
-                back[t] = trans @ (b[t + 1] * back[t + 1]) / scale[t + 1]
-            g = f * back
-            loglik = float(np.log(scale).sum() + top.sum())
-            pair = trans * (f[:-1].T @ (b[1:] * back[1:] / scale[1:, None]))
-            start, trans = g[0] / g[0].sum(), pair / pair.sum(axis=1, keepdims=True)
-            means = (g.T @ z) / g.sum(axis=0)[:, None]
-            covs = np.array([((z - m).T * g[:, i]) @ (z - m) / g[:, i].sum() + 1e-3 * np.eye(z.shape[1]) for i, m in enumerate(means)])
-            if loglik - last < tolerance:
-                break
-            last = loglik
-        if np.isfinite(loglik) and (best is None or loglik > best["loglik"]):
-            best = {"loglik": loglik, "seed": seed, "start": start, "trans": trans, "means": means, "covs": covs}
-    if best is None:
+    z, d = (x - centre) / spread, x.shape[1]
+    floor = 1e-3 * np.eye(d)
+    means = np.stack([z[np.random.default_rng(s).choice(len(z), k, replace=False)] for s in seeds])
+    covs = np.broadcast_to(np.cov(z.T) + floor, (len(seeds), k, d, d)).copy()
+    start, trans = np.full((len(seeds), k), 1 / k), np.broadcast_to(np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), (len(seeds), k, k)).copy()
+    last, live = np.full(len(seeds), -np.inf), np.arange(len(seeds))
+    done = np.zeros(len(seeds), dtype=bool)
+    for _ in range(rounds):
+        gap = z - means[live][:, :, None]
+        far = ((gap @ np.linalg.inv(covs[live])) * gap).sum(axis=3).transpose(0, 2, 1)
+        dens = -0.5 * (far + np.linalg.slogdet(covs[live])[1][:, None] + d * math.log(2 * math.pi))
+        top = dens.max(axis=2, keepdims=True)
+        b = np.exp(dens - top)
+        moves = trans[live][:, None] * b[:, 1:, None, :]
+        f, scale = _chain(start[live] * b[:, 0], moves)
+        back, _ = _chain(np.ones(b.shape[::2]), moves[:, ::-1].swapaxes(2, 3))
+        back = back[:, ::-1]
+        loglik = scale + top.sum(axis=(1, 2))
+        failed = ~np.isfinite(loglik)
+        settled = loglik - last[live] < tolerance
+        last[live] = np.where(failed, -np.inf, loglik)
+        done[live[settled & ~failed]] = True
+        go = ~settled & ~failed
+        if not go.any():
+            break
+        g = (f * back)[go]
+        g /= g.sum(axis=2, keepdims=True)
+        both = f[go][:, :-1, :, None] * moves[go] * back[go][:, 1:, None, :]
+        pair = (both / both.sum(axis=(2, 3), keepdims=True)).sum(axis=1)
+        live = live[go]
+        start[live], trans[live] = g[:, 0] / g[:, 0].sum(axis=1, keepdims=True), pair / pair.sum(axis=2, keepdims=True)
+        weight = g.sum(axis=1)
+        means[live] = (g.transpose(0, 2, 1) @ z) / weight[:, :, None]
+        gap = z - means[live][:, :, None]
+        covs[live] = (gap * g.transpose(0, 2, 1)[..., None]).transpose(0, 1, 3, 2) @ gap / weight[:, :, None, None] + floor
+    out = []
+    for i, seed in enumerate(seeds):
+        if not np.isfinite(last[i]):
+            continue
+        path = viterbi(log_gauss(z, means[i], covs[i]), start[i], trans[i])
+        second = [x[path == s, 1].mean() if (path == s).any() else np.inf for s in range(k)]
+        o = np.argsort(second, kind="stable")
+        out.append({"seed": seed, "loglik": float(last[i]), "start": start[i][o], "trans": trans[i][np.ix_(o, o)], "means": means[i][o], "covs": covs[i][o], "centre": centre, "spread": spread})
+    return out
+
+
+def hmm_fit(x: np.ndarray, k: int, seeds: range | list = range(10), rounds: int = 1000) -> dict:
+    """The best of several starts."""
+    found = hmm_fits(x, k, list(seeds), rounds)
+    if not found:
         raise ValueError("no start of the fit succeeded")
-    path = viterbi(log_gauss(z, best["means"], best["covs"]), best["start"], best["trans"])
-    second = [x[path == i, 1].mean() if (path == i).any() else np.inf for i in range(k)]
-    order = np.argsort(second, kind="stable")
-    return best | {"order": order, "centre": centre, "spread": spread, "start": best["start"][order], "trans": best["trans"][np.ix_(order, order)], "means": best["means"][order], "covs": best["covs"][order]}
+    return max(found, key=lambda m: m["loglik"])
+
+
+def _garch_loss(free: np.ndarray, x: np.ndarray, first: float) -> float:
+    """Negative log-likelihood under standardised t errors; free: mean, log variance scale, and three squashed numbers."""
+    mu, log_scale, a, b, c = free
+    both, nu = 0.9999 / (1 + math.exp(-a)), 2.05 + math.exp(min(c, 6.0))
+    alpha = both / (1 + math.exp(-b))
+    beta, omega = both - alpha, math.exp(min(log_scale, 50.0)) * (1 - both)
+    shocks = ((x - mu) ** 2).tolist()
+    out, var = np.empty(len(x)), first
+    out[0] = var
+    for i in range(1, len(x)):
+        var = omega + alpha * shocks[i - 1] + beta * var
+        out[i] = var
+    if not np.isfinite(out).all() or out.min() <= 0:
+        return 1e12
+    each = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2)) - 0.5 * np.log(out) - (nu + 1) / 2 * np.log1p(np.array(shocks) / (out * (nu - 2)))
+    return -float(each.sum())
+
+
+def nelder_mead(f, x0: np.ndarray, step: float = 0.5, rounds: int = 1500, tolerance: float = 1e-7) -> np.ndarray:
+    """Minimum of f by the downhill simplex."""
+    simplex = np.vstack([x0, x0 + step * np.eye(len(x0))])
+    value = np.array([f(v) for v in simplex])
+    for _ in range(rounds):
+        order = np.argsort(value, kind="stable")
+        simplex, value = simplex[order], value[order]
+        if value[-1] - value[0] < tolerance:
+            break
+        middle = simplex[:-1].mean(axis=0)
+        far = middle + (middle - simplex[-1])
+        got = f(far)
+        if got < value[0]:
+            beyond = middle + 2 * (middle - simplex[-1])
+            more = f(beyond)
+            simplex[-1], value[-1] = (beyond, more) if more < got else (far, got)
+        elif got < value[-2]:
+            simplex[-1], value[-1] = far, got
+        else:
+            near = middle + 0.5 * ((far if got < value[-1] else simplex[-1]) - middle)
+            less = f(near)
+            if less < min(got, value[-1]):
+                simplex[-1], value[-1] = near, less
+            else:
+                simplex[1:] = simplex[0] + 0.5 * (simplex[1:] - simplex[0])
+                value[1:] = [f(v) for v in simplex[1:]]
+    return simplex[np.argmin(value)]
+
+
+def garch_fit(r: np.ndarray) -> dict:
+    """Constant mean, variance of order (1, 1), t errors, by maximum likelihood on returns times 100; alpha + beta stays under 1.
+
+    var and shock are the last variance and the last error, from which a path goes on."""
+    x = 100 * np.asarray(r, dtype=float)
+    first = float(x.var()) or 1e-12
+    best = nelder_mead(lambda v: _garch_loss(v, x, first), np.array([x.mean(), math.log(first), 2.5, -2.0, 1.5]))
+    mu, log_scale, a, b, c = best
+    both = 0.9999 / (1 + math.exp(-a))
+    alpha = both / (1 + math.exp(-b))
+    out = {"mu": float(mu), "omega": math.exp(log_scale) * (1 - both), "alpha": alpha, "beta": both - alpha, "nu": 2.05 + math.exp(min(c, 6.0)), "loglik": -_garch_loss(best, x, first)}
+    var = first
+    for shock in ((x - mu) ** 2)[:-1]:
+        var = out["omega"] + alpha * shock + out["beta"] * var
+    return out | {"var": float(var), "shock": float(x[-1] - mu)}
 
 
 def bocpd(x: np.ndarray, hazard: float, window: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +277,16 @@ def bocpd(x: np.ndarray, hazard: float, window: int = 5) -> tuple[np.ndarray, np
 
 
 def stationary_bootstrap(n: int, rng: np.random.Generator, block: float) -> np.ndarray:
-    """Indices of one resample: blocks of geometric length around the circle."""
-    first, jump, fresh = int(rng.integers(n)), rng.random(n - 1) < 1 / block, rng.integers(n, size=n - 1)
-    out = np.empty(n, dtype=np.int64)
-    out[0] = first
-    for i in range(1, n):
-        out[i] = fresh[i - 1] if jump[i - 1] else (out[i - 1] + 1) % n
-    return out
+    """Indices of one resample: blocks of geometric length (block on average) around the circle.
+
+    A block runs on from its first index; the draws are one index, n - 1 uniforms and n - 1 indices, in this order."""
+    firsts = np.array([rng.integers(0, n)])
+    opens = np.concatenate([[True], rng.random(n - 1) < 1 / block])
+    firsts = np.concatenate([firsts, rng.integers(0, n, n - 1)])
+    at = np.arange(n)
+    opened = np.maximum.accumulate(np.where(opens, at, 0))
+    return (firsts[opened] + at - opened) % n
+
+
+def mean_block(n: int) -> int:
+    return max(2, round(math.sqrt(n)))

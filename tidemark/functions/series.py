@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,3 +40,10 @@ def filled_forward(x: Column) -> Column:
 def average_rank(x: Column, *partition: str) -> Column:
     """Rank from 1; equal values share the mean of their ranks."""
     return F.rank().over(W.partitionBy(*partition).orderBy(x)) + (F.count("*").over(W.partitionBy(*partition, x)) - 1) / F.lit(2.0)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by keys over twice the cores at hand: for groups of few bytes and long work, which a runtime that goes by bytes
+    would put into one task."""
+    many = max(2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(many, *keys)

@@ -31,7 +31,9 @@ def sortino(x: Column, mar: float = 0.0) -> Column:
 
 
 def profit_factor(x: Column) -> Column:
-    return F.sum(F.when(x > 0, x).otherwise(0.0)) / F.nullif(-F.sum(F.when(x < 0, x).otherwise(0.0)), F.lit(0.0))
+    """Gains over losses; infinite for gains alone, null for neither."""
+    gains, losses = F.sum(F.when(x > 0, x).otherwise(0.0)), -F.sum(F.when(x < 0, x).otherwise(0.0))
+    return F.when(losses > 0, gains / F.nullif(losses, F.lit(0.0))).when(gains > 0, F.lit(float("inf")))
 
 
 def with_drawdown(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -56,3 +57,15 @@ def purged_by(events: DataFrame, key: str, k: int = 6, m: int = 2, embargo: int
     overlaps = (F.col("t1") >= F.col("lo")) & (F.col("t0") <= F.col("hi"))
     train = rows.join(bounds.join(F.broadcast(held), "fold_id"), key).where(~(overlaps | F.array_contains("groups", F.col("group_id")) | after))
     return tests.select(key, "fold_id", "row_pos", F.lit("test").alias("role")).union(train.select(key, "fold_id", "row_pos", F.lit("train")))
+
+
+def contiguous(df: DataFrame, key: str, order: str, k: int = 5, embargo: int = 5) -> DataFrame:
+    """df with row_pos (from 0, by key) and fold: k stretches of each key's rows, fold f beginning at row floor(f * n / k). The last
+    `embargo` rows of each stretch but the last are dropped."""
+    if k < 2:
+        raise ValueError("k must be 2 at least")
+    out = df.withColumns({"row_pos": (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1).cast("long"), "n": F.count("*").over(W.partitionBy(key))})
+    ends = F.array(*[F.floor(F.col("n") * F.lit(f) / F.lit(k)) for f in range(1, k)])
+    out = out.withColumn("fold", F.size(F.filter(ends, lambda e: e <= F.col("row_pos"))))
+    stop = F.floor((F.col("fold") + 1) * F.col("n") / F.lit(k))
+    return out.where((F.col("fold") == k - 1) | (F.col("row_pos") < stop - embargo)).drop("n")

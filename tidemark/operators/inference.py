@@ -8,12 +8,17 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions import special
-from tidemark.functions.kernels import stationary_bootstrap
+from tidemark.functions.kernels import mean_block, stationary_bootstrap
+from tidemark.functions.series import average_rank, spread
 from tidemark.functions.special import N01
 
+SEED = 42
+
 
 def deflated_sharpe(sr: float, trials: int, n: int, skew: float = 0.0, kurt: float = 3.0) -> float:
     """P(true Sharpe > best of `trials` by chance); sr per period, kurt not in excess."""
@@ -48,23 +53,45 @@ def sign_interval(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
 
 
 def diebold_mariano(losses: DataFrame, h: int = 1) -> DataFrame:
-    """key, n, dm, p of losses (key, date, d: loss difference); autocovariances up to h - 1, twice, over n - lag terms."""
-    from pyspark.sql import Window as W
-
-    mean = losses.groupBy("key").agg(F.avg("d").alias("m"))
-    df = losses.join(F.broadcast(mean), "key")
+    """key, n, mean, dm, p of losses (key, date, d: loss difference); autocovariances up to h - 1, twice, over n - lag terms."""
     order = W.partitionBy("key").orderBy("date")
+    df = losses.withColumn("m", F.avg("d").over(W.partitionBy("key"))) if h > 1 else losses
     lags = [((F.col("d") - F.col("m")) * (F.lag("d", k).over(order) - F.col("m"))).alias(f"g{k}") for k in range(1, h)]
-    df = df.select("key", "d", "m", *lags)
+    df = df.select("key", "d", *lags)
     var = F.var_pop("d") + 2 * sum((F.avg(f"g{k}") for k in range(1, h)), F.lit(0.0))
-    out = df.groupBy("key").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), var.alias("var"))
+    out = df.groupBy("key").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), var.alias("var"))
     out = out.withColumn("dm", F.when(F.col("var") > 0, F.col("mean") / F.sqrt(F.col("var") / F.col("n"))))
+    return out.select("key", "n", "mean", "dm", two_sided("dm").alias("p"))
 
-    @F.pandas_udf("double")
-    def p(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: None if pd.isna(v) else special.normal_two_sided(v))
 
-    return out.select("key", "n", "dm", p("dm").alias("p"))
+@F.pandas_udf(DoubleType())
+def two_sided(z: pd.Series) -> pd.Series:
+    """Of a standard normal; null stays null."""
+    return z.map(lambda v: None if pd.isna(v) else special.normal_two_sided(v))
+
+
+@F.pandas_udf(DoubleType())
+def mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([mcnemar_p(int(x), int(y)) for x, y in zip(b, c, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def correlation_p(rho: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of a rank correlation, by the t distribution with n - 2 degrees; null under 3 rows."""
+
+    def one(r: float, k: int) -> float | None:
+        if pd.isna(r) or k < 3:
+            return None
+        return 0.0 if abs(r) >= 1 else 2 * special.t_tail(abs(r) * math.sqrt((k - 2) / (1 - r * r)), k - 2)
+
+    return pd.Series([one(r, int(k)) for r, k in zip(rho, n, strict=True)], dtype="Float64").astype(object).where(lambda v: v.notna(), None)
+
+
+def spearman(df: DataFrame, x: str, y: str, *key: str) -> DataFrame:
+    """key, rho, p, n: rank correlation, equal values sharing the mean of their ranks."""
+    ranks = [average_rank(F.col(c), *(key or [F.lit(0)])) for c in (x, y)]
+    out = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, ranks[0].alias("a"), ranks[1].alias("b")).groupBy(*key).agg(F.corr("a", "b").alias("rho"), F.count("*").alias("n"))
+    return out.withColumn("p", correlation_p("rho", "n"))
 
 
 def tost_p(mean: float, sd: float, n: int, margin: float) -> float:
@@ -75,27 +102,24 @@ def tost_p(mean: float, sd: float, n: int, margin: float) -> float:
     return max(special.t_tail((mean + margin) / se, n - 1), special.t_tail(-(mean - margin) / se, n - 1))
 
 
-def bootstrap(spark, data: np.ndarray, statistic: Callable[[np.ndarray], float], reps: int = 1000, block: float | None = None, seed: int = 42) -> tuple[float, float, float]:
-    """Point value and 95 % percentile interval. Replicates are spread over tasks, each with a generator of its own; block: the
-    mean length of stationary blocks (0: independent rows; none: the square root of the length)."""
-    data = np.asarray(data, dtype=float)
-    n = len(data)
-    if n < 2:
-        return math.nan, math.nan, math.nan
-    mean_block = math.sqrt(n) if block is None else block
-    shared = spark.sparkContext.broadcast(data)
+def replicates(data: np.ndarray, statistic: Callable[[np.ndarray], float], reps: int, block: float | None, seed: int) -> np.ndarray:
+    """The statistic of each resample, drawn by one generator in order. block: mean length of stationary blocks (0:
+    independent rows; none: the rounded square root of the length, 2 at least)."""
+    n, rng = len(data), np.random.default_rng(seed)
+    mean = mean_block(n) if block is None else block
+    return np.array([statistic(data[stationary_bootstrap(n, rng, mean) if mean else rng.integers(0, n, n)]) for _ in range(reps)])
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for rep in b["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                at = stationary_bootstrap(n, rng, mean_block) if mean_block else rng.integers(n, size=n)
-                out.append(statistic(shared.value[at]))
-            yield pd.DataFrame({"v": out})
 
-    low, high = spark.range(reps).mapInPandas(run, "v double").where(~F.isnan("v")).agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
-    return float(statistic(data)), float(low), float(high)
+def bootstrap(data: np.ndarray, statistic: Callable[[np.ndarray], float] = np.mean, reps: int = 1000, block: float | None = None, seed: int = SEED) -> tuple[float, float, float]:
+    """Point value and 95 % percentile interval of one series; NaN under two rows. Replicates that give no number are left out."""
+    data = np.asarray(data, dtype=float)
+    if len(data) < 2:
+        return (float(statistic(data)) if len(data) else math.nan), math.nan, math.nan
+    with np.errstate(invalid="ignore", divide="ignore"):
+        got = replicates(data, statistic, reps, block, seed)
+        point = float(statistic(data))
+    low, high = np.quantile(got[~np.isnan(got)], [0.025, 0.975]) if (~np.isnan(got)).any() else (math.nan, math.nan)
+    return point, float(low), float(high)
 
 
 def sharpe_difference(pair: np.ndarray) -> float:
@@ -104,80 +128,119 @@ def sharpe_difference(pair: np.ndarray) -> float:
     return float((pair.mean(axis=0) / np.where(s > 0, s, np.nan) * math.sqrt(252)) @ np.array([1.0, -1.0]))
 
 
-def block_permutation_p(spark, d: np.ndarray, reps: int = 2000, seed: int = 42) -> float:
-    """Two-sided: signs of blocks flipped together. Block sums carry all that a flip needs."""
+def block_permutation_p(d: np.ndarray, reps: int = 10_000, seed: int = SEED) -> float:
+    """Share of sign flips of whole blocks whose sum is as far from 0 as seen. Block sums carry all that a flip needs."""
     d = np.asarray(d, dtype=float)
-    size = max(1, round(math.sqrt(len(d))))
-    sums = np.add.reduceat(d, np.arange(0, len(d), size))
-    shared, seen = spark.sparkContext.broadcast(sums), abs(sums.sum())
+    if not len(d):
+        return math.nan
+    sums = np.add.reduceat(d, np.arange(0, len(d), max(1, round(math.sqrt(len(d))))))
+    rng, hits = np.random.default_rng(seed), 0
+    for at in range(0, reps, 1000):
+        flips = rng.choice((-1.0, 1.0), size=(min(1000, reps - at), len(sums)))
+        hits += int((np.abs(flips @ sums) >= abs(sums.sum()) - 1e-9).sum())
+    return hits / reps
+
+
+def crossings(conf: np.ndarray, right: np.ndarray, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of conf and right (samples x n): where the fitted probability of being right crosses one half (NaN if it
+    does not rise through it inside (0, 1)), and the slope."""
+    a, b = np.zeros(len(conf)), np.zeros(len(conf))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a[:, None] + b[:, None] * conf, -35, 35)))
+        gap, w = right - p, p * (1 - p)
+        ga, gb = gap.sum(axis=1), (gap * conf).sum(axis=1) - penalty * b
+        aa, ab, bb = w.sum(axis=1) + 1e-9, (w * conf).sum(axis=1), (w * conf * conf).sum(axis=1) + penalty
+        det = np.maximum(aa * bb - ab * ab, 1e-18)
+        da, db = (bb * ga - ab * gb) / det, (aa * gb - ab * ga) / det
+        limit = np.maximum(1.0, np.maximum(np.abs(da), np.abs(db)) / 10)
+        a, b = a + da / limit, b + db / limit
+        if max(np.abs(da).max(), np.abs(db).max()) < 1e-9:
+            break
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tau = np.where(b > 0, -a / np.where(b > 0, b, 1.0), np.nan)
+    mixed = (right.min(axis=1) < right.max(axis=1)) & (tau > 0) & (tau < 1)
+    return np.where(mixed, tau, np.nan), b
 
-    def run(batches):
-        for b in batches:
-            flips = [np.random.default_rng([seed, int(r)]).choice([-1.0, 1.0], len(shared.value)) for r in b["id"]]
-            yield pd.DataFrame({"hit": [bool(abs(f @ shared.value) >= seen - 1e-15) for f in flips]})
 
-    hits = spark.range(reps).mapInPandas(run, "hit boolean").where("hit").count()
-    return (hits + 1) / (reps + 1)
+def gate(conf: np.ndarray, right: np.ndarray, reps: int = 1000, seed: int = SEED) -> dict:
+    """tau (median of resamples), tau_point, low, high, identified, share (of resamples that have a crossing), slope.
 
+    Without a crossing of the whole series, or of any resample, the gate abstains: tau, low and high are NaN."""
+    conf, right = np.asarray(conf, dtype=float), np.asarray(right, dtype=float)
+    point, slope = (v[0] for v in crossings(conf[None], right[None]))
+    n, rng, taus = len(conf), np.random.default_rng(seed), []
+    mean, size = mean_block(n), max(1, 2_000_000 // n)
+    for at in range(0, reps, size):
+        index = np.stack([stationary_bootstrap(n, rng, mean) for _ in range(min(size, reps - at))])
+        taus.append(crossings(conf[index], right[index])[0])
+    found = np.concatenate(taus)
+    share = float(np.isfinite(found).mean())
+    identified = bool(np.isfinite(point))
+    tau, low, high = (np.nanmedian(found), *np.nanpercentile(found, [2.5, 97.5])) if identified and share > 0 else (math.nan,) * 3
+    return {"tau": float(tau), "tau_point": float(point), "low": float(low), "high": float(high), "identified": identified, "share": share, "slope": float(slope)}
 
-def logistic_cross(conf: np.ndarray, right: np.ndarray, penalty: float = 1e-6) -> float:
-    """Where the fitted probability of being right crosses one half; NaN if it does not rise through it inside (0, 1)."""
-    if len(np.unique(right)) < 2:
+
+def by_key(df: DataFrame, key: str, step: Callable[[pd.DataFrame], dict], columns: str) -> DataFrame:
+    """One row a key: what step gives for its rows in date order; NaN comes out as null. A key's series is one task's work."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        got = step(rows.sort_values("date", kind="stable"))
+        plain = {k: (None if isinstance(v, float) and math.isnan(v) else v) for k, v in got.items()}
+        return pd.DataFrame({key: [rows[key].iloc[0]], **{k: pd.Series([v], dtype=object) for k, v in plain.items()}})
+
+    return spread(df, key).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {columns}")
+
+
+GATE = "tau double, tau_point double, low double, high double, identified boolean, share double, slope double"
+
+
+def gates(days: DataFrame, key: str, reps: int = 1000) -> DataFrame:
+    """key and gate() of days (key, date, conf, right)."""
+    return by_key(days, key, lambda d: gate(d["conf"].to_numpy(), d["right"].to_numpy(), reps), GATE)
+
+
+def isotonic_crossing(mids: np.ndarray, share: np.ndarray, weight: np.ndarray) -> float:
+    """First of 501 grid points at which the increasing regression of share on mids, interpolated, reaches one half; NaN if none
+    does, or with fewer than two bins."""
+    if len(mids) < 2:
         return math.nan
-    x, w = np.column_stack([np.ones(len(conf)), conf]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        grad = x.T @ (right - p) - penalty * np.array([0, w[1]])
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag([1e-12, penalty]), grad)
-        w += step
-        if np.abs(step).max() < 1e-10:
-            break
-    tau = float(-w[0] / w[1]) if w[1] > 0 else math.nan
-    return tau if 0 < tau < 1 else math.nan
-
-
-def gate(spark, conf: np.ndarray, right: np.ndarray, reps: int = 200) -> dict:
-    """tau (median of resamples; NaN: abstain), tau_point, low, high, identified, share."""
-    pair = np.column_stack([conf, right])
-    point = logistic_cross(conf, right)
-    shared = spark.sparkContext.broadcast(pair)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for rep in b["id"]:
-                at = stationary_bootstrap(len(shared.value), np.random.default_rng([7, int(rep)]), math.sqrt(len(shared.value)))
-                out.append(logistic_cross(*shared.value[at].T))
-            yield pd.DataFrame({"v": out})
-
-    taus = spark.range(reps).mapInPandas(run, "v double").where(~F.isnan("v"))
-    r = taus.agg(F.count("*"), F.percentile("v", F.array(*map(F.lit, (0.025, 0.5, 0.975))))).first()
-    share = r[0] / reps
-    found = bool(share > 0.5 and not math.isnan(point))
-    low, mid, high = r[1] or (math.nan,) * 3
-    return {"tau": mid if found else math.nan, "tau_point": point, "low": low, "high": high, "identified": found, "share": share}
-
-
-def isotonic_gate(df: DataFrame) -> float:
-    """df (conf, right): ten bins, isotonic regression weighted by their rows, first of 501 grid points at one half."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    bins = df.groupBy(F.least(F.lit(9), F.floor(F.col("conf") * 10)).alias("b")).agg(F.avg(F.col("right").cast("double")).alias("label"), F.count("*").cast("double").alias("w"))
-    bins = bins.withColumn("x", (F.col("b") + 0.5) / 10).cache()
-    try:
-        if bins.count() < 2:
-            return math.nan
-        as_vector = VectorAssembler(inputCols=["x"], outputCol="features")
-        model = IsotonicRegression(weightCol="w").fit(as_vector.transform(bins))
-        grid = df.sparkSession.range(501).select((F.col("id") / 500).alias("x"))
-        first = model.transform(as_vector.transform(grid)).where("prediction >= 0.5").agg(F.min("x")).first()[0]
-        return math.nan if first is None else first
-    finally:
-        bins.unpersist()
+    pools: list[list[float]] = []
+    for v, w in zip(share, weight, strict=True):
+        pools.append([v, w, 1])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            b, a = pools.pop(), pools.pop()
+            pools.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+    fitted = np.concatenate([[v] * int(k) for v, _, k in pools])
+    grid = np.linspace(0, 1, 501)
+    over = grid[np.interp(grid, mids, fitted) >= 0.5]
+    return float(over[0]) if len(over) else math.nan
+
+
+def isotonic_gates(days: DataFrame, *key: str) -> DataFrame:
+    """key, tau (null: abstain) of days (key, conf, right). Ten bins, closed below; confidence 1 is in none of them."""
+    edges = F.array(*[F.lit(float(e)) for e in np.linspace(0, 1, 11)])
+    b = F.size(F.filter(edges, lambda e: e <= F.col("conf"))) - 1
+    bins = days.withColumn("b", b).where("b between 0 and 9").groupBy(*key, "b").agg(F.avg(F.col("right").cast("double")).alias("share"), F.count("*").alias("w"))
+    whole = bins.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("b", "share", "w"))).alias("bins"))  # ten at most
+
+    @F.pandas_udf("double")
+    def tau(bins: pd.Series) -> pd.Series:
+        def one(rows) -> float | None:
+            b, share, w = (np.array([r[c] for r in rows], dtype=float) for c in ("b", "share", "w"))
+            got = isotonic_crossing((b + 0.5) / 10, share, w)
+            return None if math.isnan(got) else got
+
+        return bins.map(one).astype(object)
+
+    return whole.select(*key, tau("bins").alias("tau"))
 
 
 def information_criteria(loglik: float, k: int, dims: int, n: int) -> tuple[float, float]:
     """AIC and BIC of a Gaussian hidden Markov model with full covariances."""
     free = (k - 1) + k * (k - 1) + k * dims + k * dims * (dims + 1) // 2
     return 2 * free - 2 * loglik, free * math.log(n) - 2 * loglik
+
+
+def refutes(gain, p, b, c):
+    """Whether a variant improves the direction beyond doubt: more than 2 points, p under 0.10, and b (won) above c (lost)."""
+    return (gain > 0.02) & (p < 0.10) & (b > c)

@@ -1,86 +1,112 @@
-"""Out-of-fold learning on purged folds. Boosted trees and permutation importance stand for libraries that are not there."""
+"""Out-of-fold learning on folds: one task fits one fold of one key. Boosted trees of this package and the change of the
+prediction when a feature's values are dealt anew stand for libraries that are not there."""
 
 from __future__ import annotations
 
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+import json
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATES = {
-    "gbt": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=42),
-    "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=4, seed=42),
-    "logistic": lambda: LogisticRegression(maxIter=30),
-}
-
-
-def class_one(df: DataFrame) -> DataFrame:
-    return df.withColumn("p", F.element_at(vector_to_array("probability"), 2))
-
-
-def out_of_fold(rows: DataFrame, folds: DataFrame, features: list[str], kind: str = "gbt") -> DataFrame:
-    """row_pos, p: mean probability over the folds in which a row is tested. rows: row_pos, label and features; folds with an
-    empty training set or one class are skipped."""
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows.na.fill(0.0, features)).select("row_pos", "label", "features")
-    out = None
-    for (fold,) in folds.select("fold_id").distinct().orderBy("fold_id").collect():  # C(k, m) folds
-        one = folds.where(F.col("fold_id") == fold)
-        train = data.join(one.where("role = 'train'").select("row_pos"), "row_pos")
-        if train.select("label").distinct().count() < 2:
-            continue
-        test = data.join(one.where("role = 'test'").select("row_pos"), "row_pos")
-        got = class_one(CANDIDATES[kind]().fit(train).transform(test)).select("row_pos", "p")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return rows.select("row_pos", F.lit(None).cast("double").alias("p")).limit(0)
-    return out.groupBy("row_pos").agg(F.avg("p").alias("p"))
-
-
-def out_of_fold_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "gbt", at_once: int = 8) -> DataFrame:
-    """key, row_pos, p: out_of_fold() for each key of rows and folds, a model for each of its folds. Keys and folds are few;
-    their models are fitted at_once at a time."""
-    data = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(rows.na.fill(0.0, features))
-    both = folds.join(data.select(key, "row_pos", "label", "features"), [key, "row_pos"]).persist()
-    classes = both.groupBy(key, "fold_id").agg(F.countDistinct(F.when(F.col("role") == "train", F.col("label"))).alias("n"))
-
-    def scored(at) -> DataFrame:
-        one = both.where((F.col(key) == at[key]) & (F.col("fold_id") == at.fold_id))
-        model = CANDIDATES[kind]().fit(one.where("role = 'train'"))
-        return class_one(model.transform(one.where("role = 'test'"))).select(key, "row_pos", "p")
-
-    with ThreadPool(at_once) as pool:
-        parts = pool.map(inheritable_thread_target(rows.sparkSession)(scored), classes.where("n > 1").orderBy(key, "fold_id").collect(), 1)
-    if not parts:
-        return rows.select(key, "row_pos", F.lit(None).cast("double").alias("p")).limit(0)
-    return reduce(DataFrame.unionByName, parts).groupBy(key, "row_pos").agg(F.avg("p").alias("p"))
-
-
-def leaderboard(rows: DataFrame, folds: DataFrame, features: list[str]) -> DataFrame:
-    """kind, brier of each candidate, best first."""
-    out = None
-    for kind in CANDIDATES:
-        scored = out_of_fold(rows, folds, features, kind).join(rows.select("row_pos", "label"), "row_pos")
-        one = scored.agg(F.avg((F.col("p") - F.col("label")) ** 2).alias("brier")).select(F.lit(kind).alias("kind"), "brier")
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy("brier")
-
-
-def importance(rows: DataFrame, features: list[str], kind: str = "forest") -> DataFrame:
-    """feature, loss: how much the Brier score rises when a feature's values are dealt anew (by a hash of the row)."""
+from tidemark.functions.series import spread
+from tidemark.functions.trees import Boosted, Logistic, stump
+
+CANDIDATES = {"boosted": Boosted, "shallow": lambda: Boosted(trees=60, depth=2), "logistic": Logistic}
+
+
+def log_loss(y: np.ndarray, p: np.ndarray) -> float:
+    p = np.clip(p, 1e-15, 1 - 1e-15)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else float("nan")
+
+
+def fold_predictions(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kinds: tuple[str, ...] = ("boosted",), importance: bool = False) -> DataFrame:
+    """key, kind, fold_id, row_pos, p, y, shift: the prediction for each row that a fold tests.
+
+    rows: key, row_pos, label (0 or 1) and features (null counts as 0); folds: key, fold_id, row_pos, role. Folds with no training
+    rows or one class are skipped. shift: for each feature, how far the prediction moves when the tested rows' values of it
+    are dealt anew (empty unless asked for). One task holds the rows of one fold of one key.
+    """
+    if unknown := set(kinds) - set(CANDIDATES):
+        raise ValueError(f"unknown kinds {sorted(unknown)}")
+    both = folds.join(rows.na.fill(0.0, features).select(key, "row_pos", F.col("label").cast("double").alias("label"), *features), [key, "row_pos"])
+    each = both.withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+
+    def fit(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("row_pos", kind="stable")
+        train, test = d[d["role"] == "train"], d[d["role"] == "test"]
+        if train["label"].nunique() < 2 or test.empty:
+            return pd.DataFrame(columns=[key, "kind", "fold_id", "row_pos", "p", "y", "shift"])
+        x = test[features].to_numpy(dtype=float)
+        model = CANDIDATES[d["kind"].iloc[0]]().fit(train[features].to_numpy(dtype=float), train["label"].to_numpy())
+        p = model.predict(x)
+        shift: list = [[]] * len(test)
+        if importance:
+            rng, moved = np.random.default_rng(42), np.empty(x.shape)
+            for f in range(x.shape[1]):
+                other = x.copy()
+                other[:, f] = rng.permutation(other[:, f])
+                moved[:, f] = np.abs(model.predict(other) - p)
+            shift = list(moved)
+        return pd.DataFrame({key: test[key], "kind": test["kind"], "fold_id": test["fold_id"], "row_pos": test["row_pos"], "p": p, "y": test["label"], "shift": shift})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return spread(each, key, "kind", "fold_id").groupBy(key, "kind", "fold_id").applyInPandas(fit, f"{key} {kind}, kind string, fold_id int, row_pos long, p double, y double, shift array<double>")
+
+
+def out_of_fold_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "boosted") -> DataFrame:
+    """key, row_pos, p: the mean prediction over the folds that test a row."""
+    return fold_predictions(rows, folds, features, key, (kind,)).groupBy(key, "row_pos").agg(F.avg("p").alias("p"))
+
+
+def importance_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "boosted") -> DataFrame:
+    """key, feature, shift, place: mean move of the out-of-fold predictions, pooled over folds, largest first."""
     from pyspark.sql import Window as W
 
-    assemble = VectorAssembler(inputCols=features, outputCol="features")
-    rows = rows.na.fill(0.0, features)
-    model = CANDIDATES[kind]().fit(assemble.transform(rows))
-    brier = lambda df: class_one(model.transform(assemble.transform(df))).agg(F.avg((F.col("p") - F.col("label")) ** 2)).first()[0]
-    base, out = brier(rows), []
-    bucket = F.pmod(F.xxhash64("row_pos"), F.lit(64))
-    for f in features:
-        order = W.partitionBy(bucket).orderBy(F.xxhash64("row_pos", F.lit(f)))
-        out.append((f, brier(rows.withColumn(f, F.coalesce(F.lag(f).over(order), F.col(f)))) - base))
-    return rows.sparkSession.createDataFrame(out, "feature string, loss double").orderBy(F.desc("loss"))
+    got = fold_predictions(rows, folds, features, key, (kind,), True)
+    long = got.select(key, F.posexplode("shift").alias("i", "v"))
+    names = F.array(*map(F.lit, features))
+    out = long.groupBy(key, "i").agg(F.avg("v").alias("shift")).select(key, F.element_at(names, F.col("i") + 1).alias("feature"), "shift")
+    return out.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("shift"), "feature")))
+
+
+def leaderboard_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str) -> DataFrame:
+    """key, kind, log_loss, brier, n, place of each candidate, best first by log loss over the tested rows."""
+    from pyspark.sql import Window as W
+
+    got = fold_predictions(rows, folds, features, key, tuple(CANDIDATES))
+    q = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q))
+    out = got.groupBy(key, "kind").agg(F.avg(loss).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.count("*").alias("n"))
+    return out.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("log_loss", "kind")))
+
+
+def leader_metadata(board: DataFrame, key: str, train_n: DataFrame, used_folds: bool) -> DataFrame:
+    """key and a JSON text of the leader: its name, metric, the board, training rows, and whether a fold column was used."""
+    entry = F.struct("place", "kind", "log_loss", "brier", "n")
+    out = board.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("board")).join(train_n.select(key, "train_n"), key)  # a row a candidate
+    first = F.element_at("board", 1)
+    record = F.struct(first["kind"].alias("leader_id"), first["log_loss"].alias("leader_metric"), F.lit("log_loss").alias("metric_name"), F.col("board").alias("leaderboard"), "train_n", F.lit(used_folds).alias("used_fold_column"))
+    return out.select(key, F.to_json(record).alias("metadata"))
+
+
+def stumps(df: DataFrame, key: str, variables: list[str], label: str = "up") -> DataFrame:
+    """key, variable, cut, accuracy, up_under, up_over, trivial, n: the best single split of each variable.
+
+    df: key, label (0 or 1) and variables; rows with a null among them are left out. One task holds one variable of one key.
+    """
+    fine = df.select(key, F.col(label).cast("double").alias("y"), *variables).dropna()
+    long = fine.select(key, "y", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("e")).select(key, "y", "e.*")
+
+    def best(d: pd.DataFrame) -> pd.DataFrame:
+        y = d["y"].to_numpy()
+        cut, accuracy, under, over = (None if np.isnan(v) else v for v in stump(d["x"].to_numpy(), y))
+        return pd.DataFrame({key: [d[key].iloc[0]], "variable": [d["variable"].iloc[0]], "cut": [cut], "accuracy": [accuracy], "up_under": [under], "up_over": [over], "trivial": [max(y.mean(), 1 - y.mean())], "n": [len(y)]}).astype({c: "Float64" for c in ("cut", "up_under", "up_over")})
+
+    kind = df.schema[key].dataType.simpleString()
+    return spread(long, key, "variable").groupBy(key, "variable").applyInPandas(best, f"{key} {kind}, variable string, cut double, accuracy double, up_under double, up_over double, trivial double, n long")
+
+
+def read_metadata(text: str) -> dict:
+    return json.loads(text)

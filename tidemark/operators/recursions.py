@@ -16,7 +16,10 @@ HMM = {
     "trans": np.array([[0.982, 0.016, 0.002], [0.020, 0.973, 0.007], [0.004, 0.018, 0.978]]),
     "means": np.array([[0.0, -0.6], [0.0, 0.1], [0.0, 1.2]]),
     "covs": np.array([np.diag([0.4, 0.2]), np.diag([1.0, 0.4]), np.diag([2.5, 1.0])]),
+    "centre": np.array([0.0, 16.0]),
+    "spread": np.array([1.1, 5.6]),
 }
+HAZARD = 1 / 250
 
 
 def per_ticker(df: DataFrame, columns: str, step: Callable[[pd.DataFrame], dict]) -> DataFrame:
@@ -51,11 +54,8 @@ def garch(returns: DataFrame, params: dict = GARCH) -> DataFrame:
 
 
 def _densities(d: pd.DataFrame, model: dict) -> np.ndarray:
-    x = d[["r", "rv"]].to_numpy(dtype=float)
-    if len(x):
-        spread = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1)
-    return kernels.log_gauss(x, model["means"], model["covs"])
+    """Scaled as the model's own fit was, so that no row depends on later ones."""
+    return kernels.log_gauss((d[["r", "rv"]].to_numpy(dtype=float) - model["centre"]) / model["spread"], model["means"], model["covs"])
 
 
 def regimes(inputs: DataFrame, model: dict = HMM) -> DataFrame:
@@ -70,7 +70,34 @@ def regimes(inputs: DataFrame, model: dict = HMM) -> DataFrame:
     return per_ticker(inputs, "calm double, stress double, crisis double, smooth_calm double, smooth_stress double, smooth_crisis double, state long", step)
 
 
-def change_points(series: DataFrame, column: str, hazard: float = 1 / 60, window: int = 5) -> DataFrame:
+def regime_filter(inputs: DataFrame, model: dict = HMM) -> DataFrame:
+    """inputs (ticker, date, r, rv) with the filtered probabilities alone: P(state | rows so far)."""
+
+    def step(d: pd.DataFrame) -> dict:
+        now = kernels.hmm_filter(_densities(d, model), model["start"], model["trans"])
+        return {n: now[:, i] for i, n in enumerate(("calm", "stress", "crisis"))}
+
+    return per_ticker(inputs, "calm double, stress double, crisis double", step)
+
+
+def market(inputs: DataFrame, model: dict = HMM, params: dict = GARCH) -> DataFrame:
+    """inputs (ticker, date, r, rv) with sigma and the filtered calm, stress and crisis: both recursions in one pass over a ticker.
+
+    sigma is null where r is, the probabilities where rv is; those rows leave the recursion as it was."""
+
+    def step(d: pd.DataFrame) -> dict:
+        out = {n: np.full(len(d), np.nan) for n in ("sigma", "calm", "stress", "crisis")}
+        seen, fine = d["r"].notna().to_numpy(), (d["r"].notna() & d["rv"].notna()).to_numpy()
+        out["sigma"][seen] = kernels.garch_path(d["r"].to_numpy(dtype=float)[seen], **params)
+        now = kernels.hmm_filter(_densities(d[fine], model), model["start"], model["trans"])
+        for i, n in enumerate(("calm", "stress", "crisis")):
+            out[n][fine] = now[:, i]
+        return out
+
+    return per_ticker(inputs, "sigma double, calm double, stress double, crisis double", step)
+
+
+def change_points(series: DataFrame, column: str, hazard: float = HAZARD, window: int = 5) -> DataFrame:
     """series with map_run_length and cp_prob of a column (nulls count as 0)."""
 
     def step(d: pd.DataFrame) -> dict:
@@ -80,15 +107,23 @@ def change_points(series: DataFrame, column: str, hazard: float = 1 / 60, window
     return per_ticker(series, "map_run_length long, cp_prob double", step)
 
 
-def fit_regimes(inputs: DataFrame, k: int = 3, seeds: int = 10) -> DataFrame:
-    """ticker, seed, loglik, means, trans: a model for each ticker and start, fitted in parallel; max_by(loglik) is the fit."""
-    from pyspark.sql import functions as F
+def sizing_anomaly(series: DataFrame, column: str = "size", hazard: float = HAZARD, window: int = 5, signal: str = "cp_prob") -> DataFrame:
+    """series with map_run_length, psa (score) and psa_ready: whether the history up to the row is long enough.
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        seed = int(rows["seed"].iloc[0])
-        m = kernels.hmm_fit(rows[["r", "rv"]].to_numpy(), k, range(seed, seed + 1))
-        return pd.DataFrame({"ticker": [rows["ticker"].iloc[0]], "seed": [seed], "loglik": [m["loglik"]], "means": [m["means"].ravel()], "trans": [m["trans"].ravel()]})
+    signal: cp_prob (levels), cp_prob_delta (increments) or map_runlength. Scores are rounded to 9 digits, 0 where not ready.
+    """
+    if signal not in ("cp_prob", "cp_prob_delta", "map_runlength"):
+        raise ValueError(f"unknown signal {signal}")
+    delta = signal == "cp_prob_delta"
+    least = window + 2 + delta
 
-    each = inputs.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    return each.groupBy("ticker", "seed").applyInPandas(fit, "ticker string, seed int, loglik double, means array<double>, trans array<double>")
+    def step(d: pd.DataFrame) -> dict:
+        x = d[column].fillna(0.0).to_numpy(dtype=float)
+        best, near = kernels.bocpd(np.diff(x) if delta else x, hazard, window)
+        if delta and len(x):
+            best, near = np.insert(best, 0, 0), np.insert(near, 0, 0.0)
+        ready = np.arange(1, len(x) + 1) >= least
+        score = np.maximum(0, window - best) / window if signal == "map_runlength" else near
+        return {"map_run_length": best, "psa": np.where(ready, np.round(score, 9), 0.0), "psa_ready": ready}
+
+    return per_ticker(series, "map_run_length long, psa double, psa_ready boolean", step)

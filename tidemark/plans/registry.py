@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import by, prefix, average_rank, filled_forward, log_return, momentum, rolling, rounded
-from tidemark.operators import backtest, folds, recursions, supervision
+from tidemark.operators import backtest, folds, inference, recursions, supervision
 from tidemark.sources import bridge, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +85,7 @@ def st1_backtest(spark, d):
 
 
 METRICS_SQL = f"""SELECT ticker, count(net) AS n, {R('avg(net) / nullif(stddev_samp(net), 0) * sqrt(252)')} AS sharpe, {R('avg(net) / nullif(sqrt(avg(least(net, 0) ** 2)), 0) * sqrt(252)')} AS sortino,
- {R('min(dd)')} AS max_drawdown, {R('max_by(curve, date)')} AS final, {R('sum(greatest(net, 0)) / nullif(-sum(least(net, 0)), 0)')} AS profit_factor, {R('avg(CASE WHEN net > 0 THEN 1.0::DOUBLE WHEN net IS NOT NULL THEN 0 END)')} AS hit_rate, {R('avg(turned)')} AS turnover,
+ {R('min(dd)')} AS max_drawdown, {R('max_by(curve, date)')} AS final, {R("CASE WHEN sum(least(net, 0)) < 0 THEN sum(greatest(net, 0)) / -sum(least(net, 0)) WHEN sum(greatest(net, 0)) > 0 THEN 'inf'::DOUBLE END")} AS profit_factor, {R('avg(CASE WHEN net > 0 THEN 1.0::DOUBLE WHEN net IS NOT NULL THEN 0 END)')} AS hit_rate, {R('avg(turned)')} AS turnover,
  {R('(CASE WHEN max_by(curve, date) > 0 THEN max_by(curve, date) END ** (252.0 / count(net)) - 1) / nullif(abs(min(dd)), 0)')} AS calmar
  FROM (SELECT *, curve / max(curve) {WIN} - 1 AS dd FROM (SELECT *, product(1 + coalesce(net, 0)) {WIN} AS curve, abs(w - lag(w) {WIN}) AS turned FROM bt)) GROUP BY ticker"""
 
@@ -96,6 +96,12 @@ def m_summary(spark, d):
     return out.select("ticker", "n", *r6(**{c: F.col(c) for c in ("sharpe", "sortino", "max_drawdown", "final", "profit_factor", "hit_rate", "turnover", "calmar")}))
 
 
+def matthews(up, y):
+    """Correlation of two binary columns; 0 if a margin is empty."""
+    tp, tn, fp, fn = (F.count_if(c).cast("double") for c in (up & y, ~up & ~y, up & ~y, ~up & y))
+    return F.coalesce((tp * tn - fp * fn) / F.nullif(F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), F.lit(0.0)), F.lit(0.0))
+
+
 def flagship(spark, sf_dir):
     return m_summary(spark, sf_dir)
 
@@ -108,20 +114,30 @@ def m22_drawdowns(spark, d):
 RANKS = "SELECT ticker, y, p, rank() OVER (PARTITION BY ticker ORDER BY p) + (count(*) OVER (PARTITION BY ticker, p) - 1) / 2.0::DOUBLE AS k FROM (SELECT ticker, round(p, 9) AS p, CASE WHEN r_next > 0 THEN 1 ELSE 0 END AS y FROM (SELECT *, CASE WHEN action = 'long' THEN confidence WHEN action = 'short' THEN 1 - confidence ELSE 0.5 END AS p FROM dl) WHERE r_next IS NOT NULL AND r_next <> 0)"
 
 
-@query(f"""SELECT ticker, count(*) AS n, {R('avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END)')} AS accuracy,
- {R('(tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0)').replace('tp', 'CAST(count_if(p > 0.5 AND y = 1) AS DOUBLE)').replace('tn', 'count_if(p <= 0.5 AND y = 0)').replace('fp', 'count_if(p > 0.5 AND y = 0)').replace('fn', 'count_if(p <= 0.5 AND y = 1)')} AS mcc,
+MCC = "coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0)"
+CELLS = {"tp": "CAST(count_if(p >= 0.5 AND y = 1) AS DOUBLE)", "tn": "count_if(p < 0.5 AND y = 0)", "fp": "count_if(p >= 0.5 AND y = 0)", "fn": "count_if(p < 0.5 AND y = 1)"}
+
+
+def with_cells(text: str, cells: dict[str, str]) -> str:
+    for k, v in cells.items():
+        text = text.replace(k, v)
+    return text
+
+
+@query(f"""SELECT ticker, count(*) AS n, {R('avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END)')} AS accuracy, {R(with_cells(MCC, CELLS))} AS mcc,
  {R('(sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0)')} AS auc,
- {R('avg(-ln(greatest(1e-15::DOUBLE, CASE WHEN y = 1 THEN least(p, 1 - 1e-15::DOUBLE) ELSE 1 - least(p, 1 - 1e-15::DOUBLE) END)))')} AS log_loss, {R('avg((p - y) ** 2)')} AS brier FROM ({RANKS}) GROUP BY ticker""")
+ {R('CASE WHEN min(y) < max(y) THEN avg(-ln(greatest(1e-15::DOUBLE, CASE WHEN y = 1 THEN least(p, 1 - 1e-15::DOUBLE) ELSE 1 - least(p, 1 - 1e-15::DOUBLE) END))) END')} AS log_loss, {R('avg((p - y) ** 2)')} AS brier FROM ({RANKS}) GROUP BY ticker""")
 def m10_classification(spark, d):
+    """A probability of one half counts as up; with one class only there is no AUC and no log loss, and an empty margin makes MCC 0."""
     p = F.when(F.col("action") == "long", F.col("confidence")).when(F.col("action") == "short", 1 - F.col("confidence")).otherwise(0.5)
     df = labelled(spark, d).where("r_next is not null and r_next <> 0").select("ticker", F.round(p, 9).alias("p"), (F.col("r_next") > 0).cast("int").alias("y"))
     df = df.withColumn("k", average_rank(F.col("p"), "ticker"))
-    up, y, q = F.col("p") > 0.5, F.col("y") == 1, F.least(F.col("p"), F.lit(1 - 1e-15))
-    tp, tn, fp, fn = (F.count_if(c).cast("double") for c in (up & y, ~up & ~y, up & ~y, ~up & y))
+    up, y, q = F.col("p") >= 0.5, F.col("y") == 1, F.least(F.col("p"), F.lit(1 - 1e-15))
     ones, zeros = F.sum("y"), F.sum(1 - F.col("y"))
+    loss = F.avg(-F.log(F.greatest(F.lit(1e-15), F.when(y, q).otherwise(1 - q))))
     return df.groupBy("ticker").agg(F.count("*").alias("n"), *r6(
-        accuracy=F.avg((up == y).cast("double")), mcc=(tp * tn - fp * fn) / F.nullif(F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), F.lit(0.0)),
-        auc=(F.sum(F.when(y, F.col("k"))) - ones * (ones + 1) / 2) / F.nullif(ones * zeros, F.lit(0)), log_loss=F.avg(-F.log(F.greatest(F.lit(1e-15), F.when(y, q).otherwise(1 - q)))), brier=F.avg((F.col("p") - F.col("y")) ** 2),
+        accuracy=F.avg((up == y).cast("double")), mcc=matthews(up, y), auc=(F.sum(F.when(y, F.col("k"))) - ones * (ones + 1) / 2) / F.nullif(ones * zeros, F.lit(0)),
+        log_loss=F.when((ones > 0) & (zeros > 0), loss), brier=F.avg((F.col("p") - F.col("y")) ** 2),
     ))
 
 
@@ -192,23 +208,6 @@ def st2_garch(spark, d):
     return recursions.garch(rets(spark, d).where("r is not null").select("ticker", "date", "r")).select("ticker", "date", *r6(sigma=F.col("sigma")))
 
 
-def hmm_inputs(spark, d):
-    return rets(spark, d).select("ticker", "date", "r", rolling(F.stddev_samp, F.col("r"), 5).alias("rv")).dropna()
-
-
-@query()
-def st5_st7_regimes(spark, d):
-    return recursions.regimes(hmm_inputs(spark, d))
-
-
-@query()
-def st9_d2_change_points(spark, d):
-    """BOCPD on sizes and the severity of the sizing check."""
-    df = recursions.change_points(bridge.decisions(spark, d).select("ticker", "date", "size"), "size")
-    n = F.row_number().over(by())
-    return df.withColumn("psa_severity", F.when(n < 7, "none").otherwise(supervision.severity(F.col("cp_prob"), supervision.CUTS["psa"]))).withColumn("run_severity", supervision.run_length_severity(F.col("map_run_length"), 5))
-
-
 DET_SQL = """det0 AS (SELECT *, (stress + crisis) / 2 AS sigma, least(1, 0.10::DOUBLE / ((stress + crisis) / 2)) AS bound, CASE WHEN abs(size) < 1e-9 THEN 0 WHEN size < 0 THEN calm ELSE crisis END AS ram, confidence * calm AS psa FROM dl),
 det1 AS (SELECT *, greatest(0, abs(size) - bound) / greatest(bound, 0.001::DOUBLE) AS gso, CASE WHEN size <> 0 THEN abs(log2(abs(size) / greatest(bound, 0.001::DOUBLE))) ELSE 3 END AS gso_rel FROM det0),
 det AS (SELECT *, CASE WHEN ram >= 0.7 THEN 3 WHEN ram >= 0.4 THEN 2 WHEN ram >= 0.2 THEN 1 ELSE 0 END AS ro, CASE WHEN gso >= 0.7 THEN 3 WHEN gso >= 0.4 THEN 2 WHEN gso >= 0.2 THEN 1 ELSE 0 END AS go,
@@ -240,12 +239,13 @@ ACTION = lambda f: f"CASE WHEN abs({f}) < 1e-9 THEN 'hold' WHEN {f} > 0 THEN 'lo
 
 @query(f", {DET_SQL} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, ticker, date, {R(f)} AS final_size, {'action' if m == 'warn' else ACTION('(' + f + ')')} AS final_action, {t or 'go >= 2 OR ro >= 2 OR po = 3'} AS was_intervened FROM det" for m, (f, t) in MODES.items()))
 def i_interventions(spark, d):
-    df, out = detected(spark, d), None
+    """Every mode side by side on one pass over the decisions."""
+    df, parts = detected(spark, d), []
     for m in MODES:
         args = {"mode": "warn"} if m == "warn" else {"mode": "override", "variant": m} if len(m) == 1 else {"mode": "reduce", "reduce": m}
-        one = supervision.intervene(df, **args).select(F.lit(m).alias("mode"), "ticker", "date", rounded(F.col("final_size")).alias("final_size"), "final_action", "was_intervened")
-        out = one if out is None else out.unionByName(one)
-    return out
+        size, action, touched = supervision.decided(**args)
+        parts.append(F.struct(F.lit(m).alias("mode"), rounded(size).alias("final_size"), action.alias("final_action"), touched.alias("was_intervened")))
+    return df.select("ticker", "date", F.explode(F.array(*parts)).alias("x")).select("x.mode", "ticker", "date", "x.final_size", "x.final_action", "x.was_intervened")
 
 
 @query(f", {DET_SQL} SELECT detector, level, count(*) AS n FROM (SELECT 'ram' AS detector, {NAMED('ro')} AS level FROM det UNION ALL SELECT 'psa', {NAMED('po')} FROM det UNION ALL SELECT 'gso', {NAMED('go')} FROM det) GROUP BY 1, 2")
@@ -370,18 +370,28 @@ def t9_t10_tost_wilcoxon(spark, d):
     return df.groupBy("ticker").agg(F.count("*").alias("n"), *r6(t_low=(F.avg("net") + 0.001) / se, t_high=(F.avg("net") - 0.001) / se, w_plus=F.sum(F.when(F.col("net") > 0, F.col("k")).otherwise(0.0))))
 
 
-@query(f"SELECT {R('corr(a, b)')} AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY m) + 0.0::DOUBLE AS a, rank() OVER (ORDER BY s) + 0.0::DOUBLE AS b FROM (SELECT ticker, avg(r) AS m, stddev_samp(r) AS s FROM rets GROUP BY ticker))")
+AVERAGE_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
+
+
+@query(f"SELECT {R('corr(a, b)')} AS rho, count(*) AS n FROM (SELECT {AVERAGE_RANK.format('m')} AS a, {AVERAGE_RANK.format('s')} AS b FROM (SELECT ticker, avg(r) AS m, stddev_samp(r) AS s FROM rets GROUP BY ticker))")
 def m25_spearman(spark, d):
     per = rets(spark, d).groupBy("ticker").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    whole = [F.rank().over(W.partitionBy(F.lit(0)).orderBy(c)) + 0.0 for c in ("m", "s")]  # one row a ticker
-    return per.select(whole[0].alias("a"), whole[1].alias("b")).agg(*r6(rho=F.corr("a", "b")), F.count("*").alias("n"))
+    return inference.spearman(per, "m", "s").select(*r6(rho=F.col("rho")), "n")  # one row a ticker
 
 
 @query("SELECT ticker, max_by(date, abs(net)) AS date, round(max(abs(net)), 6) AS size FROM bt GROUP BY ticker")
-def m26_x8_case_day(spark, d):
+def m26_largest_day(spark, d):
     return ran(spark, d).groupBy("ticker").agg(F.max_by("date", F.abs("net")).alias("date"), F.round(F.max(F.abs("net")), 6).alias("size"))
 
 
+@query(f", {DET_SQL} SELECT ticker, date, {R('gap')} AS gap FROM (SELECT ticker, date, gap, row_number() OVER (PARTITION BY ticker ORDER BY round(gap, 9) DESC, date) AS k FROM (SELECT *, abs(size - ({MODES['ram_continuous'][0]})) AS gap FROM det)) WHERE k = 1 AND gap >= 1e-6")
+def x8_case_day(spark, d):
+    """The day on which reducing moves the agent's position most, the first of equal ones; none if it never moves."""
+    df = supervision.intervene(detected(spark, d), "reduce", reduce="ram_continuous").withColumn("gap", F.abs(F.col("size") - F.col("final_size")))
+    k = F.row_number().over(W.partitionBy("ticker").orderBy(F.round("gap", 9).desc(), "date"))
+    return df.withColumn("k", k).where("k = 1 and gap >= 1e-6").select("ticker", "date", *r6(gap=F.col("gap")))
+
+
 @query(f"SELECT ticker, half, {R('avg(net) / nullif(stddev_samp(net), 0) * sqrt(252)')} AS sharpe, count(*) AS n FROM (SELECT ticker, net, CASE WHEN row_number() {WIN} <= count(*) OVER (PARTITION BY ticker) // 2 THEN 1 ELSE 2 END AS half FROM bt WHERE net IS NOT NULL) GROUP BY 1, 2")
 def m31_half_split(spark, d):
     df = ran(spark, d).where("net is not null")
@@ -409,12 +419,10 @@ def v1_v2_purged_folds_by_ticker(spark, d):
     return folds.purged_by(events, "ticker")
 
 
-@query("SELECT ticker, date, fold FROM (SELECT ticker, date, CAST(floor(i * 5 / n::DOUBLE) AS INT) AS fold, i, n FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM dec)) WHERE fold = 4 OR i < ceil((fold + 1) * n / 5.0::DOUBLE) - 5")
+@query("SELECT ticker, date, fold FROM (SELECT ticker, date, i, n, CASE WHEN i >= n * 4 // 5 THEN 4 WHEN i >= n * 3 // 5 THEN 3 WHEN i >= n * 2 // 5 THEN 2 WHEN i >= n // 5 THEN 1 ELSE 0 END AS fold FROM (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM dec)) WHERE fold = 4 OR i < (fold + 1) * n // 5 - 5")
 def v3_fold_ids(spark, d):
     """Contiguous folds; the last rows of each but the last are dropped as embargo."""
-    n, i = F.count("*").over(W.partitionBy("ticker")), F.row_number().over(by()) - 1
-    df = bridge.decisions(spark, d).select("ticker", "date", i.alias("i"), n.alias("n")).withColumn("fold", F.floor(F.col("i") * 5 / F.col("n")).cast("int"))
-    return df.where((F.col("fold") == 4) | (F.col("i") < F.ceil((F.col("fold") + 1) * F.col("n") / F.lit(5.0)) - 5)).select("ticker", "date", "fold")
+    return folds.contiguous(bridge.decisions(spark, d).select("ticker", "date"), "ticker", "date").select("ticker", "date", "fold")
 
 
 @query(f"SELECT cut, count(*) AS n, {R('avg(CASE WHEN r_next > 0 THEN 1.0::DOUBLE ELSE 0 END)')} AS p_up FROM dl, (SELECT i / 20.0::DOUBLE AS cut FROM range(1, 20) x(i)) WHERE r_next IS NOT NULL AND calm >= cut GROUP BY cut HAVING count(*) > 30")
@@ -443,50 +451,6 @@ def i9_x6_strategies(spark, d):
     return long.withColumn("net", net).groupBy("strategy", "ticker").agg(F.count("net").alias("n"), *r6(sharpe=backtest.sharpe(F.col("net")), final=F.product(1 + F.col("net"))))
 
 
-@query()
-def q1_master_table(spark, d):
-    """Daily supervision: volatility path, change points, detectors, override, and the label, in one table."""
-    r = rets(spark, d)
-    sigma = recursions.garch(r.where("r is not null").select("ticker", "date", "r")).select("ticker", "date", "sigma")
-    points = recursions.change_points(bridge.decisions(spark, d).select("ticker", "date", "size"), "size").select("ticker", "date", F.col("cp_prob").alias("psa"))
-    df = labelled(spark, d).join(sigma, ["ticker", "date"], "left_semi").join(sigma, ["ticker", "date"]).join(points, ["ticker", "date"])
-    df = supervision.detect(df).withColumn("psa_severity", supervision.severity(F.col("psa"), supervision.CUTS["psa"]))
-    return supervision.intervene(df, "override", "C").select("ticker", "date", "action", "size", "ram_severity", "psa_severity", "gso_severity", "final_action", "final_size", "was_intervened", "r_next")
-
-
-@query()
-def c3_gate(spark, d):
-    from tidemark.operators import inference
-
-    df = labelled(spark, d).where("r_next is not null and r_next <> 0").orderBy("ticker", "date")
-    right = (F.when(F.col("calm") >= F.col("crisis"), 1.0).otherwise(-1.0) == F.signum("r_next")).cast("double")
-    days = df.select("ticker", F.greatest("calm", "crisis").alias("c"), right.alias("y")).toPandas()  # a row a ticker and day
-    rows = [{"ticker": t, **inference.gate(spark, x["c"].to_numpy(), x["y"].to_numpy(), 1000)} for t, x in days.groupby("ticker")]
-    return spark.createDataFrame(rows, "ticker string, tau double, tau_point double, low double, high double, identified boolean, share double")
-
-
-@query()
-def t1_t11_tests(spark, d):
-    """Deflated Sharpe, McNemar, TOST, and Clopper-Pearson interval of the share of gains, of each ticker's net returns."""
-    from tidemark.operators import inference
-
-    stats = ran(spark, d).where("net is not null").groupBy("ticker").agg(F.count("*").alias("n"), F.avg("net").alias("m"), F.stddev_samp("net").alias("s"), F.count_if(F.col("net") > 0).alias("k"))
-    rows = [(r.ticker, inference.deflated_sharpe(r.m / r.s, 10, r.n), inference.mcnemar_p(r.k, r.n - r.k), inference.tost_p(r.m, r.s, r.n, 0.001), *inference.sign_interval(r.k, r.n)) for r in stats.collect()]  # a row a ticker
-    return spark.createDataFrame(rows, "ticker string, deflated double, sign_p double, tost_p double, low double, high double")
-
-
-@query()
-def v6_meta_learner(spark, d):
-    """Out-of-fold probabilities of each ticker's next direction, and the position that they give."""
-    from tidemark.operators import learning
-
-    df = labelled(spark, d).where("r_next is not null and r_next <> 0")
-    df = df.withColumns({"row_pos": (F.row_number().over(by()) - 1).cast("long"), "label": (F.col("r_next") > 0).cast("double"), "t1": F.coalesce(F.lead("date").over(by()), "date")})
-    cut = folds.purged_by(df.select("ticker", "row_pos", F.col("date").alias("t0"), "t1"), "ticker")
-    got = learning.out_of_fold_by(df, cut, ["size", "confidence", "calm", "stress", "crisis"], "ticker", "gbt")
-    return got.select("ticker", "row_pos", "p", F.signum(F.col("p") - 0.5).alias("position"))
-
-
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value) + 1e-9, 4) + 0.0 AS total FROM events GROUP BY 1, 2")
 def s1_event_windows(spark, d):
     from tidemark.streaming import paths

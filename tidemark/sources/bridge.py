@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Names of the personalities that a decision carries, and words that an order may use.
+PERSONAS = ("warren_buffett", "cathie_wood", "stanley_druckenmiller", "michael_burry", "bill_ackman")
+WORDS = ("buy", "cover", "sell", "short", "hold", "bullish", "bearish", "other")
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return orders.groupBy(F.col("o_orderpriority").alias("ticker"), F.to_date("o_orderdate").alias("date")).agg(
@@ -34,6 +39,23 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir).select("ticker", "date", (a / (a + b + c)).alias("calm"), (b / (a + b + c)).alias("stress"), (c / (a + b + c)).alias("crisis"))
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an agent asks for, one row a decision: word, quantity, price and cash."""
+    words = F.array(*map(F.lit, WORDS))
+    return _daily(spark, sf_dir).where("ok % 7 <> 0").select(
+        "ticker", "date", F.element_at(words, (F.col("ok") % len(WORDS) + 1).cast("int")).alias("word"),
+        ((F.col("ck") % 41) - 2).alias("quantity"), F.col("close").alias("price"), (F.col("ok") % 9 * F.lit(250_000.0)).alias("cash"),
+    )
+
+
+def personas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions' personalities, as the readers give them: a map by name; one of them is absent on some days."""
+    one = lambda i: F.struct(F.element_at(F.array(F.lit("long"), F.lit("short"), F.lit("hold")), ((F.col("ck") + i) % 3 + 1).cast("int")).alias("action"), F.lit(0.0).alias("size"), ((F.col("ok") + 7 * i) % 101 / F.lit(100.0)).alias("confidence"))
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), one(i).alias("value"), F.lit(i).alias("i")) for i, n in enumerate(PERSONAS)])
+    there = F.filter(entries, lambda e: (F.col("ok") % 11) != e["i"])
+    return _daily(spark, sf_dir).where("ok % 7 <> 0").select("ticker", "date", F.map_from_entries(F.transform(there, lambda e: F.struct(e["key"], e["value"]))).alias("personalities"))
+
+
 SQL = """
 daily AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close, max(o_totalprice) AS high,
   min(o_totalprice) AS low, count(*) AS volume, CAST(sum(o_custkey) AS BIGINT) AS ck, CAST(sum(o_orderkey) AS BIGINT) AS ok
