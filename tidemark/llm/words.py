@@ -9,6 +9,7 @@ special tokens written out) go to the tokenizer whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain, filterfalse
 
@@ -69,7 +70,7 @@ class WordIds:
         known = self.words.__getitem__
         self.chunks.update((c, b"".join(map(known, w))) for c, w in split.items())
 
-    def _unknown(self, split: list) -> set[str]:
+    def _unknown(self, split: Iterable[list[str]]) -> set[str]:
         return set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
 
     def encode(self, texts: list[str], most: int = KNOWN) -> list[bytes]:
@@ -77,15 +78,18 @@ class WordIds:
         use_table("words", word_ids.cache_clear)
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         split = [t.lower().split() if p else () for t, p in zip(texts, plain, strict=True)]
-        if new := self._unknown(split):
+        found = [list(map(self.chunks.get, s)) for s in split]
+        if lacking := [i for i, f in enumerate(found) if None in f]:
+            new = self._unknown(split[i] for i in lacking)
             if len(self.chunks) + len(new) > most:
                 self.chunks = shortened(self.chunks, most)
-                new = self._unknown(split)
+                new = self._unknown(split[i] for i in lacking)
             self._learn(new, most)
-        known = self.chunks.__getitem__
+            for i in lacking:
+                found[i] = map(self.chunks.__getitem__, split[i])
         return [
-            b"".join(map(known, s)) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            for t, s, p in zip(texts, split, plain, strict=True)
+            b"".join(f) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for t, f, p in zip(texts, found, plain, strict=True)
         ]
 
 
