@@ -123,3 +123,32 @@ def test_appended_and_removed(spark, seed, n, percent, others):
             doc += 1
     rows += [(doc + i, " ".join(f"o{rng.randrange(10**7)}" for _ in range(150))) for i in range(others)]
     assert run(spark, rows, n, percent) == brute(rows, n, percent)
+
+
+def test_one_id_with_several_texts(spark):
+    """Nodes are texts: each row has the component of its own text."""
+    base, other = ([f"{k}{i}" for i in range(100)] for k in "ab")
+    texts = [(1, base), (1, other), (2, [*base, "x"]), (3, [*other, "x"]), (4, [f"c{i}" for i in range(50)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.join(docs, 5, 80).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.representatives(docs.union(docs.where("doc_id = 1")), 5, 80).collect())
+    assert kept == sorted([(1, " ".join(base)), (1, " ".join(other)), (4, " ".join(texts[4][1]))])
+    same = spark.createDataFrame([(9, " ".join(base)), (9, " ".join([*base, "x"])), (9, None), (9, ""), (None, " ".join(base)), (12, " ".join(["y", *base]))], "doc_id long, text string")
+    assert sorted(((r.doc_id or -1), (r.text or "")[:2]) for r in jaccard.representatives(same, 5, 80).collect()) == [(-1, "a0"), (9, ""), (9, "a0")]
+
+
+def test_token_in_all_documents(spark):
+    """A passage in every document, of many sizes around it: links only where sizes and the rest allow."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"g{i // 2}x{k}" for k in range(rng.choice([1, 4, 10, 15, 30, 200]) if i % 2 == 0 else len(rows[-1][1].split()) - 60)]
+        rows.append((i, " ".join(passage + own)))
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+
+def test_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, " ".join(words[:100_000]))]
+    assert {i: c for i, (_, c) in run(spark, rows, 5, 80).items()} == {1: 1, 2: 1, 3: 3}

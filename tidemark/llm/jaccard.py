@@ -13,17 +13,21 @@ below. Pairs that cannot reach the similarity are dropped in the join, before th
 Documents with the same set are one node. Candidates are looked for in two steps, so that a group of thousands of near
 copies does not turn into all its pairs: first each token joins its documents with a central one only; what these links
 connect is one component. Then only tokens that still stand in more than one component give pairs, and only pairs
-between components that have not been verified yet. No candidate between different components is left out, so the
+between components that have not been verified yet, met by steps of size. No join or count is dealt by an explicit
+partitioning, so the runtime splits a token that millions of documents hold. No candidate between different components is left out, so the
 components are exact; links inside a component are not listed.
 
 Null text and text without words have an empty set and link with nothing. With fewer than n words the whole sequence is
-the one n-gram. Rows with equal ids are one node for each set; rows with a null id take part under no name: they get
-their own set size and a null component. An empty table gives an empty result.
+the one n-gram. Nodes are sets, not ids: rows of one id with unequal texts are nodes of their own, and every row gets the
+component of its own text, named by the smallest id in it. Rows with a null id take part under no name: they get
+their own set size and a null component. Texts are read whole, however long; a document's prefix is one row of postings
+a token. Other columns are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, connected_components, is_small, map_text, slices, small_batches, use_table
+from tidemark.llm.common import Scratch, connected_components, is_small, map_text, maybe_broadcast, slices, small_batches, use_table
 
 #: Counters of the sketch (4 bytes each), and the blocks in which it is added up.
 SKETCH = 1 << 18
@@ -146,7 +151,7 @@ def _features(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), n)
-        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        keys = _keyed(sets)
         picked = [prefix(s, shared.value, mean, percent) if len(s) else (0, s) for s in sets]
         ends = np.cumsum([0] + [len(p) for _, p in picked]).astype(np.int32)
         flat = np.concatenate([*[p for _, p in picked], np.empty(0, dtype=np.uint64)]).view(np.int64)
@@ -161,26 +166,44 @@ def _features(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
     )
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, tokens of the documents that ids names."""
-    wanted = F.broadcast(ids) if is_small(ids) else ids
+def _keyed(sets: list[np.ndarray]) -> list[bytes | None]:
+    return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+
+
+def with_set_key(docs: DataFrame, n: int) -> DataFrame:
+    """docs with set_key, which tells sets apart; null for an empty set."""
+    at = docs.columns.index("text")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_keyed(shingle_sets(texts, n)), pa.binary())], names=[*batch.schema.names, "set_key"])
+
+    return map_text(docs, [F.col(f"`{c}`") for c in docs.columns], step, T.StructType([*docs.schema.fields, T.StructField("set_key", T.BinaryType())]), text=at)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """doc_id, set_key, tokens of the documents whose ids wanted (doc_id, set_key) names."""
+    ids = wanted.select("doc_id").distinct()
+    ids = F.broadcast(ids) if is_small(ids) else ids
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), n)
         ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
         flat = np.concatenate([*sets, np.empty(0, dtype=np.uint64)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "tokens"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_keyed(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "set_key", "tokens"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_text(named.join(wanted, "doc_id", "left_semi"), ["doc_id", "text"], step, "doc_id long, tokens array<long>")
+    return map_text(named.join(ids, "doc_id", "left_semi"), ["doc_id", "text"], step, "doc_id long, set_key binary, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """pairs (a, b) of whole sets, with linked: whether they are similar enough."""
-    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = scratch.table(_sets(docs, ids, n).groupBy("doc_id").agg(F.min_by("tokens", F.hash("tokens")).alias("tokens")))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("of_b"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = scratch.table(nodes.select("node", "doc_id", "set_key").join(named, "node"))
+    found = _sets(docs, ids, n).join(ids, ["doc_id", "set_key"])
+    sets = scratch.table(found.groupBy("node").agg(F.first("tokens").alias("tokens")))  # rows of a node hold the same set
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     union = F.size("of_a") + F.size("of_b") - both
     out = scratch.table(pairs.join(right, "b").join(left, "a").select("a", "b", (100 * both >= percent * union).alias("linked")))
@@ -228,19 +251,18 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, features: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between nodes (the smallest doc_id of each set) that connect all that is to be connected."""
-    nodes = (
-        features.where("set_key is not null and doc_id is not null")
-        .groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "level", "prefix")).alias("x"))
-        .select("x.*")
-    )
+def _size_steps(n: str, percent: int) -> str:
+    """How often the least share of similar sizes fits into a size: sizes of a link are one step apart at most."""
+    return f"ln({n}) / {math.log(100 / percent) if percent < 100 else 1e-9}"
+
+
+def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between nodes (one for each set: node, doc_id, set_key, n_shingles, level, prefix) that connect all
+    that is to be connected."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are similar to themselves only
     posted = nodes.where(F.col("n_shingles") >= F.lit(least)).select(
-        F.posexplode("prefix").alias("pos", "tok"), F.col("doc_id").alias("doc"), (F.col("n_shingles") * 16 + F.col("level")).alias("meta")
+        F.posexplode("prefix").alias("pos", "tok"), F.col("node").alias("doc"), (F.col("n_shingles") * 16 + F.col("level")).alias("meta")
     )
-    posted = posted.repartition("tok")
     twice = posted.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1").select("tok")
     own = f"meta div 16 - ({percent} * (meta div 16) + 99) div 100 + meta % 16 - count(*) over (partition by doc)"
     common = posted.join(twice, "tok").selectExpr("tok", "doc", "meta", "pos + 1L as pos", f"{own} as u", "row_number() over (partition by doc order by pos) as at")
@@ -251,31 +273,67 @@ def links(docs: DataFrame, features: DataFrame, scratch: Scratch, n: int, percen
     # The pivot of a token is the document with the fewest tokens of its own: of a group of near copies, a central one.
     pivots = shared.groupBy("tok").agg(F.min("y").alias("x"))
     star = _candidates(shared.join(pivots, "tok").where("x.doc <> y.doc"), percent)
-    tried = _verified(scratch.table(star), docs, n, percent, scratch)
+    tried = _verified(scratch.table(star), nodes, docs, n, percent, scratch)
     component = connected_components(tried.where("linked").select("a", "b"), scratch)
     placed = scratch.table(
         shared.join(component, F.col("y.doc") == F.col("node"), "left").select("tok", "y", F.coalesce("component", "y.doc").alias("c"))
     )
     mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok")
     open_ = scratch.table(placed.join(mixed, "tok", "left_semi"))
-    left = open_.select("tok", F.col("y").alias("x"), F.col("c").alias("cx"))
-    rest = _candidates(left.join(open_, "tok").where("x.doc < y.doc and cx <> c"), percent)
+    # Documents of a token meet by steps of size, the smaller one in its own and the next: each pair once, and only sizes that can link.
+    steps = F.expr(_size_steps("y.n", percent))
+    smaller = open_.select("tok", F.col("y").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.floor(steps - 1e-9), F.floor(steps + 1 + 1e-9))).alias("step"))
+    larger = open_.select("tok", "y", "c", F.floor(steps).alias("step"))
+    rest = _candidates(smaller.join(larger, ["tok", "step"]).where("(x.n < y.n or x.n = y.n and x.doc < y.doc) and cx <> c"), percent)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(scratch.table(rest.join(known, ["a", "b"], "left_anti")), docs, n, percent, scratch)
+    more = _verified(scratch.table(rest.join(known, ["a", "b"], "left_anti")), nodes, docs, n, percent, scratch)
     for t in (shared, placed, open_):
         scratch.drop(t)
     return tried.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs: similarity of at least percent / 100 links two sets."""
+def grouped(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, set_key, part (a number for each component; null: no set or no id), component_id for each row of docs."""
     if not 0 < percent <= 100 or n < 1:
         raise ValueError("percent must be in 1..100 and n positive")
     scratch = Scratch(docs.sparkSession)
     features = scratch.table(_features(docs, sketch(docs, n), n, percent))
-    component = connected_components(links(docs, features, scratch, n, percent), scratch)
-    by_set = features.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    by_set = by_set.join(component, "node", "left").select("set_key", F.coalesce("component", "node").alias("own"))
+    one = features.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "level", "prefix")).alias("x"))
+    nodes = scratch.table(one.select(F.monotonically_increasing_id().alias("node"), "set_key", "x.*"))  # numbered once, as written
+    component = connected_components(links(docs, nodes, scratch, n, percent), scratch)
+    own = nodes.select("node", "set_key", "doc_id").join(component, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("part"))
+    own = scratch.table(own)
+    least = own.groupBy("part").agg(F.min("doc_id").alias("smallest"))
+    by_set = own.select("set_key", "part").join(least, "part")
+    named = F.col("doc_id").isNotNull()
     return features.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id")).alias("component_id")
+        "doc_id", "n_shingles", "set_key", F.when(named, F.col("part")).alias("part"), F.when(named, F.coalesce("smallest", "doc_id")).alias("component_id")
     )
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs: similarity of at least percent / 100 links two sets."""
+    return grouped(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: of each component one row, that of the smallest id (of its smallest set, where the id has
+    several texts); rows without a set stay, each id once; rows without an id all stay."""
+    scratch = Scratch(docs.sparkSession)
+    groups = scratch.table(grouped(docs, n, percent).where("doc_id is not null"))
+    several = scratch.table(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    none = several.isEmpty()
+    if not none:
+        gone = gone.union(several)
+    gone = maybe_broadcast(scratch.table(gone.distinct()))
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if none:
+        return kept
+    # Rows of repeated ids are looked at by their set.
+    first = groups.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "set_key")).alias("x")).select("x.*")
+    asked = with_set_key(docs.join(maybe_broadcast(several), "doc_id", "left_semi").select(docs.columns), n).withColumn("id", F.col("doc_id").cast("long"))
+    once = asked.dropDuplicates(["id", "set_key"])
+    with_set = once.join(first.select(F.col("doc_id").alias("id"), "set_key"), ["id", "set_key"], "left_semi")
+    return kept.unionByName(with_set.select(docs.columns)).unionByName(once.where("set_key is null").select(docs.columns))
