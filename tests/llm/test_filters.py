@@ -191,7 +191,7 @@ def test_identity_terms_do_not_move_scores(spark):
     labels = labels.union(spark.createDataFrame([(1, 1, 0)], labels.schema))
     fair, plain = (toxicity.fit(docs, labels, fairness=x) for x in (8.0, 0.0))
     base = "word1 word2 word3"
-    move = lambda w: max(abs(toxicity.text_score(f"{base} {t}", w) - toxicity.text_score(base, w)) for t in toxicity.IDENTITY)
+    move = lambda w: max(abs(toxicity.text_score(f"{base} {t}", w) - toxicity.text_score(base, w)) for t in toxicity.TERMS)
     assert move(fair) < 0.02 and move(fair) <= move(plain)
 
 
@@ -201,6 +201,42 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
+def test_score_and_gradient_against_plain():
+    """Score, loss and gradient of the classifier, recomputed one by one and by differences."""
+    rng = np.random.default_rng(3)
+    index = {f: i for i, f in enumerate(["vile", "nast*", "nasty", "women", "femmes", "clean"])}
+    texts = ["Vile nasty words, nastier WOMEN!", "clean femmes. femmes clean", "", "nastiest vile 12 vile"]
+    weights = {"": -0.5} | {f: float(v) for f, v in zip(index, rng.normal(size=6), strict=True)}
+    for t in texts:
+        words = set(re.findall(r"[^\W\d_]+", t.lower()))
+        z = weights[""] + sum(v for f, v in weights.items() if f and (f in words or f[-1] == "*" and any(w.startswith(f[:-1]) and len(w) > len(f) - 1 for w in words)))
+        assert abs(toxicity.text_score(t, weights) - 1 / (1 + np.exp(-z))) < 1e-12
+    rows = [toxicity.indexed(toxicity.words(t), index) for t in texts]
+    swaps = [p for i, t in enumerate(texts) for p in toxicity.counterfactuals(t, i, index)]
+    y, w, b = np.array([1.0, 0, 0, 1]), rng.normal(size=6), 0.3
+    data, sides = toxicity.flat(rows), (toxicity.flat([a for a, _ in swaps]), toxicity.flat([c for _, c in swaps]))
+    at = lambda w, b: toxicity.loss(w, b, data, y, sides, len(swaps), 4.0, 0.01)
+    value, g, gb = at(w, b)
+    s = lambda x: 1 / (1 + np.exp(-(sum(w[i] for i in x) + b)))
+    plain = np.mean([-np.log(s(x) if k else 1 - s(x)) for x, k in zip(rows, y, strict=True)]) + 0.005 * (w @ w) + 4.0 * np.mean([(s(a) - s(c)) ** 2 for a, c in swaps])
+    assert abs(value - plain) < 1e-12
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        assert abs((at(w + step, b)[0] - at(w - step, b)[0]) / 2e-6 - g[i]) < 1e-7
+    assert abs((at(w, b + 1e-6)[0] - at(w, b - 1e-6)[0]) / 2e-6 - gb) < 1e-7
+
+
+def test_counterfactuals_swap_in_sentences():
+    index = {f: i for i, f in enumerate(["women", "wome*", "womenfolk", "men", "frauen", "juden", "walk", "walk*", "cats"])}
+    names = list(index)
+    got = [({names[i] for i in a}, {names[i] for i in b}) for a, b in toxicity.counterfactuals("Women and womenfolk walk. Cats walk! Die Frauen. 1", 14, index)]
+    assert ({"women", "wome*", "womenfolk", "walk"}, {"wome*", "womenfolk", "walk"}) in got  # what another word holds stays
+    assert any(a == {"frauen"} and not b for a, b in got) and any({"cats", "walk"} == b and len(a) >= 2 for a, b in got)
+    swapped = {t for t in toxicity.IDENTITY["de"]}
+    assert all(toxicity.LANGUAGE[t] == toxicity.IDENTITY["de"] for t in swapped if t in toxicity.IDENTITY["de"] and t not in toxicity.IDENTITY["en"])
+    assert toxicity.counterfactuals("", 3, index) == []
+
+
 def test_toxicity_defined_cases(spark):
     docs, labels = corpus(spark)
     odd = spark.createDataFrame([(None, "vileword", "x"), (9000, None, "x"), (9000, "", "x"), (9001, "vileword " * 20000, "x")], docs.schema)

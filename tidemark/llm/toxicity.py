@@ -3,13 +3,15 @@
 A logistic regression on the words of a text and the first characters of its words. It is fitted on a bounded sample of
 labelled rows (SAMPLE rows, those whose ids hash lowest), none of them from the held-out fold. Features are the FEATURES
 words or beginnings that tell the classes apart best in the sample, and all identity terms. The loss has a second
-part: for sentences of the sample with an identity term, and with one put in where there is none, the term is swapped
-for another, and the squared change of the score is penalised; so a neutral mention of a group does not move the score.
+part: in sentences of the sample that name a group, the term is swapped for another one of its language (English, German, French,
+Spanish) and left out, and into one that names none a term is put; the squared change of the sentence's score is penalised,
+so that a neutral mention of a group does not move the score.
 The fitted weights are a bounded table that goes to all tasks; scoring is one pass over whole texts without a shuffle.
 
 Only the text is an input of a score. Null text counts as empty and gets the score of a text without known features.
 Labels that are null are not learned from; of several labels of an id the largest counts. Without labelled rows of
-both classes the score is 0 for all rows. Rows are scored one by one, repeated and null ids included.
+both classes the score is 0 for all rows. Rows are scored one by one, repeated and null ids included; texts whole, however
+long, in slices of bounded bytes. Other columns are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_text, small_batches, use_table
+from tidemark.llm.common import Scratch, map_text, small_batches, use_table
 
 #: Labelled rows to learn from, and features kept: what is collected is bounded by these.
 SAMPLE = 12_000
@@ -31,13 +33,32 @@ FEATURES = 3_000
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
-#: Terms that name groups of people; a mention alone says nothing about toxicity.
-IDENTITY = (
-    "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "buddhist", "atheist", "catholic",
-    "black", "white", "asian", "latino", "african", "european", "immigrant", "immigrants", "refugee", "refugees",
-    "gay", "lesbian", "bisexual", "transgender", "queer", "straight", "woman", "women", "man", "men", "girl", "boy",
-    "old", "young", "blind", "deaf", "disabled", "autistic", "mexican", "chinese", "german", "french", "spanish",
-)
+#: Sentences with a term of which counterfactuals are made, of each sampled row.
+SENTENCES = 4
+SENTENCE = re.compile(r"[.!?\n]+")
+#: Terms that name groups of people, by language; a mention alone says nothing about toxicity.
+IDENTITY = {
+    "en": (
+        "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "buddhist", "atheist", "catholic",
+        "black", "white", "asian", "latino", "african", "european", "immigrant", "immigrants", "refugee", "refugees",
+        "gay", "lesbian", "bisexual", "transgender", "queer", "straight", "woman", "women", "man", "men", "girl", "boy",
+        "old", "young", "blind", "deaf", "disabled", "autistic", "mexican", "chinese", "german", "french", "spanish",
+    ),
+    "de": (
+        "muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken", "schwarze", "weiße", "asiaten", "afrikaner",
+        "einwanderer", "flüchtlinge", "schwule", "lesben", "frauen", "männer", "mädchen", "jungen", "alte", "blinde", "behinderte", "türken",
+    ),
+    "fr": (
+        "musulmans", "chrétiens", "juifs", "bouddhistes", "athées", "catholiques", "noirs", "blancs", "asiatiques", "africains",
+        "immigrés", "réfugiés", "homosexuels", "lesbiennes", "femmes", "hommes", "filles", "garçons", "vieux", "aveugles", "handicapés", "arabes",
+    ),
+    "es": (
+        "musulmanes", "cristianos", "judíos", "budistas", "ateos", "católicos", "negros", "blancos", "asiáticos", "africanos",
+        "inmigrantes", "refugiados", "homosexuales", "lesbianas", "mujeres", "hombres", "chicas", "chicos", "viejos", "ciegos", "discapacitados", "gitanos",
+    ),
+}
+TERMS = tuple(dict.fromkeys(t for terms in IDENTITY.values() for t in terms))
+LANGUAGE = {t: terms for terms in IDENTITY.values() for t in terms}
 
 
 def parts(word: str) -> tuple[str, ...]:
@@ -85,36 +106,93 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "feature string, toxic int, n long")
 
 
+def indexed(found: set[str], index: dict[str, int]) -> list[int]:
+    """Numbers of the features of some words, in order."""
+    return sorted({index[p] for w in found for p in parts(w) if p in index})
+
+
+def counterfactuals(text: str, turn: int, index: dict[str, int]) -> list[tuple[list[int], list[int]]]:
+    """Pairs of feature lists of sentences that differ in one identity term.
+
+    In the first SENTENCES sentences that name a group, its term is swapped for another one of the same language, and left
+    out; into the first sentence that names none, a term is put. turn says which term comes in.
+    """
+    out, plain, taken = [], None, 0
+    for sentence in SENTENCE.split(text.lower()):
+        found = set(WORD.findall(sentence))
+        named = sorted(found.intersection(LANGUAGE))
+        if named and taken < SENTENCES:
+            taken += 1
+            term = named[turn % len(named)]
+            rest = found - {term}
+            others = [t for t in LANGUAGE[term] if t not in found]
+            own = indexed(found, index)
+            out.append((own, indexed(rest, index)))
+            if others:
+                out.append((own, indexed(rest | {others[turn % len(others)]}, index)))
+        elif found and plain is None and not named:
+            plain = found
+    if plain is not None:
+        out.append((indexed(plain | {TERMS[turn % len(TERMS)]}, index), indexed(plain, index)))
+    return out
+
+
 def _rows(rows: DataFrame, index: dict[str, int]) -> list:
+    """toxic, features, swaps of each row of the sample."""
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted({index[p] for w in words(t or "") for p in parts(w) if p in index}) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "features"])
+        use_table("toxicity", lambda: None)
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        found = [indexed(words(t), index) for t in texts]
+        swaps = [[{"a": a, "b": b} for a, b in counterfactuals(t, int(i) % 7919, index)] for t, i in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        lists = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, lists), pa.array(swaps, pa.list_(pa.struct([("a", lists), ("b", lists)])))], names=["toxic", "features", "swaps"])
+
+    return map_text(rows, ["text", "toxic", "doc_id"], step, "toxic int, features array<int>, swaps array<struct<a: array<int>, b: array<int>>>", text=0).collect()  # SAMPLE rows
+
+
+def flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Feature lists as the row and the feature of each entry."""
+    where = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return where, np.concatenate([*[np.asarray(x, dtype=np.int64) for x in lists], np.empty(0, dtype=np.int64)])
 
-    return map_text(rows, ["text", "toxic"], step, "toxic int, features array<int>", text=0).collect()  # SAMPLE rows
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
-def minimise(rows: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], size: int, fairness: float, ridge: float = 5e-5, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias: logistic loss + ridge + fairness * mean squared score change over swaps."""
 
-    def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        where = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        return where, np.concatenate([*lists, np.empty(0)]).astype(np.int64)
+def loss(w: np.ndarray, b: float, data: tuple, y: np.ndarray, swaps: tuple[tuple, tuple], pairs: int, fairness: float, ridge: float) -> tuple[float, np.ndarray, float]:
+    """Mean logistic loss + ridge / 2 * squared weights + fairness * mean squared score change over swaps; its gradient by weights and
+    by bias."""
 
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-    score = lambda w, b, f, n: sigmoid(np.bincount(f[0], weights=w[f[1]], minlength=n) + b)
-    data, left, right = flat(rows), flat([a for a, _ in swaps]), flat([b for _, b in swaps])
+    def score(f: tuple, n: int) -> np.ndarray:
+        return sigmoid(np.bincount(f[0], weights=w[f[1]], minlength=n) + b)
+
+    def spread(f: tuple, by_row: np.ndarray) -> np.ndarray:
+        return np.bincount(f[1], weights=by_row[f[0]], minlength=len(w))
+
+    p = score(data, len(y))
+    error = (p - y) / len(y)
+    value = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) + ridge / 2 * float(w @ w)
+    g, gb = spread(data, error) + ridge * w, float(error.sum())
+    if pairs:
+        p, q = (score(f, pairs) for f in swaps)
+        value += fairness * float(((p - q) ** 2).mean())
+        change = 2 * fairness * (p - q) / pairs
+        dp, dq = change * p * (1 - p), -change * q * (1 - q)
+        g += spread(swaps[0], dp) + spread(swaps[1], dq)
+        gb += float(dp.sum() + dq.sum())
+    return value, g, gb
+
+
+def minimise(rows: list, y: np.ndarray, swaps: list[tuple], size: int, fairness: float, ridge: float = 5e-5, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least loss(), by Adam with a falling rate."""
+    data, sides = flat(rows), (flat([a for a, _ in swaps]), flat([b for _, b in swaps]))
     share = y.mean()
     w, b = np.zeros(size), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        error = (score(w, b, data, len(rows)) - y) / len(rows)
-        g, gb = np.bincount(data[1], weights=error[data[0]], minlength=size) + ridge * w, error.sum()
-        if swaps:
-            p, q = score(w, b, left, len(swaps)), score(w, b, right, len(swaps))
-            change = 2 * fairness * (p - q) / len(swaps)
-            dp, dq = change * p * (1 - p), -change * q * (1 - q)
-            g += np.bincount(left[1], weights=dp[left[0]], minlength=size) + np.bincount(right[1], weights=dq[right[0]], minlength=size)
-            gb += dp.sum() + dq.sum()
+        _, g, gb = loss(w, b, data, y, sides, len(swaps), fairness, ridge)
         rate = 0.2 * (1 - 0.9 * t / steps)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -123,23 +201,10 @@ def minimise(rows: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray
     return w, float(b)
 
 
-def counterfactuals(rows: list[np.ndarray], index: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of feature lists that differ in one identity term."""
-    own = [np.array(sorted({index[p] for p in parts(t) if p in index}), dtype=np.int64) for t in IDENTITY]
-    word = {index[t]: k for k, t in enumerate(IDENTITY)}
-    out = []
-    for i, x in enumerate(rows):
-        held = [word[f] for f in x.tolist() if f in word] or [i % len(IDENTITY)]
-        for k in held[:2]:
-            other = own[(k + 1 + i % (len(IDENTITY) - 1)) % len(IDENTITY)]
-            without = np.setdiff1d(x, own[k])
-            out += [(np.union1d(without, own[k]), np.union1d(without, other)), (np.union1d(without, own[k]), without)]
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, features: int = FEATURES, fairness: float = 4.0) -> dict[str, float]:
     """Weight of each feature; "" has the bias. Empty if there is nothing to learn from."""
-    rows = sample(docs, labels, size)
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(sample(docs, labels, size))  # the documents are read once for the fit
     totals = {int(r.toxic > 0): r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     if len(totals) < 2:
         return {}
@@ -158,11 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, features: int =
         .collect()  # FEATURES rows
     )
     index: dict[str, int] = {}
-    for f in [*(r.feature for r in best), *IDENTITY]:
+    for f in [*(r.feature for r in best), *TERMS]:
         index.setdefault(f, len(index))
-    got = sorted(((int(r.toxic > 0), tuple(r.features)) for r in _rows(rows, index)))
-    lists = [np.array(f, dtype=np.int64) for _, f in got]
-    w, b = minimise(lists, np.array([t for t, _ in got], dtype=np.float64), counterfactuals(lists, index), len(index), fairness)
+    got = sorted((int(r.toxic > 0), tuple(r.features), tuple((tuple(p.a), tuple(p.b)) for p in r.swaps)) for r in _rows(rows, index))
+    scratch.drop(rows)
+    swaps = [p for _, _, pairs in got for p in pairs]
+    w, b = minimise([f for _, f, _ in got], np.array([t for t, _, _ in got], dtype=np.float64), swaps, len(index), fairness)
     return {"": b} | {f: float(w[i]) for f, i in index.items()}
 
 
