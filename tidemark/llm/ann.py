@@ -3,8 +3,8 @@
 The tree is fitted on a bounded sample (SAMPLE rows) by recursive spherical k-means; every row is indexed in the leaf that
 greedy descent gives. A query walks the tree with a priority queue: the branch whose centre is nearest comes first,
 inner nodes put their children into the queue, leaves are visited. How many leaves are visited is calibrated: the true
-neighbours of CALIBRATION queries among all rows are found by brute force, and the number of visits is doubled until the
-share of them that lies in visited leaves reaches the target. Queries meet rows by leaf; leaves with many rows are split
+neighbours of CALIBRATION queries among all rows are found by brute force, and visits are widened leaf by leaf until the share of them that
+lies in visited leaves reaches the target. Queries meet rows by leaf; leaves with many rows are split
 into blocks, and of equal vectors only as many rows as can be among the nearest are kept, smallest ids first (the
 others cannot be in a result, since ties go to smaller ids), so no task holds an unbounded group. Scores are exact
 cosines in double precision.
@@ -31,8 +31,8 @@ from tidemark.llm.vectors import cosine, kmeans, matrix, sample, unit, usable
 SAMPLE = 20_000
 LEAF = 48
 BRANCH = 8
-CALIBRATION = 128
-TARGET = 0.97
+CALIBRATION = 256
+TARGET = 0.93
 BLOCK_ROWS = 4096
 
 
@@ -177,7 +177,7 @@ def exact(queries: pd.DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 
 def _calibrated(queries: DataFrame, rows: DataFrame, shared, counts: np.ndarray, k: int, target: float) -> int:
-    """Leaves to visit: doubled until so much of the true neighbours of some queries lies in visited leaves."""
+    """Leaves to visit: as few as hold so much of the true neighbours of some queries."""
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).toPandas()
     tree: Tree = shared.value
     if some.empty:
@@ -188,7 +188,4 @@ def _calibrated(queries: DataFrame, rows: DataFrame, shared, counts: np.ndarray,
     for i, q in enumerate(some["vec_id"]):
         place[q] = {leaf: n for n, leaf in enumerate(tree.visits(nearness[i], counts, tree.leaves, 0))}
     needed = np.array([place[q][leaf] for q, leaf in zip(true["query_id"], true["leaf"], strict=True)])
-    wide = 1
-    while wide < tree.leaves and (needed < wide).mean() < target:
-        wide *= 2
-    return min(wide, tree.leaves)
+    return int(np.quantile(needed, target, method="higher")) + 1
