@@ -143,6 +143,51 @@ def test_completion_beats_best_fit():
     assert len(packing.complete(lengths, 100)) == 16 == -(-sum(lengths) // 100)
 
 
+def all_undominated(sizes, room):
+    """Every maximal filling without a piece that a longer one left over could replace, by trying all."""
+    import itertools
+    from collections import Counter
+
+    out = set()
+    for pick in itertools.product(*[range(n + 1) for n in sizes.values()]):
+        taken = dict(zip(sizes, pick, strict=True))
+        left = room - sum(s * n for s, n in taken.items())
+        spare = [s for s, n in sizes.items() if n > taken[s]]
+        if left >= 0 and not any(s <= left for s in spare) and not any(n and c < s <= c + left for c, n in taken.items() for s in spare):
+            out.add(tuple(sorted(Counter(taken).elements(), reverse=True)))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), min_size=1, max_size=5), st.integers(1, 70))
+def test_fillings_are_the_undominated_ones(sizes, room):
+    from collections import Counter
+
+    got = [tuple(sorted(f, reverse=True)) for f in packing.fillings(Counter(sizes), sorted(sizes, reverse=True), room, 10_000)]
+    assert len(got) == len(set(got)) and set(got) == all_undominated(sizes, room)
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_fillings_of_many_pieces():
+    from collections import Counter
+
+    assert packing.fillings(Counter({1: 5000}), [1], 2000, 64) == [[1] * 2000]
+    many = Counter({s: 1 for s in range(1, 301)})
+    got = packing.fillings(many, sorted(many, reverse=True), 1500, 64)
+    assert len(got) == 64 and sum(got[0]) == 1500
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.llm.common import scratch_root
+
+    session = lambda master, named: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None), conf=SimpleNamespace(get=lambda k, d: named))
+    with pytest.raises(RuntimeError):
+        scratch_root(session("spark://host:7077", None))
+    assert scratch_root(session("spark://host:7077", "hdfs://shared")) is None and scratch_root(session("local[4]", None)) is None
+
+
 def test_tokenizer_file_is_as_assumed():
     spec = json.load(open(WORDS))
     assert [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]

@@ -4,18 +4,22 @@ Documents become token ids and an end id, cut into pieces of at most `capacity`.
 The rest is dealt evenly over shards of a few thousand pieces, and each shard is packed on its own: best fit decreasing
 gives the incumbent; if it uses more sequences than the total length needs, a branch and bound fills sequence after
 sequence around the largest piece left, over the undominated fillings (no piece in it could be swapped for a longer one
-that still fits), least waste first, and leaves a branch once its waste exceeds what a better solution may waste. What
+that still fits), least waste first, and leaves a branch once its waste exceeds what a better solution may waste. It opens the
+LOOSE_BINS least full sequences of a shard, tries FILLINGS fillings around a piece and BUDGET in all, and keeps the
+incumbent beyond. What
 stands in the least filled sequence of each shard is packed once more, 64 shards together, so that sequences
 which are not full stay few however many shards there are. Only (id, piece, length) rows are shuffled; a shard has a
 bounded number of rows whatever the ids are, as rows are dealt by their place in the input and not by a key.
 
 Null text counts as empty: the end id alone. Repeated ids and rows are packed as often as they stand. An empty table
-gives an empty result. Lengths over the capacity cannot occur, since documents are cut; capacity must be positive.
+gives an empty result. Lengths over the capacity cannot occur, since documents are cut; capacity must be positive. Texts are
+encoded whole, however long. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +37,9 @@ from tidemark.llm.words import KNOWN, word_ids
 SHARD_ROWS = 4096
 #: Fillings that the branch and bound looks at in a shard before it keeps the incumbent.
 BUDGET = 3000
+#: Fillings tried around one piece, and bins (the least full) that are opened again for the search; the others keep their best fit.
+FILLINGS = 64
+LOOSE_BINS = 120
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, shards: int = 1, with_ids: bool = True, remember: int = KNOWN) -> DataFrame:
@@ -91,33 +98,41 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def fillings(counts: Counter, sizes: list[int], room: int, most: int) -> list[list[int]]:
-    """Undominated fillings of the room, least waste first; `most` bounds how many are looked at."""
+    """Undominated fillings of the room, least waste first: no piece in one could be swapped for a longer one left over that still
+    fits. The first found takes the longest pieces that fit; the search ends after `most` of them, or 40 * most steps.
+
+    sizes: in falling order. A size is taken as often as it can be, then once less, and so on, so a step is a size and not a piece.
+    """
     found: list[tuple[int, list[int]]] = []
-    looked = 0
-
-    def go(k: int, left: int, chosen: list[int]) -> bool:
-        nonlocal looked
-        looked += 1
-        if looked > most:
-            return True
-        fit = next((s for s in sizes[k:] if s <= left and counts[s] > chosen.count(s)), None)
-        if fit is None:
-            swaps = any(c < s <= c + left and counts[s] > chosen.count(s) for c in set(chosen) for s in sizes)
-            if not swaps:
-                found.append((left, list(chosen)))
-            return left == 0 and len(found) > 8
-        for i in range(sizes.index(fit, k), len(sizes)):
-            s = sizes[i]
-            if s <= left and counts[s] > chosen.count(s):
-                chosen.append(s)
-                stop = go(i, left - s, chosen)
-                chosen.pop()
-                if stop:
-                    return True
+    rising = [-s for s in sizes]
+    steps = 0
+
+    def undominated(left: int, chosen: list[tuple[int, int]]) -> bool:
+        taken = dict(chosen)
+        for c in (0, *taken):
+            for s in sizes[bisect_left(rising, -(c + left)) : bisect_left(rising, -c)]:  # longer than c (0: none), and fitting in its place
+                if counts[s] > taken.get(s, 0):
+                    return False
+        return True
+
+    def go(k: int, left: int, chosen: list[tuple[int, int]]) -> bool:
+        nonlocal steps
+        steps += 1
+        k = max(k, bisect_left(rising, -left))  # the first size that fits
+        while k < len(sizes) and not counts[sizes[k]]:
+            k += 1
+        if k == len(sizes):
+            if undominated(left, chosen):
+                found.append((left, [s for s, n in chosen for _ in range(n)]))
+            return len(found) >= most
+        s = sizes[k]
+        for n in range(min(counts[s], left // s), -1, -1):
+            if go(k + 1, left - n * s, [*chosen, (s, n)] if n else chosen) or steps >= 40 * most:
+                return True
         return False
 
     go(0, room, [])
-    return [x for _, x in sorted(found, key=lambda f: f[0])] or [[]]
+    return [x for _, x in sorted(found, key=lambda f: f[0])]
 
 
 def complete(lengths: list[int], capacity: int, budget: int = BUDGET) -> list[list[int]]:
@@ -139,7 +154,7 @@ def complete(lengths: list[int], capacity: int, budget: int = BUDGET) -> list[li
         sizes = sorted((s for s, n in counts.items() if n), reverse=True)
         top = sizes[0]
         counts[top] -= 1
-        for filling in fillings(counts, sizes, capacity - top, 64):
+        for filling in fillings(counts, sizes, capacity - top, FILLINGS):
             spent += 1
             more = capacity - top - sum(filling)
             if waste + more > may and left > top + sum(filling):
@@ -156,9 +171,9 @@ def complete(lengths: list[int], capacity: int, budget: int = BUDGET) -> list[li
         counts[top] += 1
 
     if len(best) > least and lengths:
-        # The branch and bound takes the shortest half of the bins' worth, where waste gathers; the fullest bins stay.
+        # The branch and bound takes the bins where waste gathers; the fullest stay.
         best.sort(key=lambda b: capacity - sum(b))
-        keep, loose = best[:-120], best[-120:]
+        keep, loose = best[:-LOOSE_BINS], best[-LOOSE_BINS:]
         if keep:
             return keep + complete([x for b in loose for x in b], capacity, budget)
         search(Counter(lengths), [], 0, total)
