@@ -8,7 +8,7 @@ corpus-wide one; those words are encoded again one by one. Every word is encoded
 so the work follows the number of distinct words; no rows are shuffled.
 
 Null text counts as empty: no tokens, decoded to no bytes. Rows are kept one to one, repeated ids included; other
-columns are not read. Memory: a slice of texts, its words, and a bounded table of known words.
+columns are not read. An empty table gives an empty result. Memory: a slice of texts, its words, and a bounded table of known words.
 """
 
 from __future__ import annotations

@@ -24,10 +24,13 @@ BATCH_BYTES = 2_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one is set only where there is none (tests on one machine)."""
+    """The shared folder that the cluster names. One is set only where there is none and all tasks run on this machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: scratch tables need a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 

@@ -9,7 +9,8 @@ unit must hold one. Built-in functions only, no shuffle; templates are a few con
 Licence text that spans lines or stands inside one is found by passages(): windows of a template's length in words.
 
 Null and empty texts, and units without a bigram, match nothing. Rows are scanned one by one: repeated ids give repeated
-rows, null ids are kept. Of several templates of a unit the best wins, of equally good ones the first by name.
+rows, null ids are kept; texts are scanned whole, however long. Other columns are not read, whatever their names, and an empty table
+gives an empty result. Of several templates of a unit the best wins, of equally good ones the first by name.
 """
 
 from __future__ import annotations

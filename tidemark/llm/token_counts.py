@@ -6,7 +6,8 @@ end belongs to the line that it ends). Both are ordered, so the interval join is
 starts. A token that crosses a boundary goes to the section that holds most of its characters, the earlier one in a tie;
 so every token is counted once, and the counts of the sections add up to the count of the document.
 
-Null text counts as empty: one section without tokens. Rows are treated one by one, repeated and null ids included.
+Null text counts as empty: one section without tokens. Rows are treated one by one, repeated and null ids included; texts are
+encoded whole, however long. Other columns are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
