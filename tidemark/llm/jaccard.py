@@ -13,7 +13,8 @@ below. Pairs that cannot reach the similarity are dropped in the join, before th
 Documents with the same set are one node. Candidates are looked for in two steps, so that a group of thousands of near
 copies does not turn into all its pairs: first each token joins its documents with a central one only; what these links
 connect is one component. Then only tokens that still stand in more than one component give pairs, and only pairs
-between components that have not been verified yet, met by steps of size. No join or count is dealt by an explicit
+between components that have not been verified yet, met by steps of size, and of the tokens that a pair shares only from the one
+on that can be the last of those it must share. No join or count is dealt by an explicit
 partitioning, so the runtime splits a token that millions of documents hold. No candidate between different components is left out, so the
 components are exact; links inside a component are not listed.
 
@@ -251,6 +252,13 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _late_candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of met with a shared token that can be the last of as many as must be shared: in both documents, as many
+    tokens that another prefix has stand up to it. A pair that shares enough has such a token, and most others have none."""
+    late = f"least(x.at, y.at) >= {_need('x', 'y', percent)}"
+    return met.where(f"{late} and {_may_link('x', 'y', percent)}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
 def _size_steps(n: str, percent: int) -> str:
     """How often the least share of similar sizes fits into a size: sizes of a link are one step apart at most."""
     return f"ln({n}) / {math.log(100 / percent) if percent < 100 else 1e-9}"
@@ -284,7 +292,7 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, percent:
     steps = F.expr(_size_steps("y.n", percent))
     smaller = open_.select("tok", F.col("y").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.floor(steps - 1e-9), F.floor(steps + 1 + 1e-9))).alias("step"))
     larger = open_.select("tok", "y", "c", F.floor(steps).alias("step"))
-    rest = _candidates(smaller.join(larger, ["tok", "step"]).where("(x.n < y.n or x.n = y.n and x.doc < y.doc) and cx <> c"), percent)
+    rest = _late_candidates(smaller.join(larger, ["tok", "step"]).where("(x.n < y.n or x.n = y.n and x.doc < y.doc) and cx <> c"), percent)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(scratch.table(rest.join(known, ["a", "b"], "left_anti")), nodes, docs, n, percent, scratch)
