@@ -259,6 +259,16 @@ def _late_candidates(met: DataFrame, percent: int) -> DataFrame:
     return met.where(f"{late} and {_may_link('x', 'y', percent)}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
+def _last_of_alike(shared: DataFrame) -> DataFrame:
+    """tok: of tokens that stand in the same documents, the last one in the global order. A pair shares all of them or none, and if
+    any can be the last that it must share, so can that one. Documents are told apart by a count and two sums of hashes."""
+    each = F.xxhash64("y.doc")
+    alike = shared.groupBy("tok").agg(
+        F.count("*").alias("n"), F.bit_xor(each).alias("p"), F.sum(F.shiftright(each, 31)).alias("q"), F.min(F.struct("y.doc", "y.at")).alias("least")
+    )
+    return alike.groupBy("n", "p", "q", "least.doc").agg(F.max(F.struct("least.at", "tok")).alias("last")).select("last.tok")
+
+
 def _size_steps(n: str, percent: int) -> str:
     """How often the least share of similar sizes fits into a size: sizes of a link are one step apart at most."""
     return f"ln({n}) / {math.log(100 / percent) if percent < 100 else 1e-9}"
@@ -287,7 +297,7 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, percent:
         shared.join(component, F.col("y.doc") == F.col("node"), "left").select("tok", "y", F.coalesce("component", "y.doc").alias("c"))
     )
     mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok")
-    open_ = scratch.table(placed.join(mixed, "tok", "left_semi"))
+    open_ = scratch.table(placed.join(mixed, "tok", "left_semi").join(_last_of_alike(shared), "tok", "left_semi"))
     # Documents of a token meet by steps of size, the smaller one in its own and the next: each pair once, and only sizes that can link.
     steps = F.expr(_size_steps("y.n", percent))
     smaller = open_.select("tok", F.col("y").alias("x"), F.col("c").alias("cx"), F.explode(F.sequence(F.floor(steps - 1e-9), F.floor(steps + 1 + 1e-9))).alias("step"))
