@@ -152,3 +152,11 @@ def test_long_text(spark):
     words = [f"w{i}" for i in range(200_000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, " ".join(words[:100_000]))]
     assert {i: c for i, (_, c) in run(spark, rows, 5, 80).items()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_tokens_above_the_noise_of_the_sketch_come_last():
+    tokens = np.arange(1, 101, dtype=np.uint64) << np.uint64(40) | np.arange(1, 101, dtype=np.uint64)
+    counts = np.full(jaccard.SKETCH, 400, dtype=np.int64)
+    counts[1:31] = 450  # 2.5 times the root of the usual counter above it
+    kept = jaccard.prefix(tokens, counts, 400.0, 60)[1]
+    assert len(kept) == 41 and not set(kept.tolist()) & set(tokens[:30].tolist())

@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
 A document's set holds its distinct word n-grams (hashed to 64 bits). All sets are put in one global order, rarest
-tokens first; how common a token is comes from a count sketch of fixed size over all documents, which tells apart
-whatever stands in more than a small share of them, at any scale. If two sets are similar enough, their prefixes of
+tokens first; how common a token is comes from a count sketch of fixed size over all documents. Tokens that share a counter
+add noise of about the square root of the median counter, so what is told apart is a token that stands in more than twice
+that many documents: a bound that grows with the root of the corpus. The order needs to be the same for all, not exact. If two sets are similar enough, their prefixes of
 length n - c + l (c: the least overlap that a set of size n allows, l: a level) share at least l tokens. Each document
 takes the level that makes its estimated cost least: the postings to scan plus the candidates to verify, which are at
 most the postings divided by l. A pair is a candidate if its prefixes share at least as many tokens as the lower of the
@@ -129,17 +130,17 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, mean: float, percent: int) -> tuple[int, np.ndarray]:
-    """A document's level and its prefix at that level."""
+def prefix(tokens: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[int, np.ndarray]:
+    """A document's level and its prefix at that level. usual: the median counter, which common tokens do not move."""
     n = len(tokens)
     c = (percent * n + 99) // 100
     often = counts[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
-    ratio = often / max(mean, 1.0)
-    rank = np.where(ratio < 1.5, 0, 1 + np.floor(np.log2(np.maximum(ratio, 1.0)))).astype(np.uint64)
+    excess = (often - usual) / math.sqrt(max(usual, 1.0))
+    rank = np.floor(np.log2(np.maximum(excess, 1.0))).astype(np.uint64)
     order = np.argsort((np.minimum(rank, np.uint64(63)) << np.uint64(58)) | (tokens >> np.uint64(6)), kind="stable")
     base = n - c
     most = min(MAX_LEVEL, c)
-    scan = np.cumsum(np.maximum(often[order[: base + most]] - mean, 0.0) + 1.0)[base:]
+    scan = np.cumsum(np.maximum(often[order[: base + most]] - usual, 0.0) + 1.0)[base:]
     levels = np.arange(1, most + 1)
     level = int(np.argmin(scan + VERIFY * scan / levels)) + 1 if scan[0] > 4 * (base + 1) else 1
     return level, tokens[order[: base + level]]
@@ -147,13 +148,13 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, mean: float, percent: int) ->
 
 def _features(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_key, level, prefix: one row per row of docs."""
-    mean = float(counts.mean())
+    usual = float(np.median(counts))
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # SKETCH numbers
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), n)
         keys = _keyed(sets)
-        picked = [prefix(s, shared.value, mean, percent) if len(s) else (0, s) for s in sets]
+        picked = [prefix(s, shared.value, usual, percent) if len(s) else (0, s) for s in sets]
         ends = np.cumsum([0] + [len(p) for _, p in picked]).astype(np.int32)
         flat = np.concatenate([*[p for _, p in picked], np.empty(0, dtype=np.uint64)]).view(np.int64)
         return pa.RecordBatch.from_arrays(
