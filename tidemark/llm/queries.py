@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, jaccard, license_scan, packing, secret_scan, token_counts, toxicity, url_filter, vector_dedup
+from tidemark.llm import ann, bpe, jaccard, kd_clusters, license_scan, packing, secret_scan, token_counts, toxicity, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,6 +138,37 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(k: int = 16, rounds: int = 3) -> str:
+    parts = [
+        f"""kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v AS c
+            FROM kept WHERE vec_id IS NOT NULL QUALIFY cluster < {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+            SELECT r, vec_id, v, c, cluster, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS distance
+            FROM kept, c{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (
+            SELECT cluster, list(m ORDER BY i) AS c FROM (
+                SELECT cluster, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM a{i}, range(1, 65) t(i) GROUP BY cluster, i)
+            GROUP BY cluster),
+        c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+               CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds}"""
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_vector_dedup": op2_vector_dedup,
@@ -150,5 +181,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": _op6_sql(), "op7_license_scans": _op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": _op6_sql(), "op7_license_scans": _op7_sql(), "op12_centroid_clusters": _op12_sql()}
