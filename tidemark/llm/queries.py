@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, jaccard, kd_clusters, license_scan, packing, secret_scan, token_counts, toxicity, url_filter, vector_dedup
+from tidemark.llm import ann, bpe, jaccard, kd_clusters, license_scan, packing, prefix_trie, secret_scan, token_counts, toxicity, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,6 +169,40 @@ def _op12_sql(k: int = 16, rounds: int = 3) -> str:
         FROM a{rounds}"""
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
+def _op13_sql() -> str:
+    byte = "list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))"
+    step = "lambda p, q: CASE WHEN p % 2 = 1 THEN xor(p // 2, 3988292384) ELSE p // 2 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), {step})), 4294967295)"
+    return f"""
+        WITH turns AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+                   md5(to_json([coalesce(role, ''), coalesce(text, '')])) AS u, length(coalesce(text, '')) AS size
+            FROM conversations WHERE conv_id IS NOT NULL),
+        named AS (SELECT c, list(u ORDER BY k) AS u, list(size ORDER BY k) AS size, CAST(c AS VARCHAR) AS s FROM turns GROUP BY c),
+        own AS (SELECT c, u, size, {crc} % 6 AS h FROM named),
+        rebuilt AS (
+            SELECT o.c, list_concat(coalesce(b.u[1:o.h], []), o.u[o.h + 1:]) AS u, list_concat(coalesce(b.size[1:o.h], []), o.size[o.h + 1:]) AS size
+            FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+        prefixes AS (SELECT c, d, u[1:d] AS path, coalesce(size[d], 0) AS size, d = len(u) AS last FROM rebuilt, unnest(range(0, len(u) + 1)) t(d)),
+        nodes AS MATERIALIZED (
+            SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(CASE WHEN d = 0 THEN 0 ELSE size END) AS saving,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+            FROM prefixes GROUP BY path, d),
+        linked AS MATERIALIZED (
+            SELECT n.*, p.conv_id AS parent_conv_id, count(k.d) AS n_children
+            FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+            LEFT JOIN nodes k ON k.d = n.d + 1 AND k.path[1:k.d - 1] = n.path GROUP BY ALL),
+        below AS (
+            SELECT path[1:a] AS path, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saving) AS saved_tokens
+            FROM linked, unnest(range(0, d + 1)) t(a) GROUP BY ALL)
+        SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+        FROM linked JOIN below USING (path, d)"""
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_vector_dedup": op2_vector_dedup,
@@ -182,5 +216,6 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": _op6_sql(), "op7_license_scans": _op7_sql(), "op12_centroid_clusters": _op12_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": _op6_sql(), "op7_license_scans": _op7_sql(), "op12_centroid_clusters": _op12_sql(), "op13_prefix_trie": _op13_sql()}
