@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, jaccard, kd_clusters, license_scan, packing, prefix_trie, secret_scan, token_counts, toxicity, url_filter, vector_dedup
+from tidemark.llm import ann, bpe, jaccard, kd_clusters, license_scan, packing, prefix_trie, secret_scan, suffix_dedup, token_counts, toxicity, url_filter, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,6 +138,32 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400).drop("removed")
+
+
+def _op11_sql(least: int = 400) -> str:
+    return f"""
+        WITH texts AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, length(x) // 2 AS n FROM documents),
+        starts AS MATERIALIZED (
+            SELECT r, p, md5_number(substr(x, 2 * p + 1, {2 * least})) AS m FROM texts, unnest(range(0, n - {least - 1})) t(p)),
+        again AS (SELECT r, p FROM starts WHERE m IN (SELECT m FROM starts GROUP BY m HAVING count(*) > 1)),
+        marked AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + {least} THEN 0 ELSE 1 END AS opens FROM again),
+        numbered AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS run FROM marked),
+        runs AS MATERIALIZED (SELECT r, run, min(p) AS a, max(p) + {least} AS b FROM numbered GROUP BY r, run),
+        gaps AS (
+            SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM runs
+            UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+        kept AS (
+            SELECT r, sha256(unhex(string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a, b NULLS LAST))) AS kept_sha256
+            FROM gaps JOIN texts USING (r) GROUP BY r),
+        totals AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               coalesce(kept_sha256, sha256(unhex(x))) AS kept_sha256
+        FROM texts LEFT JOIN totals USING (r) LEFT JOIN kept USING (r)"""
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_clusters.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -215,7 +241,10 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scans": op9_secret_scans,
     "op10_toxicity": op10_toxicity,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": _op6_sql(), "op7_license_scans": _op7_sql(), "op12_centroid_clusters": _op12_sql(), "op13_prefix_trie": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": _op6_sql(), "op7_license_scans": _op7_sql(), "op11_suffix_dedup": _op11_sql(), "op12_centroid_clusters": _op12_sql(), "op13_prefix_trie": _op13_sql(),
+}
