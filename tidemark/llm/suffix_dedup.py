@@ -9,7 +9,7 @@ Rounds go over anchors. Their ranks are those of their first `half` bytes; then
 `half` bytes further on, which is past what all strings of an anchor share. Spark sorts the distinct pairs to number them,
 and anchors whose rank is theirs alone leave the table. The last round goes to `least` bytes. Where everything that an
 anchor's starts reach stands elsewhere too, they are settled as one; the rest, at the edges of repeated passages, is
-resolved start by start.
+narrowed in blocks of sixteen starts and at last start by start.
 
 A text is known by 128 bits of its digest; equal texts are so many rows of one key, and count as often as they stand.
 """
@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, maybe_broadcast, slices, small_batches
+from tidemark.llm.common import BROADCAST_ROWS, Scratch, maybe_broadcast, slices, small_batches
 
 GRAM = 16
+#: Starts that are looked at together where a range as a whole has no equal.
+BLOCK = 16
 KEY = ["k1", "k2"]
+UNIT = [*KEY, "at", "lo", "hi"]
 ANCHORS = "k1 long, k2 long, at int, lo int, hi int, f1 long, f2 long, g1 long, g2 long"
 
 
@@ -107,8 +110,8 @@ def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_of(least: int) -> int:
-    """Half of the length: what an anchor's starts share is the other half."""
-    return max(1, min(least // 2, least - min(GRAM, least) + 1))
+    """Seven tenths of the length: what an anchor's strings share are the other three."""
+    return max(1, min(7 * least // 10, least - min(GRAM, least) + 1))
 
 
 def sampled(texts: DataFrame, least: int) -> DataFrame:
@@ -150,63 +153,93 @@ def rerank(positions: DataFrame, pair: list[str], scratch: Scratch) -> DataFrame
     return positions.join(maybe_broadcast(names), pair).drop("rank").withColumnRenamed("number", "rank")
 
 
-def _starts(todo: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """Every start (k1, k2, at, start) of listed anchors with the digest of its `least` bytes; edge: whether it is to be resolved."""
+def _units(todo: DataFrame, texts: DataFrame, least: int, size: int, scratch: Scratch) -> DataFrame:
+    """The listed ranges of starts (k1, k2, at, lo, hi, edge) cut into blocks of `size` distances from their anchors: digests of
+    what all strings of a block share (c1, c2), whatever part of the block the range has, and of all that its own starts reach
+    (g1, g2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 3):
-                out: list[list] = [[], [], [], [], []]
-                digests = []
+                cols, digests = [], []
                 k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for i, ranges in enumerate(batch.column(2).to_pylist()):
                     data = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint8)
                     for r in ranges:
-                        starts = np.arange(r["lo"], r["hi"] + 1)
-                        digests.append(_digests(data, starts, starts + least))
-                        for c, v in zip(out, (k1[i], k2[i], r["at"], starts, r["edge"]), strict=True):
-                            c.append(v if isinstance(v, np.ndarray) else np.full(len(starts), v))
-                if digests:
-                    g, cols = np.concatenate(digests), [np.concatenate(c) for c in out]
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(np.ascontiguousarray(g[:, 0])), pa.array(np.ascontiguousarray(g[:, 1]))], ["k1", "k2", "at", "start", "edge", "g1", "g2"])
+                        near = np.arange((r["at"] - r["hi"]) // size, (r["at"] - r["lo"]) // size + 1) * size
+                        lo, hi = np.maximum(r["at"] - near - size + 1, r["lo"]), np.minimum(r["at"] - near, r["hi"])
+                        full = lambda v: np.full(len(near), v)  # noqa: E731, B023
+                        cols.append((full(k1[i]), full(k2[i]), full(r["at"]), lo, hi, full(r["edge"])))
+                        digests.append((_digests(data, r["at"] - near, r["at"] - near - size + 1 + least), _digests(data, lo, hi + least)))
+                if cols:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+                    both = [np.ascontiguousarray(np.concatenate([d[k] for d in digests])[:, j]) for k in (0, 1) for j in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), k) for c, k in zip(zip(*cols, strict=True), kinds, strict=True)), *map(pa.array, both)], [*UNIT, "edge", "c1", "c2", "g1", "g2"])
 
-    lists = todo.groupBy(*KEY).agg(F.collect_list(F.struct("at", "lo", "hi", "edge")).alias("ranges"))  # anchors of one text
-    return _with_texts(lists, texts, "ranges").mapInArrow(run, "k1 long, k2 long, at int, start int, edge boolean, g1 long, g2 long")
+    lists = scratch.table(todo.groupBy(*KEY).agg(F.collect_list(F.struct("at", "lo", "hi", "edge")).alias("ranges")))  # anchors of one text
+    return _with_texts(lists, texts, "ranges").mapInArrow(run, "k1 long, k2 long, at int, lo int, hi int, edge boolean, c1 long, c2 long, g1 long, g2 long")
 
 
 def _with_texts(lists: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """lists (k1, k2, one, column) with their texts: of the rows of one text, that of the smallest id (rows of one id and text
-    come more than once). Texts without a list do not move, if the keys are few enough to be sent to all tasks."""
-    few = texts.join(maybe_broadcast(lists.select(*KEY)), KEY, "left_semi")
+    """lists (k1, k2, column) with their texts: of the rows of one text, that of the smallest id (rows of one id and text come
+    more than once). If the lists are short enough to be sent to all tasks, no text moves."""
+    keys = lists.select(*KEY)
+    held = lists.agg(F.sum(F.size(column) + 1)).first()[0] or 0
+    few = texts.join(maybe_broadcast(keys), KEY, "left_semi")
     firsts = few.groupBy(*KEY).agg(F.min("doc_id").alias("one"))
     wanted = lists.join(firsts, KEY).select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), "one", column)
     own = (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")) & F.col("doc_id").eqNullSafe(F.col("one"))
-    return few.join(wanted, own).select("k1", "k2", column, "text")
+    return few.join(F.broadcast(wanted) if held <= BROADCAST_ROWS else wanted, own).select("k1", "k2", column, "text")
+
+
+def settle(units: DataFrame, core: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of units with what their strings share (core) and all that they reach (g1, g2): those edges all of whose starts stand
+    elsewhere too (k1, k2, lo, hi), and the units to look into (k1, k2, at, lo, hi, edge): edges with a partner of the same core,
+    and one of each group of equals among such partners, to compare them with."""
+    same = [*core, "g1", "g2"]
+    groups = scratch.table(units.groupBy(*same).agg(F.count("*").alias("times"), F.max("edge").alias("edge"), F.min(F.struct(*UNIT)).alias("one")))
+    alone = F.col("edge") & (F.col("times") == 1)
+    contested = groups.groupBy(*core).agg(F.count("*").alias("n"), F.count_if(alone).alias("left")).where("n > 1 and left > 0").select(*core)
+    todo = groups.join(maybe_broadcast(scratch.table(contested)), core, "left_semi").select("one.*", alone.alias("edge"))
+    equals = groups.where("times > 1 and edge").select(*same)
+    return units.where("edge").join(maybe_broadcast(equals), same, "left_semi").select(*KEY, "lo", "hi"), todo
 
 
 def repeats(texts: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """Stretches (k1, k2, lo, hi) of texts (k1, k2, doc_id, text), first and last start, whose starts' strings stand elsewhere too.
 
     Between the two, starts may be missing, but never so many that a byte between them is not covered."""
-    positions = scratch.table(sampled(texts, least))
-    positions = scratch.table(rerank(positions.withColumn("rank", F.lit(0).cast("long")), ["f1"], scratch))
-    positions = scratch.table(rerank(positions, ["rank", "f2"], scratch).drop("f1", "f2"))
-    # All that the starts of an anchor reach is the same elsewhere: nothing is left to resolve.
-    at = [(F.col("at") - F.col("lo")).alias("before"), (F.col("hi") - F.col("at")).alias("after")]
-    same = ["rank", "before", "after", "g1", "g2"]
-    groups = positions.select("*", *at).groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "at", "lo", "hi")).alias("one"))
-    groups = scratch.table(groups)
-    edges = groups.where("times = 1")
-    open_ranks = edges.select("rank").distinct()
-    settled = groups.where("times > 1")
-    shown = settled.join(maybe_broadcast(open_ranks), "rank", "left_semi")  # one of each, for edges to be compared with
-    todo = edges.select("one.*", F.lit(True).alias("edge")).unionByName(shown.select("one.*", F.lit(False).alias("edge")))
-    starts = scratch.table(_starts(todo, texts, least))
-    found = starts.groupBy("g1", "g2").agg(F.count("*").alias("times")).where("times > 1").select("g1", "g2")
-    hits = starts.where("edge").join(found, ["g1", "g2"], "left_semi").groupBy(*KEY, "at").agg(F.min("start").alias("lo"), F.max("start").alias("hi")).select(*KEY, "lo", "hi")
-    every = positions.select("*", *at).join(settled.select(*same), same, "left_semi").select(*KEY, "lo", "hi").distinct()
-    return every.unionByName(hits)
+    every = scratch.table(sampled(texts, least))
+    positions = rerank(every.withColumn("rank", F.lit(0).cast("long")), ["f1"], scratch)
+    positions = scratch.table(rerank(scratch.table(positions), ["rank", "f2"], scratch).select(*UNIT, F.lit(True).alias("edge"), "rank", "g1", "g2"))
+    scratch.drop(every)
+    whole, todo = settle(positions, ["rank"], scratch)
+    blocks = scratch.table(_units(todo, texts, least, min(BLOCK, least), scratch))
+    parts, todo = settle(blocks, ["c1", "c2"], scratch)
+    starts = scratch.table(_units(todo, texts, least, 1, scratch).drop("c1", "c2", "at", "hi"))
+    again = starts.groupBy("g1", "g2").agg(F.count("*").alias("times"), F.max("edge").alias("edge")).where("times > 1 and edge").select("g1", "g2")
+    singles = starts.where("edge").join(maybe_broadcast(scratch.table(again)), ["g1", "g2"], "left_semi").select(*KEY, "lo", F.col("lo").alias("hi"))
+    return whole.distinct().unionByName(parts).unionByName(singles)
+
+
+def _merged(stretches: DataFrame, least: int) -> DataFrame:
+    """(k1, k2, removed): of each text the maximal runs of bytes that the stretches' strings cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column(2).to_pylist():
+                runs: list[list[int]] = []
+                for a, b in sorted((s["lo"], s["hi"] + least) for s in spans):
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(b, runs[-1][1])
+                    else:
+                        runs.append([a, b])
+                out.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["k1", "k2", "removed"])
+
+    lists = stretches.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # anchors of one text
+    return lists.select(*KEY, "spans").mapInArrow(run, "k1 long, k2 long, removed array<array<int>>")
 
 
 def remove_repeats(documents: DataFrame, least: int = 400) -> DataFrame:
@@ -224,29 +257,23 @@ def remove_repeats(documents: DataFrame, least: int = 400) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     long_ones = rows.where(F.octet_length("text") >= least)
-    lists = repeats(long_ones, least, scratch).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # anchors of one text
+    lists = scratch.table(_merged(repeats(long_ones, least, scratch), least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 3):
                 out = []
-                for i, spans in enumerate(batch.column(2).to_pylist()):
+                for i, runs in enumerate(batch.column(2).to_pylist()):
                     data = memoryview(batch.column(3)[i].as_buffer())
-                    merged: list[list[int]] = []
-                    for a, b in sorted((s["lo"], s["hi"] + least) for s in spans):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
                     kept, end = hashlib.sha256(), 0
-                    for a, b in [*merged, [len(data), len(data)]]:
+                    for a, b in [*runs, [len(data), len(data)]]:
                         kept.update(data[end:a])
                         end = b
-                    out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), sum(b - a for a, b in merged), merged, kept.hexdigest()))
+                    out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), sum(b - a for a, b in runs), runs, kept.hexdigest()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["k1", "k2", "n_removed", "removed", "kept_sha256"])
 
-    done = _with_texts(lists, long_ones, "spans").mapInArrow(run, "k1 long, k2 long, n_removed long, removed array<array<int>>, kept_sha256 string").dropDuplicates(KEY)
+    done = _with_texts(lists, long_ones, "removed").mapInArrow(run, "k1 long, k2 long, n_removed long, removed array<array<int>>, kept_sha256 string").dropDuplicates(KEY)
     facts = rows.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     return facts.join(scratch.table(done), KEY, "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_spans"),
