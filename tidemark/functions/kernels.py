@@ -50,7 +50,9 @@ def log_gauss(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
 
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
+    top = np.where(np.isfinite(top), top, 0.0)  # a sum of nothing but impossible terms is impossible
+    with np.errstate(divide="ignore"):
+        return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
 
 
 def hmm_filter(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -128,14 +130,31 @@ def hmm_loglik(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> float:
     return float(_chain(start * b[:, 0], trans * b[:, 1:, None, :])[1][0] + top.sum())
 
 
-def hmm_fits(x: np.ndarray, k: int, seeds: list[int], rounds: int = 1000, tolerance: float = 1e-2) -> list[dict]:
+def spread_means(z: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarray:
+    """Means by k-means from k-means++ seeds (Arthur and Vassilvitskii, 2007): each next one drawn by its squared distance."""
+    rng = np.random.default_rng(seed)
+    means = z[rng.integers(len(z))][None]
+    while len(means) < k:
+        far = ((z[:, None] - means) ** 2).sum(axis=2).min(axis=1)
+        means = np.vstack([means, z[rng.choice(len(z), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(z))]])
+    for _ in range(rounds):
+        own = ((z[:, None] - means) ** 2).sum(axis=2).argmin(axis=1)
+        after = np.stack([z[own == c].mean(axis=0) if (own == c).any() else means[c] for c in range(k)])
+        if np.array_equal(after, means):
+            break
+        means = after
+    return means
+
+
+def hmm_fits(x: np.ndarray, k: int, seeds: list[int], rounds: int = 1000, tolerance: float = 1e-2, spread_out: bool = True) -> list[dict]:
     """Gaussian hidden Markov models by EM on standardised columns, one a start, all starts at once; starts that fail are
-    left out. States are ordered by the mean of the second raw column under Viterbi labels."""
+    left out. Means start from k-means, or from rows drawn at random. States are ordered by the mean of the second raw column
+    under Viterbi labels."""
     centre, spread = x.mean(axis=0), x.std(axis=0)
     spread = np.where(spread > 0, spread, 1.0)
     z, d = (x - centre) / spread, x.shape[1]
     floor = 1e-3 * np.eye(d)
-    means = np.stack([z[np.random.default_rng(s).choice(len(z), k, replace=False)] for s in seeds])
+    means = np.stack([spread_means(z, k, s) if spread_out else z[np.random.default_rng(s).choice(len(z), k, replace=False)] for s in seeds])
     covs = np.broadcast_to(np.cov(z.T) + floor, (len(seeds), k, d, d)).copy()
     start, trans = np.full((len(seeds), k), 1 / k), np.broadcast_to(np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), (len(seeds), k, k)).copy()
     last, live = np.full(len(seeds), -np.inf), np.arange(len(seeds))
@@ -276,6 +295,64 @@ def bocpd(x: np.ndarray, hazard: float, window: int = 5) -> tuple[np.ndarray, np
     return best, near
 
 
+class RunLengths:
+    """bocpd() row by row, without the runs that have become impossible.
+
+    Before a row, runs longer than the window whose share of the posterior is under `drop` leave; `lost` adds up the shares. A
+    fresh run opens at every row with the hazard's share, so the rows after that point are never predicted worse, by what
+    is kept, than the hazard times a fresh run's prediction of all of them: a run that left can win back at most the ratio of its
+    own prediction of those rows to that. For runs that know mean and spread, this ratio grows as a power of the number
+    of rows, not exponentially, so what is lost stays about `drop` times that power. With drop = 0 nothing leaves: the exact way.
+    Runs inside one regime never become impossible; the work is rows times the length of a regime."""
+
+    def __init__(self, hazard: float, window: int = 5, drop: float = 0.0):
+        self.hazard, self.window, self.drop, self.lost, self.rows = hazard, window, drop, 0.0, 0
+        self.length, self.log_r, self.mean, self.beta = np.zeros(1, dtype=np.int64), np.zeros(1), np.zeros(1), np.ones(1)
+        self._gap = np.zeros(0)
+
+    def _gaps(self, most: int) -> np.ndarray:
+        if len(self._gap) <= most:
+            size = max(256, 2 * (most + 1))
+            self._gap = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in 2.0 + np.arange(size)])
+        return self._gap
+
+    def step(self, v: float) -> tuple[int, float]:
+        """Most probable run length and P(run length <= window) after the next value."""
+        if self.drop and self.rows % 16 == 0 and len(self.length) > self.window + 1:
+            share = np.exp(self.log_r)
+            gone = (self.length > self.window) & (share < self.drop)
+            if gone.any():
+                self.lost += float(share[gone].sum())
+                self.length, self.log_r, self.mean, self.beta = (a[~gone] for a in (self.length, self.log_r, self.mean, self.beta))
+        k = self.length
+        kappa, alpha, df = 1.0 + k, 1.0 + k / 2, 2.0 + k
+        scale = self.beta * (kappa + 1) / (alpha * kappa)
+        pred = self._gaps(int(k[-1]))[k] - 0.5 * np.log(df * math.pi * scale) - (df + 1) / 2 * np.log1p((v - self.mean) ** 2 / (df * scale))
+        joint = self.log_r + pred
+        grown = np.append(_logsum(joint, 0) + math.log(self.hazard), joint + math.log1p(-self.hazard))
+        self.log_r = grown - _logsum(grown, 0)
+        self.beta = np.append(1.0, self.beta + kappa * (v - self.mean) ** 2 / (2 * (kappa + 1)))
+        self.mean = np.append(0.0, (kappa * self.mean + v) / (kappa + 1))
+        self.length = np.append(0, k + 1)
+        self.rows += 1
+        return int(self.length[np.argmax(self.log_r)]), float(np.exp(self.log_r[self.length <= self.window]).sum())
+
+
+def bocpd_pruned(x: np.ndarray, hazard: float, window: int = 5, drop: float = 1e-20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What bocpd() gives, with the share lost so far and the number of runs held after each value."""
+    runs, n = RunLengths(hazard, window, drop), len(x)
+    best, near, lost, held = np.empty(n, dtype=np.int64), np.empty(n), np.empty(n), np.empty(n, dtype=np.int64)
+    for t, v in enumerate(np.asarray(x, dtype=float)):
+        best[t], near[t] = runs.step(float(v))
+        lost[t], held[t] = runs.lost, len(runs.length)
+    return best, near, lost, held
+
+
+def generator(seed: int, number: int) -> np.random.Generator:
+    """The generator of one replicate: that of the seed, jumped ahead `number` times. No two share a number, whoever draws them."""
+    return np.random.Generator(np.random.PCG64(seed).jumped(number))
+
+
 def stationary_bootstrap(n: int, rng: np.random.Generator, block: float) -> np.ndarray:
     """Indices of one resample: blocks of geometric length (block on average) around the circle.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 import numpy as np
 
 
@@ -27,6 +29,7 @@ class Boosted:
         inner = 2**self.depth - 1
         self.feature, self.cut = np.full((self.trees, inner), -1), np.zeros((self.trees, inner), dtype=int)
         self.leaf = np.zeros((self.trees, inner + 1))
+        self.cover = np.zeros((self.trees, 2 * inner + 1))  # sums of second derivatives, by node, leaves last
         cells = width * self.bins
         place = binned + np.arange(width) * self.bins
         for t in range(self.trees):
@@ -41,6 +44,7 @@ class Boosted:
                 flat = (node[:, None] * cells + place).ravel()
                 both = [np.bincount(flat, weights=np.repeat(v, width), minlength=many * cells).reshape(many, width, self.bins).cumsum(axis=2) for v in (g, h)]
                 (gl, hl), (gt, ht) = both, [v[:, :1, -1:] for v in both]
+                self.cover[t, many - 1 : 2 * many - 1] = ht[:, 0, 0]
                 gr, hr = gt - gl, ht - hl
                 gain = gl**2 / (hl + self.ridge) + gr**2 / (hr + self.ridge) - gt**2 / (ht + self.ridge)
                 gain[(hl < self.least) | (hr < self.least) | ~allowed[None, :, None]] = -np.inf
@@ -52,12 +56,12 @@ class Boosted:
                 right = split[node] & (binned[np.arange(n), feature[node]] > cut[node])
                 node = 2 * node + right
             gs, hs = (np.bincount(node, weights=v, minlength=inner + 1) for v in (g, h))
-            self.leaf[t] = -self.rate * gs / (hs + self.ridge)
+            self.leaf[t], self.cover[t, inner:] = -self.rate * gs / (hs + self.ridge), hs
             score += self.leaf[t][node]
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        """P(class 1)."""
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        """Log odds of class 1."""
         binned, score, at = self._binned(x), np.zeros(len(x)), np.arange(len(x))
         for feature, cut, leaf in zip(self.feature, self.cut, self.leaf, strict=True):
             node = np.zeros(len(x), dtype=int)
@@ -66,7 +70,51 @@ class Boosted:
                 f = feature[here]
                 node = 2 * node + ((f >= 0) & (binned[at, f] > cut[here]))
             score += leaf[node]
-        return _sigmoid(score)
+        return score
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """P(class 1)."""
+        return _sigmoid(self.margin(x))
+
+    def _leaves(self, t: int) -> list[tuple[float, dict[int, tuple[float, list[tuple[int, int, bool]]]]]]:
+        """Of each leaf that can be reached: its value, and by feature of its path the share of the training weight that goes the
+        path's way at the feature's nodes, and those ways (feature, cut, right)."""
+        out = []
+        for leaf in range(2**self.depth):
+            ways: dict[int, tuple[float, list]] = {}
+            for level in range(self.depth):
+                node, right = leaf >> (self.depth - level), bool(leaf >> (self.depth - level - 1) & 1)
+                here = 2**level - 1 + node
+                f, below = int(self.feature[t, here]), 2 ** (level + 1) - 1 + 2 * node + right
+                if f < 0:
+                    if right:
+                        break
+                    continue
+                share, steps = ways.get(f, (1.0, []))
+                ways[f] = (share * self.cover[t, below] / self.cover[t, here], [*steps, (f, int(self.cut[t, here]), right)])
+            else:
+                out.append((float(self.leaf[t, leaf]), ways))
+        return out
+
+    def attributions(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Shapley values of the margin by feature, and the expected margin, which they add up to the margin with. What a tree
+        gives without a feature is its two branches, weighted by the training rows that went there (Lundberg et al., 2018)."""
+        binned, base, out = self._binned(x), 0.0, np.zeros(x.shape)
+        for t in range(self.trees):
+            for value, ways in self._leaves(t):
+                names = list(ways)
+                none = np.array([ways[f][0] for f in names])
+                base += value * float(none.prod())
+                has = [np.logical_and.reduce([(binned[:, f] > cut) == right for f, cut, right in ways[f][1]]).astype(float) for f in names]
+                m = len(names)
+                for j, f in enumerate(names):
+                    sums = [np.ones(len(x))]  # by the number of other features that are known
+                    for i in range(m):
+                        if i != j:
+                            sums = [(sums[d] * none[i] if d < len(sums) else 0) + (sums[d - 1] * has[i] if d else 0) for d in range(len(sums) + 1)]
+                    weighted = sum(c * (factorial(d) * factorial(m - 1 - d) / factorial(m)) for d, c in enumerate(sums))
+                    out[:, f] += value * (has[j] - none[j]) * weighted
+        return base, out
 
 
 class Logistic:
@@ -94,6 +142,10 @@ class Logistic:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self._design(x) @ self.w)
 
+    def attributions(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Each feature's term of the log odds, from the training mean, whose log odds come first."""
+        return float(self.w[0]), self._design(x)[:, 1:] * self.w[1:]
+
 
 def stump(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
     """Cut (NaN: none), accuracy, and share of ones at or under and above it, of the one split with the least Gini impurity.

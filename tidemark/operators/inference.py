@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions import special
-from tidemark.functions.kernels import mean_block, stationary_bootstrap
+from tidemark.functions.kernels import generator, mean_block, stationary_bootstrap
 from tidemark.functions.series import average_rank, spread
 from tidemark.functions.special import N01
 
@@ -144,7 +145,7 @@ def block_permutation_p(d: np.ndarray, reps: int = 10_000, seed: int = SEED) ->
 def crossings(conf: np.ndarray, right: np.ndarray, penalty: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """For each row of conf and right (samples x n): where the fitted probability of being right crosses one half (NaN if it
     does not rise through it inside (0, 1)), and the slope."""
-    a, b = np.zeros(len(conf)), np.zeros(len(conf))
+    a, b, moving = np.zeros(len(conf)), np.zeros(len(conf)), np.ones(len(conf), dtype=bool)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a[:, None] + b[:, None] * conf, -35, 35)))
         gap, w = right - p, p * (1 - p)
@@ -153,8 +154,9 @@ def crossings(conf: np.ndarray, right: np.ndarray, penalty: float = 1e-6) -> tup
         det = np.maximum(aa * bb - ab * ab, 1e-18)
         da, db = (bb * ga - ab * gb) / det, (aa * gb - ab * ga) / det
         limit = np.maximum(1.0, np.maximum(np.abs(da), np.abs(db)) / 10)
-        a, b = a + da / limit, b + db / limit
-        if max(np.abs(da).max(), np.abs(db).max()) < 1e-9:
+        a, b = a + np.where(moving, da / limit, 0.0), b + np.where(moving, db / limit, 0.0)
+        moving &= np.maximum(np.abs(da), np.abs(db)) >= 1e-9  # a row is done by itself, whatever stands beside it
+        if not moving.any():
             break
     with np.errstate(divide="ignore", invalid="ignore"):
         tau = np.where(b > 0, -a / np.where(b > 0, b, 1.0), np.nan)
@@ -191,12 +193,95 @@ def by_key(df: DataFrame, key: str, step: Callable[[pd.DataFrame], dict], column
     return spread(df, key).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {columns}")
 
 
-GATE = "tau double, tau_point double, low double, high double, identified boolean, share double, slope double"
+class Draw(NamedTuple):
+    """A statistic that is replicated: its columns, its value on the series, and its values under some generators."""
 
+    columns: tuple[str, ...]
+    point: Callable[[np.ndarray], float]
+    draw: Callable[[list[np.random.Generator], np.ndarray], np.ndarray]
 
-def gates(days: DataFrame, key: str, reps: int = 1000) -> DataFrame:
-    """key and gate() of days (key, date, conf, right)."""
-    return by_key(days, key, lambda d: gate(d["conf"].to_numpy(), d["right"].to_numpy(), reps), GATE)
+
+def resampled(statistic: Callable[[np.ndarray], float], *columns: str, block: float | None = None) -> Draw:
+    """Of the rows of a series drawn again: stationary blocks of mean length `block` (0: independent rows; none: the rounded
+    square root of the length, 2 at least). One column comes as a vector, several as a matrix."""
+    flat = lambda x: x[:, 0] if len(columns) == 1 else x
+
+    def draw(rngs: list[np.random.Generator], data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        mean = mean_block(n) if block is None else block
+        return np.array([statistic(flat(data[stationary_bootstrap(n, g, mean) if mean else g.integers(0, n, n)])) for g in rngs])
+
+    return Draw(columns, lambda x: statistic(flat(x)), draw)
+
+
+def flipped(column: str) -> Draw:
+    """1 where a sign flip of whole blocks moves the sum as far from 0 as it is: the mean is block_permutation_p."""
+
+    def draw(rngs: list[np.random.Generator], data: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(data[:, 0], np.arange(0, len(data), max(1, round(math.sqrt(len(data))))))
+        flips = np.stack([g.choice((-1.0, 1.0), size=len(sums)) for g in rngs])
+        return (np.abs(flips @ sums) >= abs(sums.sum()) - 1e-9).astype(float)
+
+    return Draw((column,), lambda x: float(x.sum()), draw)
+
+
+def replicated(df: DataFrame, key: str, draws: dict[str, Draw], reps: int = 1000, per: int = 100, seed: int = SEED) -> DataFrame:
+    """key, name, replicate (-1: the value on the series itself), value (null: no number) of df (key, date, columns).
+
+    `per` replicates of a key are a task's work, on that key's rows where none of a statistic's columns is null, in date
+    order. Replicate i has the seed's generator jumped ahead i times, so the numbers do not depend on how they are dealt."""
+    columns = list(dict.fromkeys(c for d in draws.values() for c in d.columns))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-reps // per) - 1)))).alias("part")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, part = rows.sort_values("date", kind="stable"), int(rows["part"].iloc[0])
+        numbers, out = range(part * per, min(reps, (part + 1) * per)), []
+        for name, d in draws.items():
+            data = rows[list(d.columns)].dropna().to_numpy(dtype=float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                if not part and len(data):
+                    out.append((name, -1, d.point(data)))
+                if len(data) > 1 and len(numbers):
+                    out += [(name, i, v) for i, v in zip(numbers, d.draw([generator(seed, i) for i in numbers], data), strict=True)]
+        got = pd.DataFrame(out, columns=["name", "replicate", "value"])
+        value = got["value"].astype(float)
+        return pd.DataFrame({key: rows[key].iloc[0], "name": got["name"], "replicate": got["replicate"], "value": value.astype(object).where(value.notna(), None)})
+
+    kind = df.schema[key].dataType.simpleString()
+    long = df.select(key, "date", *columns, blocks)
+    return spread(long, key, "part").groupBy(key, "part").applyInPandas(run, f"{key} {kind}, name string, replicate int, value double")
+
+
+def intervals(values: DataFrame, key: str, level: float = 0.95) -> DataFrame:
+    """key, name, point, mean, low, high, n of replicated()'s rows: percentile intervals over the replicates that gave a number."""
+    drawn = F.when(F.col("replicate") >= 0, F.col("value"))
+    tail = (1 - level) / 2
+    return values.groupBy(key, "name").agg(
+        F.max(F.when(F.col("replicate") < 0, F.col("value"))).alias("point"), F.avg(drawn).alias("mean"),
+        F.percentile(drawn, F.lit(tail)).alias("low"), F.percentile(drawn, F.lit(1 - tail)).alias("high"), F.count(drawn).alias("n"),
+    )
+
+
+def gates(days: DataFrame, key: str, reps: int = 1000, per: int = 100) -> DataFrame:
+    """key and what gate() gives of days (key, date, conf, right), with the replicates of a key dealt to many tasks."""
+
+    def draw(rngs: list[np.random.Generator], data: np.ndarray) -> np.ndarray:
+        index = np.stack([stationary_bootstrap(len(data), g, mean_block(len(data))) for g in rngs])
+        return crossings(data[:, 0][index], data[:, 1][index])[0]
+
+    whole = lambda k: lambda x: float(crossings(x[None, :, 0], x[None, :, 1])[k][0])
+    none = Draw(("conf", "right"), whole(1), lambda rngs, x: np.full(len(rngs), np.nan))
+    values = replicated(days, key, {"tau": Draw(("conf", "right"), whole(0), draw), "slope": none}, reps, per)
+    is_tau, drawn = F.col("name") == "tau", F.col("replicate") >= 0
+    point = lambda n: F.max(F.when((F.col("name") == n) & ~drawn, F.col("value")))
+    taus = F.when(is_tau & drawn, F.col("value"))
+    out = values.groupBy(key).agg(
+        F.percentile(taus, F.lit(0.5)).alias("tau"), point("tau").alias("tau_point"), F.percentile(taus, F.lit(0.025)).alias("low"), F.percentile(taus, F.lit(0.975)).alias("high"),
+        (F.count(taus) / F.nullif(F.count_if(is_tau & drawn), F.lit(0))).alias("share"), point("slope").alias("slope"),
+    )
+    known = F.col("tau_point").isNotNull()
+    only = lambda c: F.when(known, F.col(c)).alias(c)
+    return out.select(key, only("tau"), "tau_point", only("low"), only("high"), known.alias("identified"), "share", "slope")
 
 
 def isotonic_crossing(mids: np.ndarray, share: np.ndarray, weight: np.ndarray) -> float:

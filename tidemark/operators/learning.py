@@ -1,5 +1,5 @@
-"""Out-of-fold learning on folds: one task fits one fold of one key. Boosted trees of this package and the change of the
-prediction when a feature's values are dealt anew stand for libraries that are not there."""
+"""Out-of-fold learning on folds: one task fits one fold of one key. Boosted trees of this package, with path-dependent Shapley
+values, stand for libraries that are not there."""
 
 from __future__ import annotations
 
@@ -22,11 +22,11 @@ def log_loss(y: np.ndarray, p: np.ndarray) -> float:
 
 
 def fold_predictions(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kinds: tuple[str, ...] = ("boosted",), importance: bool = False) -> DataFrame:
-    """key, kind, fold_id, row_pos, p, y, shift: the prediction for each row that a fold tests.
+    """key, kind, fold_id, row_pos, p, y, shift, shap: the prediction for each row that a fold tests.
 
     rows: key, row_pos, label (0 or 1) and features (null counts as 0); folds: key, fold_id, row_pos, role. Folds with no training
     rows or one class are skipped. shift: for each feature, how far the prediction moves when the tested rows' values of it
-    are dealt anew (empty unless asked for). One task holds the rows of one fold of one key.
+    are dealt anew; shap: the feature's share of the log odds (both empty unless asked for). One task holds the rows of one fold of one key.
     """
     if unknown := set(kinds) - set(CANDIDATES):
         raise ValueError(f"unknown kinds {sorted(unknown)}")
@@ -37,22 +37,23 @@ def fold_predictions(rows: DataFrame, folds: DataFrame, features: list[str], key
         d = d.sort_values("row_pos", kind="stable")
         train, test = d[d["role"] == "train"], d[d["role"] == "test"]
         if train["label"].nunique() < 2 or test.empty:
-            return pd.DataFrame(columns=[key, "kind", "fold_id", "row_pos", "p", "y", "shift"])
+            return pd.DataFrame(columns=[key, "kind", "fold_id", "row_pos", "p", "y", "shift", "shap"])
         x = test[features].to_numpy(dtype=float)
         model = CANDIDATES[d["kind"].iloc[0]]().fit(train[features].to_numpy(dtype=float), train["label"].to_numpy())
         p = model.predict(x)
         shift: list = [[]] * len(test)
+        shap = shift
         if importance:
             rng, moved = np.random.default_rng(42), np.empty(x.shape)
             for f in range(x.shape[1]):
                 other = x.copy()
                 other[:, f] = rng.permutation(other[:, f])
                 moved[:, f] = np.abs(model.predict(other) - p)
-            shift = list(moved)
-        return pd.DataFrame({key: test[key], "kind": test["kind"], "fold_id": test["fold_id"], "row_pos": test["row_pos"], "p": p, "y": test["label"], "shift": shift})
+            shift, shap = list(moved), list(model.attributions(x)[1])
+        return pd.DataFrame({key: test[key], "kind": test["kind"], "fold_id": test["fold_id"], "row_pos": test["row_pos"], "p": p, "y": test["label"], "shift": shift, "shap": shap})
 
     kind = rows.schema[key].dataType.simpleString()
-    return spread(each, key, "kind", "fold_id").groupBy(key, "kind", "fold_id").applyInPandas(fit, f"{key} {kind}, kind string, fold_id int, row_pos long, p double, y double, shift array<double>")
+    return spread(each, key, "kind", "fold_id").groupBy(key, "kind", "fold_id").applyInPandas(fit, f"{key} {kind}, kind string, fold_id int, row_pos long, p double, y double, shift array<double>, shap array<double>")
 
 
 def out_of_fold_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "boosted") -> DataFrame:
@@ -61,14 +62,15 @@ def out_of_fold_by(rows: DataFrame, folds: DataFrame, features: list[str], key:
 
 
 def importance_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "boosted") -> DataFrame:
-    """key, feature, shift, place: mean move of the out-of-fold predictions, pooled over folds, largest first."""
+    """key, feature, shap, shift, place: mean size of a feature's share of the log odds of the out-of-fold predictions, pooled over
+    folds, largest first, and mean move of the prediction when its values are dealt anew."""
     from pyspark.sql import Window as W
 
     got = fold_predictions(rows, folds, features, key, (kind,), True)
-    long = got.select(key, F.posexplode("shift").alias("i", "v"))
+    long = got.select(key, F.posexplode(F.arrays_zip("shap", "shift")).alias("i", "v"))
     names = F.array(*map(F.lit, features))
-    out = long.groupBy(key, "i").agg(F.avg("v").alias("shift")).select(key, F.element_at(names, F.col("i") + 1).alias("feature"), "shift")
-    return out.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("shift"), "feature")))
+    out = long.groupBy(key, "i").agg(F.avg(F.abs("v.shap")).alias("shap"), F.avg("v.shift").alias("shift")).select(key, F.element_at(names, F.col("i") + 1).alias("feature"), "shap", "shift")
+    return out.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("shap"), "feature")))
 
 
 def leaderboard_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str) -> DataFrame:

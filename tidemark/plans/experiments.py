@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kernels, special, text
 from tidemark.functions.series import by, filled_forward, log_return, rolling, rounded
-from tidemark.operators import backtest, folds, inference, learning, macro, models, recursions, supervision
+from tidemark.operators import backtest, folds, inference, learning, macro, models, recursions, scans, supervision
 from tidemark.plans.registry import DET_SQL, MODES, ONE, ROLL, STRATEGIES, WIN, R, detected, labelled, matthews, query, r6, ran, rets
 from tidemark.sources import bridge
 
@@ -64,19 +64,19 @@ FEATURES_SQL = f"""f AS (SELECT *, CASE WHEN r IS NOT NULL THEN {ROLL('stddev_sa
  ms AS (SELECT f.ticker, f.date, f.r, f.r_next, hm.calm, hm.stress, hm.crisis, sqrt(gp.v * 252) / 100 AS sigma FROM f JOIN hm USING (ticker, date) JOIN gp USING (ticker, date))"""
 
 
-def points_sql(series: str) -> str:
-    """Recursive CTEs b (ticker, i, cp, best, ...) of change points over the CTE `series` (ticker, i, x)."""
+def points_sql(series: str, name: str = "b") -> str:
+    """Recursive CTE (ticker, i, cp, best, ...) of change points over the CTE `series` (ticker, i, x)."""
     h = recursions.HAZARD
     scale = "b.be[k+1] * (2 + k) / ((1 + k / 2) * (1 + k))"
     near = f"b.lr[k+1] + lgamma((3 + k) / 2) - lgamma((2 + k) / 2) - 0.5 * ln((2 + k) * pi() * {scale}) - (3 + k) / 2 * ln(1 + (s.x - b.mu[k+1]) ** 2 / ((2 + k) * {scale}))"
-    return f"""b AS (SELECT ticker, 0::BIGINT AS i, [0.0::DOUBLE] AS lr, [0.0::DOUBLE] AS mu, [1.0::DOUBLE] AS be, 0.0::DOUBLE AS cp, 0::BIGINT AS best FROM (SELECT DISTINCT ticker FROM {series})
+    return f"""{name} AS (SELECT ticker, 0::BIGINT AS i, [0.0::DOUBLE] AS lr, [0.0::DOUBLE] AS mu, [1.0::DOUBLE] AS be, 0.0::DOUBLE AS cp, 0::BIGINT AS best FROM (SELECT DISTINCT ticker FROM {series})
  UNION ALL SELECT ticker, i, lr, mu, be, list_sum(list_transform(lr[1:6], lambda v: exp(v))) AS cp, list_position(lr, list_max(lr)) - 1 AS best FROM (
   SELECT ticker, i, list_prepend(ln({h}), list_transform(j, lambda v: v - z + ln(1 - {h}))) AS lr, mu, be FROM (
    SELECT ticker, i, j, list_max(j) + ln(list_sum(list_transform(j, lambda v: exp(v - list_max(j))))) AS z, mu, be FROM (
     SELECT s.ticker, s.i, list_transform(range(len(b.lr)), lambda k: {near}) AS j,
      list_prepend(0.0::DOUBLE, list_transform(range(len(b.mu)), lambda k: ((1 + k) * b.mu[k+1] + s.x) / (2 + k))) AS mu,
      list_prepend(1.0::DOUBLE, list_transform(range(len(b.mu)), lambda k: b.be[k+1] + (1 + k) * (s.x - b.mu[k+1]) ** 2 / (2 * (2 + k)))) AS be
-    FROM b JOIN {series} s ON s.ticker = b.ticker AND s.i = b.i + 1))))"""
+    FROM {name} b JOIN {series} s ON s.ticker = b.ticker AND s.i = b.i + 1))))"""
 
 
 SEVERITY = lambda x, low, medium, high: f"CASE WHEN {x} >= {high} THEN 3 WHEN {x} >= {medium} THEN 2 WHEN {x} >= {low} THEN 1 ELSE 0 END"
@@ -90,6 +90,20 @@ def st5_regime_filter(spark, d):
     return out.select("ticker", "date", *r6(**{c: F.col(c) for c in ("calm", "stress", "crisis")}))
 
 
+@query(f", {FEATURES_SQL} SELECT ticker, date, {R('calm')} AS calm, {R('stress')} AS stress, {R('crisis')} AS crisis FROM hm")
+def st5_regime_filter_blocks(spark, d):
+    """The same by blocks of each series in different tasks."""
+    out = scans.regime_filter(inputs(spark, d).select("ticker", "date", "r", "rv"))
+    return out.select("ticker", "date", *r6(**{c: F.col(c) for c in ("calm", "stress", "crisis")}))
+
+
+@query(f", {FEATURES_SQL} SELECT ticker, date, {R('sqrt(v * 252) / 100')} AS sigma FROM gp")
+def st2_garch_blocks(spark, d):
+    """The volatility path by blocks of each series in different tasks."""
+    out = scans.garch(rets(spark, d).where("r is not null").select("ticker", "date", "r"))
+    return out.select("ticker", "date", *r6(sigma=F.col("sigma")))
+
+
 @query()
 def st5_st7_regimes(spark, d):
     return recursions.regimes(inputs(spark, d).select("ticker", "date", "r", "rv"))
@@ -103,6 +117,13 @@ def st9_d2_change_points(spark, d):
     return near.select("ticker", "date", "size", "map_run_length", *r6(cp_prob=F.col("cp_prob")), supervision.run_length_severity(F.col("map_run_length"), 5).alias("run_severity"), level.alias("psa_severity"))
 
 
+@query(f", s AS (SELECT ticker, date, row_number() {WIN} AS i, size AS x FROM dec), {points_sql('s')} SELECT s.ticker, s.date, b.best AS map_run_length, {R('b.cp')} AS cp_prob FROM s JOIN b USING (ticker, i)")
+def st9_pruned_change_points(spark, d):
+    """Change points of sizes without the runs that have become impossible."""
+    near = recursions.change_points_pruned(bridge.decisions(spark, d).select("ticker", "date", "size"), "size")
+    return near.select("ticker", "date", "map_run_length", *r6(cp_prob=F.col("cp_prob")))
+
+
 @query()
 def d2_sizing_signals(spark, d):
     """The sizing check by each of its signals: levels, increments, run length."""
@@ -154,10 +175,17 @@ def q2_f18_market_states(spark, d):
     return market(spark, d).select("ticker", "date", *r6(**{c: F.col(c) for c in ("sigma", "calm", "stress", "crisis")}, var_95=1.645 * F.col("sigma") / 252**0.5))
 
 
-def cuts_of(scored: DataFrame, states: DataFrame) -> DataFrame:
-    """Cuts by ticker from calibration days: of the sizing scores, and of the volatility scores of an agent that is all in.
-    The regime check's are those of a gate at one half."""
-    psa = calibration(scored).where("psa_ready").select("ticker", F.lit("psa").alias("detector"), F.col("psa").alias("score"))
+def sizing_scores(states: DataFrame) -> DataFrame:
+    """ticker, date, psa: scores of the best sizing that regimes and volatility give, over calibration days with enough history."""
+    sign = F.when(F.col("calm") >= F.col("crisis"), 1.0).otherwise(-1.0)
+    best = calibration(states).select("ticker", "date", (sign * supervision.gso_bound(F.col("sigma"))).alias("size"))
+    return recursions.sizing_anomaly(best).where("psa_ready").select("ticker", "date", "psa")
+
+
+def cuts_of(states: DataFrame) -> DataFrame:
+    """Cuts by ticker from calibration days, none of which looks at the agent: of the sizing scores of the best sizing, and of the
+    volatility scores of an agent that is all in. The regime check's are those of a gate at one half."""
+    psa = sizing_scores(states).select("ticker", F.lit("psa").alias("detector"), F.col("psa").alias("score"))
     all_in = supervision.gso_score(F.lit(1.0), supervision.gso_bound(F.col("sigma")))
     gso = calibration(states).select("ticker", F.lit("gso").alias("detector"), F.round(all_in, 9).alias("score"))
     cuts = supervision.uncalibrated(supervision.calibrated_cuts(psa.unionByName(gso)))
@@ -174,15 +202,17 @@ def scored(spark, d) -> DataFrame:
 def supervised(spark, d, mode: str = "override", **options) -> DataFrame:
     """The daily table: decisions, states, checks by calibrated cuts, and what the supervisor makes of them."""
     rows = scored(spark, d)
-    rows = rows.join(cuts_of(rows, market(spark, d)), "ticker")
+    rows = rows.join(cuts_of(market(spark, d)), "ticker")
     cuts = {x: supervision.cut_columns(x) for x in ("ram", "psa", "gso")}
     return supervision.supervise(rows, mode, cuts=cuts, **({"variant": "C"} | options))
 
 
+BEST_SQL = f"""os AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, CASE WHEN calm >= crisis THEN 1 ELSE -1 END * least(1, 0.10::DOUBLE / sigma) AS x FROM ms WHERE date <= DATE '{CALIBRATION_END}'),
+ {points_sql('os', 'ob')}, og AS (SELECT ticker, round(cp, 9) AS g FROM ob WHERE i >= 7)"""
 MASTER_SQL = f"""{FEATURES_SQL}, sd AS (SELECT d.ticker, d.date, d.size, d.confidence, d.action, ms.r, ms.r_next, ms.sigma, ms.calm, ms.stress, ms.crisis, row_number() OVER (PARTITION BY d.ticker ORDER BY d.date) AS i FROM dec d JOIN ms USING (ticker, date)),
  s AS (SELECT ticker, i, size AS x FROM sd), {points_sql('s')},
  sc AS (SELECT sd.*, CASE WHEN sd.i >= 7 THEN round(b.cp, 9) ELSE 0 END AS psa, sd.i >= 7 AS ready, least(1, 0.10::DOUBLE / sigma) AS bound FROM sd JOIN b USING (ticker, i)),
- pc AS (SELECT ticker, quantile_cont(psa, 0.95) AS p1, quantile_cont(psa, 0.99) AS p2, max(psa) AS p3 FROM sc WHERE ready AND date <= DATE '{CALIBRATION_END}' GROUP BY ticker),
+ {BEST_SQL}, pc AS (SELECT ticker, quantile_cont(g, 0.95) AS p1, quantile_cont(g, 0.99) AS p2, max(g) AS p3 FROM og GROUP BY ticker),
  gc AS (SELECT ticker, quantile_cont(g, 0.95) AS g1, quantile_cont(g, 0.99) AS g2, max(g) AS g3 FROM (SELECT ticker, round(greatest(0, 1 - least(1, 0.10::DOUBLE / sigma)) / greatest(least(1, 0.10::DOUBLE / sigma), 0.001::DOUBLE), 9) AS g FROM ms WHERE date <= DATE '{CALIBRATION_END}') GROUP BY ticker),
  d0 AS (SELECT sc.*, CASE WHEN abs(size) < 1e-9 THEN 0 WHEN size < 0 THEN calm ELSE crisis END AS ram, greatest(0, abs(size) - bound) / greatest(bound, 0.001::DOUBLE) AS gso, coalesce(p1, 0.2) AS p1, coalesce(p2, 0.4) AS p2, coalesce(p3, 0.7) AS p3, coalesce(g1, 0.2) AS g1, coalesce(g2, 0.4) AS g2, coalesce(g3, 0.7) AS g3 FROM sc LEFT JOIN pc USING (ticker) LEFT JOIN gc USING (ticker)),
  det AS (SELECT *, {SEVERITY('ram', 0.25, 0.5, 0.7)} AS ro, {SEVERITY('gso', 'g1', 'g2', 'g3')} AS go, CASE WHEN ready THEN {SEVERITY('psa', 'p1', 'p2', 'p3')} ELSE 0 END AS po, sign(size) * least(abs(size), bound) AS bounded, CASE WHEN calm >= crisis THEN 1 ELSE -1 END AS rs, greatest(calm, crisis) AS pd FROM d0),
@@ -203,13 +233,10 @@ def q13_gso_calibration(spark, d):
     return calibration(market(spark, d)).select("ticker", F.round(score, 9).alias("g")).groupBy("ticker").agg(*r6(**{f"p{p}": F.percentile("g", F.lit(p / 100)) for p in PERCENTS}, top=F.max("g")), F.count("*").alias("n"))
 
 
-@query()
+@query(f", {FEATURES_SQL}, {BEST_SQL} SELECT ticker, " + ", ".join(f"{R(f'quantile_cont(g, {p / 100})')} AS p{p}" for p in PERCENTS) + f", {R('max(g)')} AS top, count(*) AS n FROM og GROUP BY ticker")
 def q13_psa_calibration(spark, d):
     """Percentiles of the sizing scores of the best sizing that regimes and volatility give, over calibration days."""
-    states = calibration(market(spark, d))
-    sign = F.when(F.col("calm") >= F.col("crisis"), 1.0).otherwise(-1.0)
-    best = states.select("ticker", "date", (sign * supervision.gso_bound(F.col("sigma"))).alias("size"))
-    got = recursions.sizing_anomaly(best).where("psa_ready")
+    got = sizing_scores(market(spark, d))
     return got.groupBy("ticker").agg(*r6(**{f"p{p}": F.percentile("psa", F.lit(p / 100)) for p in PERCENTS}, top=F.max("psa")), F.count("*").alias("n"))
 
 
@@ -253,7 +280,7 @@ def reliability(spark, d) -> DataFrame:
 
 @query()
 def c3_gate(spark, d):
-    """Each ticker's gate by 1000 stationary resamples, one task a ticker."""
+    """Each ticker's gate by 1000 stationary resamples, a hundred a task."""
     return inference.gates(reliability(spark, d), "ticker", 1000)
 
 
@@ -278,7 +305,8 @@ def net(weight: Column, r: Column, *keys: str, cost: float = 1e-4) -> Column:
 @query()
 def t1_t11_tests(spark, d):
     """Of each ticker's net returns and of override against agent: deflated Sharpe with skew and kurtosis, sign test with its exact
-    interval, McNemar, equivalence, bootstrap intervals (independent and stationary), difference of Sharpe ratios, block permutation."""
+    interval, McNemar, equivalence, bootstrap intervals (independent and stationary), difference of Sharpe ratios, block permutation.
+    A hundred replicates of a ticker are a task's work, a thousand of the sign flips."""
 
     def tests(rows: pd.DataFrame) -> dict:
         x, fine = rows["net_b"].dropna().to_numpy(dtype=float), rows.dropna(subset=["right_a", "right_b"])
@@ -287,21 +315,26 @@ def t1_t11_tests(spark, d):
         a, b = fine["right_a"].to_numpy(dtype=float), fine["right_b"].to_numpy(dtype=float)
         hits, total = int(b.sum()), len(b)
         won, lost = int(((a == 1) & (b == 0)).sum()), int(((a == 0) & (b == 1)).sum())
-        both = rows[["net_b", "net_a"]].dropna().to_numpy(dtype=float)
-        gap = both[:, 0] - both[:, 1]
+        gap = (rows["net_b"] - rows["net_a"]).dropna().to_numpy(dtype=float)
         low, high = inference.sign_interval(hits, total)
-        plain, block = inference.bootstrap(x, np.mean, 1000, 0.0), inference.bootstrap(x, np.mean, 1000)
-        ratio = inference.bootstrap(both, inference.sharpe_difference, 1000)
         return {
             "n": n, "deflated": inference.deflated_sharpe(mean / sd if sd > 0 else 0.0, 10, n, float((z**3).mean()), float((z**4).mean())),
             "sign_p": special.binomial_two_sided(hits, total), "low": low, "high": high, "mcnemar_p": inference.mcnemar_p(won, lost), "greater_p": special.binomial_tail(hits, total),
             "tost_p": inference.tost_p(float(gap.mean()), float(gap.std(ddof=1)), len(gap), 0.5 / 252**0.5 * float(gap.std(ddof=1))),
-            "mean_low": plain[1], "mean_high": plain[2], "block_low": block[1], "block_high": block[2], "sharpe_gap": ratio[0], "sharpe_low": ratio[1], "sharpe_high": ratio[2],
-            "permutation_p": inference.block_permutation_p(a - b),
         }
 
-    numbers = ("deflated", "sign_p", "low", "high", "mcnemar_p", "greater_p", "tost_p", "mean_low", "mean_high", "block_low", "block_high", "sharpe_gap", "sharpe_low", "sharpe_high", "permutation_p")
-    return inference.by_key(paired(spark, d), "ticker", tests, "n long, " + ", ".join(f"{c} double" for c in numbers))
+    numbers = ("deflated", "sign_p", "low", "high", "mcnemar_p", "greater_p", "tost_p")
+    rows = paired(spark, d).withColumn("right_gap", F.col("right_a") - F.col("right_b"))
+    draws = {
+        "mean": inference.resampled(np.mean, "net_b", block=0.0), "block": inference.resampled(np.mean, "net_b"),
+        "sharpe": inference.resampled(inference.sharpe_difference, "net_b", "net_a"),
+    }
+    spans = inference.intervals(inference.replicated(rows, "ticker", draws, 1000), "ticker")
+    of = lambda n, c: F.max(F.when(F.col("name") == n, F.col(c)))
+    wide = spans.groupBy("ticker").agg(*[of(n, c).alias(f"{n}_{c}") for n in draws for c in ("low", "high")], of("sharpe", "point").alias("sharpe_gap"))
+    flips = inference.intervals(inference.replicated(rows, "ticker", {"flip": inference.flipped("right_gap")}, 10_000, 1000), "ticker").select("ticker", F.col("mean").alias("permutation_p"))
+    scalars = inference.by_key(rows, "ticker", tests, "n long, " + ", ".join(f"{c} double" for c in numbers))
+    return scalars.join(wide, "ticker").join(flips, "ticker", "left")
 
 
 @query()
@@ -332,7 +365,7 @@ def v6_meta_learner(spark, d):
 
 @query()
 def v7_f16_importance(spark, d):
-    """How far each feature moves the out-of-fold predictions, and what kind it is."""
+    """Mean size of each feature's Shapley value over the out-of-fold rows, how far it moves their predictions, and what kind it is."""
     rows = meta_rows(spark, d)
     got = learning.importance_by(rows, purged(rows), PERSONA_FEATURES + MARKET_FEATURES, "ticker")
     return got.withColumn("family", text.family(F.col("feature")))
@@ -424,11 +457,10 @@ def f21_statistics_text(spark, d):
 def sweep(spark, d) -> DataFrame:
     """Override with one check's cut moved to a percentile of its calibration scores; the row `base` has the calibrated cuts."""
     rows, states = scored(spark, d), market(spark, d)
-    cal = calibration(rows)
-    psa = cal.where("psa_ready").groupBy("ticker").agg(F.percentile("psa", F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("psa_p"))
+    psa = sizing_scores(states).groupBy("ticker").agg(F.percentile("psa", F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("psa_p"))
     all_in = F.round(supervision.gso_score(F.lit(1.0), supervision.gso_bound(F.col("sigma"))), 9)
     gso = calibration(states).groupBy("ticker").agg(F.percentile(all_in, F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("gso_p"), F.max(all_in).alias("gso_max"))
-    df = rows.join(cuts_of(rows, states), "ticker").join(psa, "ticker", "left").join(gso, "ticker", "left")
+    df = rows.join(cuts_of(states), "ticker").join(psa, "ticker", "left").join(gso, "ticker", "left")
     points = [F.struct(F.lit("base").alias("moved"), F.lit(0).alias("percent"))] + [F.struct(F.lit(x).alias("moved"), F.lit(p).alias("percent")) for x in ("psa", "gso") for p in PERCENTS]
     df = df.select("*", F.explode(F.array(*points)).alias("g")).select("*", "g.*").drop("g")
     place = F.array_position(F.array(*map(F.lit, PERCENTS)), F.col("percent")).cast("int")
@@ -441,26 +473,37 @@ def sweep(spark, d) -> DataFrame:
     return supervision.supervise(df, "override", "C", cuts={x: supervision.cut_columns(x) for x in ("ram", "psa", "gso")})
 
 
+def _discordant(pair: DataFrame, other: str, *keys: str) -> DataFrame:
+    """keys, b (the point is right, the other is not), c, p and the gain in accuracy: {other}_b, ... of rows with right and {other}."""
+    out = pair.groupBy(*keys).agg(
+        F.count_if(F.col("right") & ~F.col(other)).alias(f"{other}_b"), F.count_if(~F.col("right") & F.col(other)).alias(f"{other}_c"),
+        F.avg(F.col("right").cast("double") - F.col(other).cast("double")).alias(f"{other}_gain"),
+    )
+    return out.withColumn(f"{other}_p", inference.mcnemar(f"{other}_b", f"{other}_c"))
+
+
 @query()
 def q3_t12_threshold_sensitivity(spark, d):
-    """Five percentiles for each of two checks, against the calibrated cuts: performance, interventions, McNemar, the change of Sharpe
-    with its stationary interval, and whether the point refutes that these checks leave the direction alone."""
-    rows = sweep(spark, d).withColumn("w", F.col("final_size"))
+    """Five percentiles for each of two checks, against the calibrated cuts (base) and the agent: performance, interventions, McNemar,
+    and whether the point refutes that these checks leave the direction alone. At the least percentile, the mean difference of
+    net returns from the base with its stationary interval of 2000 resamples, and the change of the Sharpe ratio."""
+    keys = ["ticker", "moved", "percent"]
+    rows = sweep(spark, d)
     fired = F.when(F.col("moved") == "psa", F.col("psa_severity") == "high").otherwise(F.col("gso_severity").isin("medium", "high"))
-    rows = rows.select("ticker", "moved", "percent", "date", "r", "r_next", "w", fired.alias("fired"))
-    marked = rows.withColumns({"net": net(F.col("w"), F.col("r"), "moved", "percent"), "right": F.when(F.expr(VALID), F.signum("w") == F.signum("r_next"))})
-    base = marked.where("moved = 'base'").select("ticker", "date", F.col("right").alias("base_right"), F.col("net").alias("base_net"))
+    rows = rows.select(*keys, "date", "r", "r_next", F.col("final_size").alias("w"), "size", fired.alias("fired"))
+    right = lambda c: F.when(F.expr(VALID), F.signum(c) == F.signum("r_next"))
+    marked = rows.withColumns({"net": net(F.col("w"), F.col("r"), "moved", "percent"), "right": right("w"), "agent": right("size")})
+    base = marked.where("moved = 'base'").select("ticker", "date", F.col("right").alias("base"), F.col("net").alias("base_net"))
     pair = marked.where("moved <> 'base'").join(base, ["ticker", "date"])
-    key = F.concat_ws("|", "ticker", "moved", F.format_string("%02d", "percent"))
-    gap = inference.by_key(
-        pair.select(key.alias("key"), "date", "net", "base_net"), "key",
-        lambda x: dict(zip(("change", "low", "high"), inference.bootstrap(x[["net", "base_net"]].dropna().to_numpy(dtype=float), inference.sharpe_difference, 500), strict=True)),
-        "change double, low double, high double",
-    )
-    out = pair.withColumn("key", key).groupBy("key", "ticker", "moved", "percent").agg(F.count_if("fired").alias("fired"), F.count_if(F.col("right") & ~F.col("base_right")).alias("b"), F.count_if(~F.col("right") & F.col("base_right")).alias("c"), F.avg(F.col("right").cast("double") - F.col("base_right").cast("double")).alias("gain"))
-    out = out.withColumn("p", inference.mcnemar("b", "c"))
-    out = out.withColumn("refutes", inference.refutes(F.col("gain"), F.col("p"), F.col("b"), F.col("c")))
-    return out.join(gap, "key").drop("key").join(performance(rows, "moved", "percent"), ["ticker", "moved", "percent"])
+    out = _discordant(pair, "base", *keys).join(_discordant(pair, "agent", *keys), keys).join(pair.groupBy(*keys).agg(F.count_if("fired").alias("fired")), keys)
+    out = out.withColumn("refutes", inference.refutes(F.col("base_gain"), F.col("base_p"), F.col("base_b"), F.col("base_c")))
+    least = pair.where(F.col("percent") == min(PERCENTS)).select(F.concat_ws("|", "ticker", "moved").alias("key"), "date", (F.col("net") - F.col("base_net")).alias("gap"))
+    spans = inference.intervals(inference.replicated(least, "key", {"gap": inference.resampled(np.mean, "gap")}, 2000, 200), "key")
+    spans = spans.withColumn("x", F.split("key", "[|]")).select(F.col("x")[0].alias("ticker"), F.col("x")[1].alias("moved"), F.lit(min(PERCENTS)).alias("percent"), F.col("point").alias("mean_gap"), "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("without_zero"))
+    figures = performance(rows, "moved", "percent")
+    ground = figures.where("moved = 'base'").select("ticker", F.col("sharpe").alias("base_sharpe"))
+    out = out.join(spans, keys, "left").join(figures, keys).join(ground, "ticker").withColumn("sharpe_change", F.col("sharpe") - F.col("base_sharpe"))
+    return out.withColumn("most_gain", F.max(F.abs("base_gain")).over(W.partitionBy("ticker")))
 
 
 def by_states(spark, d, ks: tuple[int, ...] = (2, 3), seeds: tuple[int, ...] = models.SEEDS, fitted: DataFrame | None = None, *keep: str, tau: float | None = None) -> DataFrame:
@@ -472,7 +515,7 @@ def by_states(spark, d, ks: tuple[int, ...] = (2, 3), seeds: tuple[int, ...] = m
     returns = features(spark, d).where("r is not null")
     sigma = models.apply_volatility(returns.where(F.col("date") > CALIBRATION_END), models.fit_volatility(calibration(returns)))
     days = recursions.sizing_anomaly(bridge.decisions(spark, d).join(sigma, ["ticker", "date"]))
-    cuts = cuts_of(scored(spark, d), market(spark, d)).drop("ram_low", "ram_medium", "ram_high")
+    cuts = cuts_of(market(spark, d)).drop("ram_low", "ram_medium", "ram_high")
     gates = models.calibrate_gates(calibration(gamma), "ticker", "k", *keep) if tau is None else gamma.select("ticker", "k", *keep).distinct().withColumn("tau", F.lit(tau))
     full = days.join(gamma, ["ticker", "date"]).join(cuts, "ticker").join(gates, ["ticker", "k", *keep])
     chosen = {"ram": supervision.gate_cuts(F.col("tau"))} | {x: supervision.cut_columns(x) for x in ("psa", "gso")}
@@ -608,7 +651,7 @@ def q9_seed_stability(spark, d):
     got = by_states(spark, d, (3,), models.SEEDS, fitted, "base").withColumn("w", F.col("final_size"))
     result = outcome(got, "base").select("ticker", "base", "tau", "sharpe", "accuracy", "touched")
     agent = got.withColumn("w", F.col("size"))
-    return result.join(against(got, got, agent, "base").select("ticker", "base", "b", "c", "mcnemar_p"), ["ticker", "base"])
+    return result.join(against(got, agent, got, "base").select("ticker", "base", "b", "c", "mcnemar_p"), ["ticker", "base"])
 
 
 @query()
