@@ -246,3 +246,11 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
     kept = toxicity.reject(docs.union(odd), toxicity.fit(docs, labels))
     assert kept.columns == docs.columns and kept.where("doc_id % 4 = 0 and doc_id < 9000").count() == 0 and kept.where("doc_id % 4 <> 0 and doc_id < 9000").count() == 300
+
+
+def test_toxicity_sample_takes_one_row_an_id_and_no_id_as_input(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    ids = labels.where(~toxicity.is_held_out(F.col("doc_id"))).select("doc_id").limit(3)
+    many = docs.join(ids, "doc_id").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("k").select(docs.columns)
+    assert toxicity.sample(docs.union(many), labels).count() == toxicity.sample(docs, labels).count()
+    assert toxicity.fit(docs.union(many), labels) == toxicity.fit(docs, labels)

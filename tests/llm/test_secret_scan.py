@@ -93,3 +93,12 @@ def test_rows_and_redaction(spark):
     out = {(r.doc_id, r.text, r.n_chars) for r in redact(docs).collect()}
     assert out == {(1, None, 3), (None, "", 0), (2, "a [SECRET] b", 12), (2, "clean", 5)}
     assert secret_scan.scan_documents(docs.limit(0)).count() == 0 and redact(docs.limit(0)).count() == 0
+
+
+def test_keys_far_behind_a_path():
+    b64 = base64.b64encode(KEY).decode()
+    for before in ("a" * 4 + "/", "path/" * 60 + "x/", "path/" * 64, "dir/MA/" * 20_000, "id-", "my_key_", "MIIB/" * 300):
+        found = [s for s in scan(f"see {before}{b64} end") if s[0] == "der"]
+        assert found == [("der", 4 + len(before), 4 + len(before) + len(b64))], before[:20]
+    assert not [s for s in scan("x/" + "MIIB/" * 50_000) if s[0] in ("der", "ssh")]
+    assert not [s for s in scan(f"xy{b64}") if s[0] == "der"]

@@ -101,3 +101,45 @@ def test_whole_tables(spark, sf):
     assert (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == df.vec_id.to_numpy()[comp]).all()
     found = queries.op1_nearest_neighbours(spark, sf).toPandas()
     assert found.groupby("query_id").size().eq(5).all() and set(found.query_id) == set(df.vec_id[df.vec_id % 50 == 0])
+
+
+def test_unequal_vectors_under_one_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (9, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 0, "", 0) for i, v in rows], SCHEMA)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 0, 9, True)]
+    found = ann.search(df, F.col("vec_id") == 1, 2).collect()
+    assert all(r.vec_id != 1 for r in found) and len(found) == 2
+
+
+def test_dedup_over_many_real_shards(spark, monkeypatch):
+    """Several thousand vectors over ten shards and more, links across their borders included."""
+    monkeypatch.setattr(vector_dedup, "SHARD_ROWS", 400)
+    x = near_copies(7, 4500)
+    labels = np.zeros(len(x), dtype=int)
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(frame(spark, x, labels)).collect() if r.vec_id is not None}
+    links, comp = brute_links(x, labels)
+    assert [(got[i * 5].n_links, got[i * 5].component_id) for i in range(len(x))] == [(links[i], comp[i] * 5) for i in range(len(x))]
+
+
+def test_search_does_not_depend_on_parts(spark, monkeypatch):
+    x = near_copies(11, 900)
+    df = frame(spark, x, np.zeros(len(x), dtype=int))
+    whole = sorted(map(tuple, ann.search(df, F.col("vec_id") % 10 == 0, 5).collect()))
+    monkeypatch.setattr(ann, "QUERY_ROWS", 40)
+    monkeypatch.setattr(ann, "SLICE", 7)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
+    assert sorted(map(tuple, ann.search(df, F.col("vec_id") % 10 == 0, 5).collect())) == whole
+
+
+def test_recall_on_the_table(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x = np.array(df.embedding.tolist(), dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T
+    np.fill_diagonal(near, -9)
+    at = {v: i for i, v in enumerate(df.vec_id)}
+    found = queries.op1_nearest_neighbours(spark, sf).toPandas()
+    least = {q: np.sort(near[at[q]])[-5] for q in set(found.query_id)}
+    assert np.mean([near[at[r.query_id], at[r.vec_id]] >= least[r.query_id] - 1e-9 for r in found.itertuples()]) >= 0.9

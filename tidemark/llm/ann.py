@@ -5,7 +5,7 @@ greedy descent gives. A query walks the tree with a priority queue: the branch w
 inner nodes put their children into the queue, leaves are visited. How many leaves are visited is calibrated: the true
 neighbours of CALIBRATION queries among all rows are found by brute force, and visits are widened leaf by leaf until the share of them that
 lies in visited leaves reaches the target. Queries meet rows by leaf; leaves with many rows are split
-into blocks, and of equal vectors only as many rows as can be among the nearest are kept, smallest ids first (the
+into blocks, queries into parts, compared in slices, and of equal vectors only as many rows as can be among the nearest are kept, smallest ids first (the
 others cannot be in a result, since ties go to smaller ids), so no task holds an unbounded group. Scores are exact
 cosines in double precision.
 
@@ -34,6 +34,8 @@ BRANCH = 8
 CALIBRATION = 256
 TARGET = 0.93
 BLOCK_ROWS = 4096
+#: Queries that meet a block of rows in one task, and those of them that are compared at a time.
+QUERY_ROWS, SLICE = 32_768, 1024
 
 
 class Tree:
@@ -88,17 +90,19 @@ class Tree:
 
 def _best(q_ids, q, x_ids, x, k: int) -> tuple[list, list, list]:
     """Each query's k nearest rows of other ids: nearest first, ties to smaller ids."""
-    near = unit(q) @ unit(x).T
-    near[q_ids[:, None] == x_ids[None, :]] = -9
     out: tuple[list, list, list] = ([], [], [])
-    for i in range(len(q)):
-        least = np.partition(near[i], -k)[-k] if near.shape[1] > k else -2
-        few = np.flatnonzero(near[i] >= max(least - 1e-9, -2))
-        score = cosine(np.broadcast_to(q[i], (len(few), q.shape[1])), x[few])
-        order = np.lexsort((x_ids[few], -score))[:k]
-        out[0].extend([q_ids[i]] * len(order))
-        out[1].extend(x_ids[few][order])
-        out[2].extend(score[order])
+    scaled = unit(x).T
+    for a in range(0, len(q), SLICE):
+        near = unit(q[a : a + SLICE]) @ scaled
+        near[q_ids[a : a + SLICE, None] == x_ids[None, :]] = -9
+        for i, row in enumerate(near, a):
+            least = np.partition(row, -k)[-k] if len(row) > k else -2
+            few = np.flatnonzero(row >= max(least - 1e-9, -2))
+            score = cosine(np.broadcast_to(q[i], (len(few), q.shape[1])), x[few])
+            order = np.lexsort((x_ids[few], -score))[:k]
+            out[0].extend([q_ids[i]] * len(order))
+            out[1].extend(x_ids[few][order])
+            out[2].extend(score[order])
     return out
 
 
@@ -140,11 +144,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, target: float = TAR
                 where = [tree.visits(nearness[i], counts, wide, 4 * (k + 1)) for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where, pa.list_(pa.int32()))], names=["vec_id", "embedding", "leaves"])
 
+    parts = max(1, -(-queries.count() // QUERY_ROWS))  # a leaf's visitors are some of all queries
     blocks = F.split(F.lit(",".join(str(max(1, -(-int(c) // BLOCK_ROWS))) for c in counts)), ",").cast("array<int>")
     of = F.element_at(blocks, F.col("leaf") + 1)
     asked = queries.mapInArrow(walk, "vec_id long, embedding array<double>, leaves array<int>")
-    asked = asked.select("vec_id", "embedding", F.explode("leaves").alias("leaf")).withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
-    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), of).cast("int"))
+    asked = asked.select("vec_id", "embedding", F.explode("leaves").alias("leaf"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), of - 1)))
+    held = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), of).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -155,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, target: float = TAR
             got = _best(ids[0], q, ids[1], x, k)
         return pa.table([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInArrow(meet, result)
+    found = asked.groupBy("leaf", "block", "part").cogroup(held.groupBy("leaf", "block", "part")).applyInArrow(meet, result)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -50,8 +50,10 @@ BEGIN = "-----BEGIN "
 END = re.compile(r"-----END ((?:[A-Z]{1,20} ){0,4}PRIVATE KEY)-----")
 ENCRYPTED_HEADER = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED")
 SSH_MAGIC = b"openssh-key-v1\0"
-#: What base64 of a sequence with a length of one, two or three bytes, and of the OpenSSH format, begins with.
-KEY_STARTS = (*("M" + c for c in "ABCDEFGHI"), "b3BlbnNzaC1rZXkt")
+#: What base64 of a sequence with a length of one, two or three bytes, and of the OpenSSH format, begins with; in a run it
+#: stands first, or behind what ends a path's or a name's part.
+SSH_START = "b3BlbnNzaC1rZXkt"
+KEY_START = re.compile(rf"(?:\A|(?<=[/_-]))(?:M[A-I]|{SSH_START})")
 
 
 def decoded(text: str) -> bytes | None:
@@ -136,16 +138,28 @@ def pem_runs(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def declared_size(text: str) -> int | None:
+    """Bytes that base64 of a sequence claims to have, by its first eight characters."""
+    head = decoded(text[:8])
+    if not head or len(head) < 6 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 0 < n <= 4 else 2 + head[1] if head[1] < 0x80 else None
+
+
 def key_runs(run: str) -> list[tuple[str, int, int]]:
-    """Encoded keys in a run of base64: whole, or from a slash on, as behind a path."""
+    """Encoded keys in a run of base64: whole, or behind a slash, a hyphen or an underscore, however far into the run.
+
+    A start is decoded to the end only if the size that its first bytes claim is the size of all that follows."""
     found = []
     for m in ENCODED.finditer(run):
-        starts = [0, *[i + 1 for i, c in enumerate(m[0][:256]) if c == "/"]]
-        for at in starts:
-            part = m[0][at:]
-            if len(part) < 40 or not part.startswith(KEY_STARTS):
+        size = len(m[0].rstrip("="))
+        for at in (s.start() for s in KEY_START.finditer(m[0])):
+            if len(m[0]) - at < 40:
+                break
+            if not m[0].startswith(SSH_START, at) and declared_size(m[0][at : at + 8]) != (size - at) * 3 // 4:
                 continue
-            data = decoded(part)
+            data = decoded(m[0][at:])
             kind = "der" if is_der_key(data) or is_encrypted_key(data) else "ssh" if is_ssh_key(data) else None
             if kind:
                 found.append((kind, m.start() + at, m.end()))

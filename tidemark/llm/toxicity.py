@@ -2,7 +2,8 @@
 
 A logistic regression on the words of a text and the first characters of its words. It is fitted on a bounded sample of
 labelled rows (SAMPLE rows, those whose ids hash lowest), none of them from the held-out fold. Features are the FEATURES
-words or beginnings that tell the classes apart best in the sample, and all identity terms. The loss has a second
+words or beginnings that tell the classes apart best in the sample (three rows at least, more than three deviations), and all
+identity terms. The loss has a second
 part: in sentences of the sample that name a group, the term is swapped for another one of its language (English, German, French,
 Spanish) and left out, and into one that names none a term is put; the squared change of the sentence's score is penalised,
 so that a neutral mention of a group does not move the score.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +77,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id, text, toxic: at most `size` labelled rows out of the held-out fold."""
+    """doc_id, text, toxic: at most `size` labelled rows out of the held-out fold, one an id (of several texts the least)."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -84,7 +86,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(size)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -144,11 +147,11 @@ def _rows(rows: DataFrame, index: dict[str, int]) -> list:
         use_table("toxicity", lambda: None)
         texts = [t or "" for t in batch.column(0).to_pylist()]
         found = [indexed(words(t), index) for t in texts]
-        swaps = [[{"a": a, "b": b} for a, b in counterfactuals(t, int(i) % 7919, index)] for t, i in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        swaps = [[{"a": a, "b": b} for a, b in counterfactuals(t, crc32(t.encode()) % 7919, index)] for t in texts]
         lists = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, lists), pa.array(swaps, pa.list_(pa.struct([("a", lists), ("b", lists)])))], names=["toxic", "features", "swaps"])
 
-    return map_text(rows, ["text", "toxic", "doc_id"], step, "toxic int, features array<int>, swaps array<struct<a: array<int>, b: array<int>>>", text=0).collect()  # SAMPLE rows
+    return map_text(rows, ["text", "toxic"], step, "toxic int, features array<int>, swaps array<struct<a: array<int>, b: array<int>>>", text=0).collect()  # SAMPLE rows
 
 
 def flat(lists: list) -> tuple[np.ndarray, np.ndarray]:

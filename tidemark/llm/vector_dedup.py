@@ -9,12 +9,13 @@ the overlap is widened by a quarter, up to d, where no link can be missed, and t
 neighbour is clearly nearer to its end), with all reverse edges, so that no node is without a way to it. The adjacency lists of a node from all its shards are
 united. Then every node is searched for in its own shard over the united lists, from the medoid and from itself: the
 best unexpanded nodes of the beam are expanded, and all nodes within the radius, until none is left. Some nodes of each
-shard are audited against brute force; if a link was missed, the beam is doubled and the shard searched again. Links are
+shard are audited against brute force; if a link was missed, the beam is made four times as wide and the shard searched again. Links are
 verified on the original vectors in double precision; inside a shard they are counted and joined to local components,
 never listed, and the components of all shards are joined at the end.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label or an id, link with
-nothing: n_links 0, their own component, kept. Repeated ids are one node if their vectors are equal. An empty table gives
+nothing: n_links 0, their own component, kept. Repeated ids are one node if their vectors are equal, else nodes of their own,
+each of them another vector to those that it links with; a component is named by the least id among its nodes. An empty table gives
 an empty result. A shard is one task's work; near copies that all lie within the radius of each other stay in one
 shard, however many they are, unless they are equal.
 """
@@ -167,7 +168,7 @@ def search_shard(ids: np.ndarray, raw: np.ndarray, sizes: np.ndarray, own: np.nd
 def _audit(nodes: DataFrame, radius: float) -> DataFrame:
     """node, links of AUDITED nodes, counted over all nodes of their label."""
     spark = nodes.sparkSession
-    some = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).toPandas()
+    some = nodes.orderBy(F.xxhash64("least"), "least", "embedding").limit(AUDITED).toPandas()
     asked, label = np.array(some["embedding"].tolist()), some["label"].to_numpy()
     of, names = some["node"].to_numpy(), unit(asked)
 
@@ -235,11 +236,12 @@ def near_duplicates(vectors: DataFrame, radius: float = 0.98) -> DataFrame:
     scratch = Scratch(spark)
     named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     valid = named.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
-    nodes = scratch.table(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("size")))
+    classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.countDistinct("vec_id").alias("size"))
+    nodes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()))  # unequal vectors may share their least id
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
     if largest is None:
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fitted = unit(sample(nodes.withColumnRenamed("node", "vec_id"), SAMPLE))
+    fitted = unit(sample(nodes.withColumnRenamed("least", "vec_id"), SAMPLE))
     shards = max(1, min(-(-largest // SHARD_ROWS), len(fitted) // 32))
     shared = spark.sparkContext.broadcast(kmeans(fitted, shards)[0])  # bounded by the sample
     dims = fitted.shape[1]
@@ -255,7 +257,10 @@ def near_duplicates(vectors: DataFrame, radius: float = 0.98) -> DataFrame:
         overlap = min(1.0, 1.25 * overlap)
     component = connected_components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     per_node = found.groupBy("node").agg(F.max("links").alias("links")).join(component, "node", "left")
-    per_class = nodes.join(per_node, "node").select("label", "embedding", (F.col("links") + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    per_class = nodes.join(per_node, "node").select("label", "embedding", "least", (F.col("links") + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    per_class = scratch.table(per_class)
+    least = per_class.groupBy("component").agg(F.min("least").alias("first"))
+    per_class = per_class.join(least, "component").select("label", "embedding", "links", F.col("first").alias("component"))
     ok = F.col("label").isNotNull() & usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     keyed = named.withColumn("label", F.when(ok, F.col("label"))).withColumn("embedding", F.when(ok, F.col("embedding")))
     own = F.coalesce("component", "vec_id")
