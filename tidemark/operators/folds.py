@@ -69,3 +69,18 @@ def contiguous(df: DataFrame, key: str, order: str, k: int = 5, embargo: int = 5
     out = out.withColumn("fold", F.size(F.filter(ends, lambda e: e <= F.col("row_pos"))))
     stop = F.floor((F.col("fold") + 1) * F.col("n") / F.lit(k))
     return out.where((F.col("fold") == k - 1) | (F.col("row_pos") < stop - embargo)).drop("n")
+
+
+def shuffled(df: DataFrame, key: str, order: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """df with row_pos (from 0, by key) and fold: k folds of each key's rows dealt without regard to time, sizes one apart at most. Its
+    scores are biased where neighbouring rows are alike."""
+    out = df.withColumn("row_pos", (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1).cast("long"))
+    dealt = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), "row_pos"), "row_pos")) - 1
+    return out.withColumn("fold", (dealt % k).cast("int"))
+
+
+def roles(dealt: DataFrame, key: str, k: int) -> DataFrame:
+    """key, fold_id, row_pos, role of rows dealt to folds 0 to k - 1: each fold is tested once, by what the others train."""
+    test = dealt.select(key, F.col("fold").cast("int").alias("fold_id"), "row_pos", F.lit("test").alias("role"))
+    train = dealt.withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("fold_id <> fold").select(key, "fold_id", "row_pos", F.lit("train").alias("role"))
+    return test.unionByName(train)

@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import spread
+from tidemark.functions.series import average_rank, spread
 from tidemark.functions.trees import Boosted, Logistic, stump
+from tidemark.sources.scratch import written
 
 CANDIDATES = {"boosted": Boosted, "shallow": lambda: Boosted(trees=60, depth=2), "logistic": Logistic}
+#: The grid that a search goes over: trees by number, depth and rate, and lines by ridge.
+GRID = {f"trees_{n}_{depth}_{rate}": (lambda n=n, depth=depth, rate=rate: Boosted(trees=n, depth=depth, rate=rate)) for n in (40, 120) for depth in (2, 4) for rate in (0.05, 0.2)}
+GRID |= {f"line_{ridge}": (lambda ridge=ridge: Logistic(ridge)) for ridge in (0.01, 1.0, 100.0)}
 
 
 def log_loss(y: np.ndarray, p: np.ndarray) -> float:
@@ -21,17 +25,19 @@ def log_loss(y: np.ndarray, p: np.ndarray) -> float:
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else float("nan")
 
 
-def fold_predictions(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kinds: tuple[str, ...] = ("boosted",), importance: bool = False) -> DataFrame:
+def fold_predictions(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kinds: tuple[str, ...] = ("boosted",), importance: bool = False, only: DataFrame | None = None) -> DataFrame:
     """key, kind, fold_id, row_pos, p, y, shift, shap: the prediction for each row that a fold tests.
 
     rows: key, row_pos, label (0 or 1) and features (null counts as 0); folds: key, fold_id, row_pos, role. Folds with no training
     rows or one class are skipped. shift: for each feature, how far the prediction moves when the tested rows' values of it
-    are dealt anew; shap: the feature's share of the log odds (both empty unless asked for). One task holds the rows of one fold of one key.
+    are dealt anew; shap: the feature's share of the log odds (both empty unless asked for). One task holds the rows of one fold of one key. only: the kinds of each key (key, kind) that are fitted.
     """
-    if unknown := set(kinds) - set(CANDIDATES):
+    known = CANDIDATES | GRID
+    if unknown := set(kinds) - set(known):
         raise ValueError(f"unknown kinds {sorted(unknown)}")
     both = folds.join(rows.na.fill(0.0, features).select(key, "row_pos", F.col("label").cast("double").alias("label"), *features), [key, "row_pos"])
     each = both.withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+    each = each if only is None else each.join(F.broadcast(only), [key, "kind"], "left_semi")  # a row a candidate
 
     def fit(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("row_pos", kind="stable")
@@ -39,7 +45,7 @@ def fold_predictions(rows: DataFrame, folds: DataFrame, features: list[str], key
         if train["label"].nunique() < 2 or test.empty:
             return pd.DataFrame(columns=[key, "kind", "fold_id", "row_pos", "p", "y", "shift", "shap"])
         x = test[features].to_numpy(dtype=float)
-        model = CANDIDATES[d["kind"].iloc[0]]().fit(train[features].to_numpy(dtype=float), train["label"].to_numpy())
+        model = known[d["kind"].iloc[0]]().fit(train[features].to_numpy(dtype=float), train["label"].to_numpy())
         p = model.predict(x)
         shift: list = [[]] * len(test)
         shap = shift
@@ -73,23 +79,56 @@ def importance_by(rows: DataFrame, folds: DataFrame, features: list[str], key: s
     return out.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("shap"), "feature")))
 
 
-def leaderboard_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str) -> DataFrame:
-    """key, kind, log_loss, brier, n, place of each candidate, best first by log loss over the tested rows."""
+def board_of(got: DataFrame, key: str) -> DataFrame:
+    """key, kind, auc, log_loss, brier, n, place of fold_predictions() rows: best first by the area under the curve over all tested
+    rows (null, and last, where they have one class), then by log loss."""
     from pyspark.sql import Window as W
 
-    got = fold_predictions(rows, folds, features, key, tuple(CANDIDATES))
     q = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = -F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q))
-    out = got.groupBy(key, "kind").agg(F.avg(loss).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.count("*").alias("n"))
-    return out.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("log_loss", "kind")))
+    ones = F.sum("y")
+    area = (F.sum(F.when(F.col("y") == 1, F.col("rank"))) - ones * (ones + 1) / 2) / F.nullif(ones * (F.count("*") - ones), F.lit(0.0))
+    ranks = got.withColumn("rank", average_rank(F.col("p"), key, "kind"))
+    out = ranks.groupBy(key, "kind").agg(area.alias("auc"), F.avg(loss).alias("log_loss"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.count("*").alias("n"))
+    return out.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc_nulls_last("auc"), "log_loss", "kind")))
+
+
+def leaderboard_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str) -> DataFrame:
+    """board_of() the candidates of each key."""
+    return board_of(fold_predictions(rows, folds, features, key, tuple(CANDIDATES)), key)
+
+
+def search_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, budget: int = 40, kinds: tuple[str, ...] = tuple(GRID)) -> DataFrame:
+    """board_of() the grid's candidates by successive halving, with `rung`, the last round that a candidate took part in, and `fits`, the
+    fits of a key so far. In each round the candidates that are left are fitted on the next fold and judged on all folds so far; the
+    better half goes on, until one is left, or the next round would go beyond a budget of fits a key; what is left
+    then has the later rung. The best comes first: by rung, then by area."""
+    from pyspark.sql import Window as W
+
+    numbers = sorted(r[0] for r in folds.select("fold_id").distinct().collect())
+    seen, alive, left, fits, boards = None, None, len(kinds), 0, None
+    for rung, fold in enumerate(numbers):
+        if left < 1 or fits + left > budget:
+            break
+        got = written(fold_predictions(rows, folds.where(F.col("fold_id") == fold), features, key, kinds, only=alive))
+        seen = got if seen is None else seen.join(F.broadcast(alive), [key, "kind"], "left_semi").unionByName(got)
+        fits += left
+        board = written(board_of(seen, key).withColumns({"rung": F.lit(rung), "fits": F.lit(fits)}))
+        boards = board if boards is None else boards.unionByName(board)
+        if left == 1:
+            break
+        left = -(-left // 2)
+        alive = board.where(F.col("place") <= left).select(key, "kind")
+    last = boards.withColumn("latest", F.max("rung").over(W.partitionBy(key, "kind"))).where("rung = latest").drop("latest", "place")
+    return last.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("rung"), F.desc_nulls_last("auc"), "log_loss", "kind")))
 
 
 def leader_metadata(board: DataFrame, key: str, train_n: DataFrame, used_folds: bool) -> DataFrame:
     """key and a JSON text of the leader: its name, metric, the board, training rows, and whether a fold column was used."""
-    entry = F.struct("place", "kind", "log_loss", "brier", "n")
+    entry = F.struct("place", "kind", "auc", "log_loss", "brier", "n")
     out = board.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("board")).join(train_n.select(key, "train_n"), key)  # a row a candidate
     first = F.element_at("board", 1)
-    record = F.struct(first["kind"].alias("leader_id"), first["log_loss"].alias("leader_metric"), F.lit("log_loss").alias("metric_name"), F.col("board").alias("leaderboard"), "train_n", F.lit(used_folds).alias("used_fold_column"))
+    record = F.struct(first["kind"].alias("leader_id"), first["auc"].alias("leader_metric"), F.lit("auc").alias("metric_name"), F.col("board").alias("leaderboard"), "train_n", F.lit(used_folds).alias("used_fold_column"))
     return out.select(key, F.to_json(record).alias("metadata"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -201,6 +202,46 @@ def read_version(spark, path: str, version: int | None = None) -> DataFrame:
     return whole.where(F.col("version") == wanted).drop("version")
 
 
+def _entries(spark, path: str) -> dict[int, str]:
+    """The versions that have been published: number and the folder of each."""
+    jvm = spark.sparkContext._jvm
+    log = jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+    fs = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(log):
+        return {}
+    found = {}
+    for status in fs.listStatus(log):
+        stream = fs.open(status.getPath())
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        name = status.getPath().getName()
+        if name.isdigit() and text.endswith(";"):  # one that was not written to its end does not count
+            found[int(name)] = text[:-1]
+    return found
+
+
+def publish(models: DataFrame, path: str) -> int:
+    """Write a model table as the next version and give its number. The table comes first, the entry that names it last, so a
+    reader sees the version before or this one whole; versions before stay. Of two writers of one number one fails."""
+    spark = models.sparkSession
+    folder = f"tables/{uuid.uuid4().hex}"
+    models.write.mode("errorifexists").parquet(f"{path}/{folder}")
+    number = max(_entries(spark, path), default=0) + 1
+    entry = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/log/{number:012}")
+    stream = entry.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(entry, False)
+    stream.write(bytearray(f"{folder};".encode()))
+    stream.close()
+    return number
+
+
+def published(spark, path: str, version: int | None = None) -> DataFrame:
+    """A published version of a model table, the last one if none is named."""
+    entries = _entries(spark, path)
+    if not entries or version is not None and version not in entries:
+        raise ValueError(f"no version {version or ''} under {path}")
+    return spark.read.parquet(f"{path}/{entries[max(entries) if version is None else version]}")
+
+
 def same_parameters(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("ticker",), names: tuple[str, ...] = ("omega", "alpha", "beta", "nu"), within: float = 1e-6) -> DataFrame:
     """keys, same: whether no parameter differs by `within` or more; a key that one of the tables lacks is not the same."""
     left, right = (t.select(*keys, F.struct(*names).alias(a)) for t, a in ((old, "x"), (new, "y")))

@@ -130,3 +130,21 @@ def regime_filter(inputs: DataFrame, model: dict = HMM, tasks: int | None = None
     got = [sum((F.get("w", F.lit(i)) * F.get("product", F.lit(i * k + j)) for i in range(k)), F.lit(0.0)) for j in range(k)]
     total = sum(got, F.lit(0.0))
     return joined.select(*inputs.columns, *[(g / total).alias(n) for g, n in zip(got, STATES, strict=True)])
+
+
+def numbered(df: DataFrame, *order: str, tasks: int | None = None) -> DataFrame:
+    """df with `at`, the row's number (from 0) in the order of some columns, as one stacked series: numbers within ranges, then a
+    range's first number (a row a partition)."""
+    ranged = (df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield batch.assign(part=part, at=np.arange(seen, seen + len(batch)))
+            seen += len(batch)
+
+    rows = written(ranged.mapInPandas(run, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), "part int", "at long"])))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
+    firsts = np.cumsum([0, *[r["n"] for r in sizes]])
+    before = df.sparkSession.createDataFrame([(r["part"], int(f)) for r, f in zip(sizes, firsts, strict=False)], "part int, before long")
+    return rows.join(F.broadcast(before), "part").select(*df.columns, (F.col("at") + F.col("before")).alias("at"))

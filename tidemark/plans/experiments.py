@@ -5,6 +5,8 @@ Bars, decisions, orders and personalities come from sources.bridge. Rows up to C
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import kernels, special, text
 from tidemark.functions.series import by, filled_forward, log_return, rolling, rounded
 from tidemark.operators import backtest, folds, inference, learning, macro, models, recursions, scans, supervision
+from tidemark.operators.selection import percentiles
 from tidemark.plans.registry import DET_SQL, MODES, ONE, ROLL, STRATEGIES, WIN, R, detected, labelled, matthews, query, r6, ran, rets
 from tidemark.sources import bridge
+from tidemark.sources.scratch import shared_folder, written
 
 CALIBRATION_END = "1999-12-31"
 TAU = 0.5
@@ -104,6 +108,13 @@ def st2_garch_blocks(spark, d):
     return out.select("ticker", "date", *r6(sigma=F.col("sigma")))
 
 
+@query("SELECT ticker, count(*) AS n, " + ", ".join(f"{R(f'quantile_cont(abs(r), {p / 100})')} AS p{p}" for p in PERCENTS) + " FROM rets WHERE r IS NOT NULL GROUP BY ticker")
+def m19_percentiles_by_counts(spark, d):
+    """Percentiles of absolute returns by counting, without a buffer of a ticker's values."""
+    got = percentiles(rets(spark, d), F.abs("r"), [p / 100 for p in PERCENTS], "ticker")
+    return got.groupBy("ticker", "n").agg(*[rounded(F.max(F.when(F.abs(F.col("share") - p / 100) < 1e-9, F.col("value")))).alias(f"p{p}") for p in PERCENTS])
+
+
 @query()
 def st5_st7_regimes(spark, d):
     return recursions.regimes(inputs(spark, d).select("ticker", "date", "r", "rv"))
@@ -373,16 +384,23 @@ def v7_f16_importance(spark, d):
 
 @query()
 def v4_leaderboard(spark, d):
-    """Candidates by out-of-fold log loss, with purged stretches and with the plain five folds that leak."""
-    rows = meta_rows(spark, d)
+    """Candidates by the area under the curve over out-of-fold rows: five stretches with an embargo, five folds dealt without regard to
+    time, which leak, and how far a candidate's area is from that of the stretches."""
+    rows = written(meta_rows(spark, d))
     out = None
-    for name, embargo in (("purged", 5), ("plain", 0)):
-        kept = folds.contiguous(rows.select("ticker", "date"), "ticker", "date", 5, embargo).select("ticker", "row_pos", "fold")
-        test = kept.select("ticker", F.col("fold").cast("int").alias("fold_id"), "row_pos", F.lit("test").alias("role"))
-        train = kept.withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("fold_id <> fold").select("ticker", "fold_id", "row_pos", F.lit("train").alias("role"))
-        board = learning.leaderboard_by(rows, test.unionByName(train), PERSONA_FEATURES + MARKET_FEATURES, "ticker").select(F.lit(name).alias("folds"), "*")
+    for name, dealt in (("purged", folds.contiguous(rows.select("ticker", "date"), "ticker", "date", 5, 5)), ("shuffled", folds.shuffled(rows.select("ticker", "date"), "ticker", "date", 5))):
+        board = learning.leaderboard_by(rows, folds.roles(dealt, "ticker", 5), PERSONA_FEATURES + MARKET_FEATURES, "ticker").select(F.lit(name).alias("folds"), "*")
         out = board if out is None else out.unionByName(board)
-    return out
+    ground = F.max(F.when(F.col("folds") == "purged", F.col("auc"))).over(W.partitionBy("ticker", "kind"))
+    return out.withColumn("bias", F.col("auc") - ground)
+
+
+@query()
+def v4_search(spark, d):
+    """Each ticker's best of a grid of candidates by successive halving over purged stretches, forty fits at most."""
+    rows = written(meta_rows(spark, d))
+    cut = folds.roles(folds.contiguous(rows.select("ticker", "date"), "ticker", "date", 5, 5), "ticker", 5)
+    return learning.search_by(rows, cut, PERSONA_FEATURES + MARKET_FEATURES, "ticker")
 
 
 def performance(rows: DataFrame, *keys: str) -> DataFrame:
@@ -570,23 +588,58 @@ def ex_ante(rows: DataFrame, *keys: str) -> DataFrame:
     return fine.groupBy("ticker", *keys).agg(F.avg(F.when(fired, right)).alias("at_gate"), F.avg(fired.cast("double")).alias("fire_share"))
 
 
-@query()
-def q5_m23_states_per_ticker(spark, d):
-    """The number of states of each ticker by calibration accuracy at the gate (a twentieth of the days must fire; the least among
-    equals), against the best Sharpe on test days, with the panel's aggregates."""
-    rows, ks = inputs(spark, d), (2, 3, 4)
-    fitted = models.fit_regimes(calibration(rows), ks)
+KS = (2, 3, 4)
+
+
+def _states_per_ticker(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Figures of each ticker and number of states with the chosen and the later best one; net returns by ticker, k and day."""
+    rows = inputs(spark, d)
+    fitted = written(models.fit_regimes(calibration(rows), KS))
     gamma = calibration(models.apply_regimes(rows, fitted).join(rows.select("ticker", "date", "r_next"), ["ticker", "date"]))
     before = ex_ante(gamma.join(models.calibrate_gates(gamma, "ticker", "k"), ["ticker", "k"]), "k")
-    after = outcome(by_states(spark, d, fitted=fitted), "k").select("ticker", "k", "sharpe", "accuracy", "touched", "tau")
+    later = written(by_states(spark, d, fitted=fitted))
+    after = outcome(later, "k").select("ticker", "k", "sharpe", "accuracy", "touched", "tau")
     both = before.join(after, ["ticker", "k"])
     chosen = models.best_k(both, "at_gate", share="fire_share").withColumnRenamed("k", "chosen")
     best = models.best_k(both, "sharpe", tie=0.0).withColumnRenamed("k", "best_later")
     out = both.join(chosen, "ticker", "left").join(best, "ticker", "left").withColumn("match", F.col("chosen") == F.col("best_later"))
+    return out, later.select("ticker", "k", "date", net(F.col("final_size"), F.col("r"), "k").alias("net"))
+
+
+@query()
+def q5_m23_states_per_ticker(spark, d):
+    """The number of states of each ticker by calibration accuracy at the gate (a twentieth of the days must fire; the least among
+    equals), against the best Sharpe on test days, with the panel's aggregates."""
+    out, _ = _states_per_ticker(spark, d)
     whole = W.partitionBy("k")  # a row a ticker and k
     return out.withColumns({"mean_sharpe": F.avg("sharpe").over(whole), "median_sharpe": F.median("sharpe").over(whole)})
 
 
+@query()
+def q5_panel(spark, d):
+    """One row: each ticker's own number of states against three for all. How often the choice was the later best, mean and median Sharpe,
+    and Diebold-Mariano on the daily losses of all tickers, stacked and paired by their place."""
+    table, nets = _states_per_ticker(spark, d)
+    table = written(table)
+    own, three = table.where("k = chosen"), table.where("k = 3")
+    counts = [F.count_if(F.col("chosen") == k).alias(f"chosen_{k}") for k in KS]
+    figures = own.agg(F.count("*").alias("tickers"), F.count_if("match").alias("matches"), *counts, F.avg("sharpe").alias("mean_chosen"), F.median("sharpe").alias("median_chosen"))
+    fixed = three.agg(F.avg("sharpe").alias("mean_three"), F.median("sharpe").alias("median_three"))
+    nets = written(nets.where("net is not null"))
+    side = nets.join(own.select("ticker", F.col("chosen").alias("k")), ["ticker", "k"]).select("ticker", "date", "net")
+    gap = stacked(side, nets.where("k = 3").select("ticker", "date", "net"))
+    tested = inference.diebold_mariano(gap).select(F.col("n").alias("days"), "dm", F.col("p").alias("dm_p"))
+    return figures.crossJoin(F.broadcast(fixed)).crossJoin(F.broadcast(tested))  # one row each
+
+
+def stacked(left: DataFrame, right: DataFrame) -> DataFrame:
+    """key, date, d: loss of left less loss of right (ticker, date, net), each stacked by ticker and date, paired by place as far as
+    the shorter one goes. date is the place's day in left."""
+    a, b = (scans.numbered(x, "ticker", "date") for x in (left, right))
+    pair = a.join(b.select("at", F.col("net").alias("other")), "at")
+    return pair.select(F.lit("all").alias("key"), "date", (F.col("other") - F.col("net")).alias("d"))
+
+
 @query()
 def c7_q7_heldout(spark, d):
     """Held-out log-likelihood, information criteria and the plateau: the number of states past which less than 0.001 a row is gained."""
@@ -704,13 +757,25 @@ def q11_drift_dependence(spark, d):
 
 @query()
 def q12_recalibration(spark, d):
-    """Models fitted again on all calibration days but the last tenth's worth, against those of all: which parameters stayed."""
+    """Both models of each ticker fitted, published, fitted again by the same pipeline, compared with what was published, and published as
+    the next version, the one before staying as the backup."""
+    rows = calibration(inputs(spark, d))
     returns = calibration(features(spark, d)).where("r is not null")
-    n, i = F.count("*").over(W.partitionBy("ticker")), F.row_number().over(by())
-    old = models.fit_volatility(returns.withColumns({"n": n, "i": i}).where("i <= 0.9 * n"))
-    new = models.fit_volatility(returns)
-    beside = new.select("ticker", "mu", "omega", "alpha", "beta", "nu", (F.col("alpha") + F.col("beta")).alias("persistence"))
-    return beside.join(models.same_parameters(old, new), "ticker")
+    root = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    fits = {"regimes": lambda: models.fit_regimes(rows, (3,)), "volatility": lambda: models.fit_volatility(returns)}
+    same, versions = {}, {}
+    for name, fit in fits.items():
+        models.publish(fit(), f"{root}/{name}")
+        versions[name] = models.publish(fit(), f"{root}/{name}")
+    old, new = ({n: models.published(spark, f"{root}/{n}", versions[n] - k) for n in fits} for k in (1, 0))
+    same["volatility"] = models.same_parameters(old["volatility"], new["volatility"]).withColumnRenamed("same", "same_volatility")
+    left, right = (t["regimes"].select("ticker", "seed", *[F.col(c).alias(f"{c}_{x}") for c in ("loglik", "trans")]) for t, x in ((old, "old"), (new, "new")))
+    close = F.forall(F.arrays_zip("trans_old", "trans_new"), lambda x: F.abs(x["trans_old"] - x["trans_new"]) < 1e-6) & (F.abs(F.col("loglik_old") - F.col("loglik_new")) < 1e-6)
+    same["regimes"] = left.join(right, ["ticker", "seed"]).select("ticker", close.alias("same_regimes"))
+    stay = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.element_at("trans", i * 4 + 1))
+    table = new["regimes"].select("ticker", "n", "seed", "loglik", stay.alias("stay")).join(new["volatility"].select("ticker", "omega", "alpha", "beta", "nu", (F.col("alpha") + F.col("beta")).alias("persistence")), "ticker")
+    out = table.join(same["volatility"], "ticker").join(same["regimes"], "ticker", "left")
+    return out.withColumns({"same_regimes": F.coalesce("same_regimes", F.lit(False)), "version": F.lit(versions["regimes"]), "backup": F.lit(versions["regimes"] - 1)})
 
 
 @query()
