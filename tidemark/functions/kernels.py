@@ -146,9 +146,9 @@ def spread_means(z: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.ndarr
     return means
 
 
-def hmm_fits(x: np.ndarray, k: int, seeds: list[int], rounds: int = 1000, tolerance: float = 1e-2, spread_out: bool = True) -> list[dict]:
+def hmm_fits(x: np.ndarray, k: int, seeds: list[int], rounds: int = 1000, tolerance: float = 1e-2, spread_out: bool = False) -> list[dict]:
     """Gaussian hidden Markov models by EM on standardised columns, one a start, all starts at once; starts that fail are
-    left out. Means start from k-means, or from rows drawn at random. States are ordered by the mean of the second raw column
+    left out. Means start from rows drawn at random, or (spread_out) from k-means. States are ordered by the mean of the second raw column
     under Viterbi labels."""
     centre, spread = x.mean(axis=0), x.std(axis=0)
     spread = np.where(spread > 0, spread, 1.0)

@@ -35,25 +35,25 @@ def model_of(row) -> dict:
     return {c: np.array(row[c], dtype=float).reshape(s) for c, s in shapes.items()}
 
 
-def regime_starts(inputs: DataFrame, ks: tuple[int, ...] = (2, 3), seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+def regime_starts(inputs: DataFrame, ks: tuple[int, ...] = (2, 3), seeds: tuple[int, ...] = SEEDS, spread_out: bool = False) -> DataFrame:
     """ticker, k, seed, loglik, ...: the model of every start that succeeds. inputs: ticker, date, r, rv, without nulls; states are
-    ordered by the mean of rv."""
+    ordered by the mean of rv. spread_out: means start from k-means instead of random rows."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         x, k = rows.sort_values("date", kind="stable")[["r", "rv"]].to_numpy(dtype=float), int(rows["k"].iloc[0])
         if len(x) <= 2 * k:
             return pd.DataFrame(columns=[c.split()[0] for c in REGIME.split(", ")])
-        return pd.DataFrame([_row(rows["ticker"].iloc[0], k, len(x), m) for m in kernels.hmm_fits(x, k, list(seeds))], columns=[c.split()[0] for c in REGIME.split(", ")])
+        return pd.DataFrame([_row(rows["ticker"].iloc[0], k, len(x), m) for m in kernels.hmm_fits(x, k, list(seeds), spread_out=spread_out)], columns=[c.split()[0] for c in REGIME.split(", ")])
 
     each = inputs.select("ticker", "date", "r", "rv", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     return spread(each, "ticker", "k").groupBy("ticker", "k").applyInPandas(fit, REGIME)
 
 
-def fit_regimes(inputs: DataFrame, ks: tuple[int, ...] = (2, 3), seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+def fit_regimes(inputs: DataFrame, ks: tuple[int, ...] = (2, 3), seeds: tuple[int, ...] = SEEDS, spread_out: bool = False) -> DataFrame:
     """The most likely of the starts of each ticker and number of states, the first among equals."""
     names = [c.split()[0] for c in REGIME.split(", ")]
     best = F.max_by(F.struct(*names), F.struct("loglik", -F.col("seed")))
-    return regime_starts(inputs, ks, seeds).groupBy("ticker", "k").agg(best.alias("m")).select("m.*")
+    return regime_starts(inputs, ks, seeds, spread_out).groupBy("ticker", "k").agg(best.alias("m")).select("m.*")
 
 
 def apply_regimes(inputs: DataFrame, models: DataFrame, *keep: str) -> DataFrame:
