@@ -80,6 +80,17 @@ def hmm_smooth(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.nda
     return out
 
 
+def viterbi_ends(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The state that the likeliest path over the rows so far ends in, for each row: later rows have no say."""
+    with np.errstate(divide="ignore"):
+        move, best = np.log(trans), np.log(start)
+    out = np.empty(len(dens), dtype=int)
+    for t, d in enumerate(dens):
+        best = d + (best if t == 0 else (best[:, None] + move).max(axis=0))
+        out[t] = int(np.argmax(best))
+    return out
+
+
 def viterbi(dens: np.ndarray, start: np.ndarray, trans: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         move, best = np.log(trans), np.log(start)

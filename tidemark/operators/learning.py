@@ -64,15 +64,24 @@ def fold_predictions(rows: DataFrame, folds: DataFrame, features: list[str], key
 
 def out_of_fold_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "boosted") -> DataFrame:
     """key, row_pos, p: the mean prediction over the folds that test a row."""
-    return fold_predictions(rows, folds, features, key, (kind,)).groupBy(key, "row_pos").agg(F.avg("p").alias("p"))
+    return out_of_fold(fold_predictions(rows, folds, features, key, (kind,)), key)
+
+
+def out_of_fold(got: DataFrame, key: str) -> DataFrame:
+    """out_of_fold_by() from fold_predictions() rows of one kind."""
+    return got.groupBy(key, "row_pos").agg(F.avg("p").alias("p"))
 
 
 def importance_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, kind: str = "boosted") -> DataFrame:
     """key, feature, shap, shift, place: mean size of a feature's share of the log odds of the out-of-fold predictions, pooled over
     folds, largest first, and mean move of the prediction when its values are dealt anew."""
+    return importance(fold_predictions(rows, folds, features, key, (kind,), True), features, key)
+
+
+def importance(got: DataFrame, features: list[str], key: str) -> DataFrame:
+    """importance_by() from fold_predictions() rows of one kind that have shap and shift."""
     from pyspark.sql import Window as W
 
-    got = fold_predictions(rows, folds, features, key, (kind,), True)
     long = got.select(key, F.posexplode(F.arrays_zip("shap", "shift")).alias("i", "v"))
     names = F.array(*map(F.lit, features))
     out = long.groupBy(key, "i").agg(F.avg(F.abs("v.shap")).alias("shap"), F.avg("v.shift").alias("shift")).select(key, F.element_at(names, F.col("i") + 1).alias("feature"), "shap", "shift")
@@ -98,6 +107,13 @@ def leaderboard_by(rows: DataFrame, folds: DataFrame, features: list[str], key:
     return board_of(fold_predictions(rows, folds, features, key, tuple(CANDIDATES)), key)
 
 
+def fold_losses(got: DataFrame, *key: str) -> DataFrame:
+    """key, folds, median_loss, mean_loss, most_loss: the log loss of each fold of fold_predictions() rows, over the folds."""
+    q = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
+    each = got.groupBy(*key, "fold_id").agg(F.avg(-F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q))).alias("loss"))
+    return each.groupBy(*key).agg(F.count("*").alias("folds"), F.median("loss").alias("median_loss"), F.avg("loss").alias("mean_loss"), F.max("loss").alias("most_loss"))
+
+
 def search_by(rows: DataFrame, folds: DataFrame, features: list[str], key: str, budget: int = 40, kinds: tuple[str, ...] = tuple(GRID)) -> DataFrame:
     """board_of() the grid's candidates by successive halving, with `rung`, the last round that a candidate took part in, and `fits`, the
     fits of a key so far. In each round the candidates that are left are fitted on the next fold and judged on all folds so far; the

@@ -70,6 +70,11 @@ def regimes(inputs: DataFrame, model: dict = HMM) -> DataFrame:
     return per_ticker(inputs, "calm double, stress double, crisis double, smooth_calm double, smooth_stress double, smooth_crisis double, state long", step)
 
 
+def decoded_so_far(inputs: DataFrame, model: dict = HMM) -> DataFrame:
+    """inputs (ticker, date, r, rv) with the state that the likeliest path up to each row ends in."""
+    return per_ticker(inputs, "state long", lambda d: {"state": kernels.viterbi_ends(_densities(d, model), model["start"], model["trans"])})
+
+
 def regime_filter(inputs: DataFrame, model: dict = HMM) -> DataFrame:
     """inputs (ticker, date, r, rv) with the filtered probabilities alone: P(state | rows so far)."""
 

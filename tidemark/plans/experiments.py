@@ -19,7 +19,7 @@ from tidemark.operators import backtest, folds, inference, learning, macro, mode
 from tidemark.operators.selection import percentiles
 from tidemark.plans.registry import DET_SQL, MODES, ONE, ROLL, STRATEGIES, WIN, R, detected, labelled, matthews, query, r6, ran, rets
 from tidemark.sources import bridge
-from tidemark.sources.scratch import shared_folder, written
+from tidemark.sources.scratch import once, shared_folder, written
 
 CALIBRATION_END = "1999-12-31"
 TAU = 0.5
@@ -29,6 +29,11 @@ PERSONA_FEATURES = [f"{n}_{part}" for n in bridge.PERSONAS for part in ("sign",
 MARKET_FEATURES = ["ram_score", "psa_score", "gso_score", "calm_prob", "stress_prob", "crisis_prob", "garch_sigma"]
 
 
+def kept(spark, d, name: str, make) -> DataFrame:
+    """make()'s table, shared by the queries of an application over the same orders."""
+    return once(spark, name, f"{d}/orders.parquet", make)
+
+
 def features(spark, d) -> DataFrame:
     """ticker, date, close, r, rv (annualised deviation of 21 returns) and r_next on the market's calendar."""
     df = bridge.bars(spark, d).select("ticker", "date", "close", log_return(F.col("close")).alias("r"))
@@ -175,9 +180,11 @@ def f14_persona_features(spark, d):
 
 def market(spark, d) -> DataFrame:
     """ticker, date, r, r_next, sigma, calm, stress, crisis where both recursions have a value, by fixed parameters."""
-    rows = features(spark, d)
-    states = recursions.market(rows.select("ticker", "date", "r", "rv", "r_next"))
-    return states.where("sigma is not null and calm is not null").select("ticker", "date", "r", "r_next", "sigma", "calm", "stress", "crisis")
+    def make() -> DataFrame:
+        states = recursions.market(features(spark, d).select("ticker", "date", "r", "rv", "r_next"))
+        return states.where("sigma is not null and calm is not null").select("ticker", "date", "r", "r_next", "sigma", "calm", "stress", "crisis")
+
+    return kept(spark, d, "market", make)
 
 
 @query(f", {FEATURES_SQL} SELECT ticker, date, {R('sigma')} AS sigma, {R('calm')} AS calm, {R('stress')} AS stress, {R('crisis')} AS crisis, {R('1.645::DOUBLE * sigma / sqrt(252)')} AS var_95 FROM ms")
@@ -203,19 +210,20 @@ def cuts_of(states: DataFrame) -> DataFrame:
     return cuts.withColumns({f"ram_{c}": F.lit(v) for c, v in zip(("low", "medium", "high"), supervision.gate_cuts(TAU), strict=True)})
 
 
+def cuts(spark, d) -> DataFrame:
+    return kept(spark, d, "cuts", lambda: cuts_of(market(spark, d)))
+
+
 def scored(spark, d) -> DataFrame:
     """Decisions on days with a market state, with that state, the label and the score of the sizing check."""
-    states = market(spark, d)
-    days = bridge.decisions(spark, d).join(states, ["ticker", "date"])
-    return recursions.sizing_anomaly(days)
+    return kept(spark, d, "scored", lambda: recursions.sizing_anomaly(bridge.decisions(spark, d).join(market(spark, d), ["ticker", "date"])))
 
 
 def supervised(spark, d, mode: str = "override", **options) -> DataFrame:
     """The daily table: decisions, states, checks by calibrated cuts, and what the supervisor makes of them."""
-    rows = scored(spark, d)
-    rows = rows.join(cuts_of(market(spark, d)), "ticker")
-    cuts = {x: supervision.cut_columns(x) for x in ("ram", "psa", "gso")}
-    return supervision.supervise(rows, mode, cuts=cuts, **({"variant": "C"} | options))
+    rows = scored(spark, d).join(cuts(spark, d), "ticker")
+    columns = {x: supervision.cut_columns(x) for x in ("ram", "psa", "gso")}
+    return supervision.supervise(rows, mode, cuts=columns, **({"variant": "C"} | options))
 
 
 BEST_SQL = f"""os AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, CASE WHEN calm >= crisis THEN 1 ELSE -1 END * least(1, 0.10::DOUBLE / sigma) AS x FROM ms WHERE date <= DATE '{CALIBRATION_END}'),
@@ -356,6 +364,10 @@ def t5_diebold_mariano(spark, d):
 
 def meta_rows(spark, d) -> DataFrame:
     """The meta-learner's 22 features, label and row number of each labelled day of a ticker."""
+    return kept(spark, d, "meta_rows", lambda: _meta_rows(spark, d))
+
+
+def _meta_rows(spark, d) -> DataFrame:
     people = f14_persona_features(spark, d)
     rows = supervised(spark, d).where(VALID).select("ticker", "date", "r", "r_next", "final_size", *[F.col(a).alias(b) for a, b in zip(("ram", "psa", "gso", "calm", "stress", "crisis", "sigma"), MARKET_FEATURES, strict=True)])
     rows = rows.join(people, ["ticker", "date"])
@@ -366,19 +378,26 @@ def purged(rows: DataFrame) -> DataFrame:
     return folds.purged_by(rows.select("ticker", "row_pos", F.col("date").alias("t0"), "t1"), "ticker")
 
 
+INPUTS = PERSONA_FEATURES + MARKET_FEATURES
+
+
+def predictions(spark, d) -> DataFrame:
+    """The meta-learner's predictions for the tested rows of each purged fold, with Shapley values: fitted once for all queries."""
+    rows = meta_rows(spark, d)
+    return kept(spark, d, "predictions", lambda: learning.fold_predictions(rows, purged(rows), INPUTS, "ticker", importance=True))
+
+
 @query()
 def v6_meta_learner(spark, d):
     """Out-of-fold probabilities of each ticker's next direction, and the position that they give."""
-    rows = meta_rows(spark, d)
-    got = learning.out_of_fold_by(rows, purged(rows), PERSONA_FEATURES + MARKET_FEATURES, "ticker")
+    got = learning.out_of_fold(predictions(spark, d), "ticker")
     return got.select("ticker", "row_pos", "p", F.signum(F.col("p") - 0.5).alias("position"), (2 * F.col("p") - 1).alias("graded"))
 
 
 @query()
 def v7_f16_importance(spark, d):
     """Mean size of each feature's Shapley value over the out-of-fold rows, how far it moves their predictions, and what kind it is."""
-    rows = meta_rows(spark, d)
-    got = learning.importance_by(rows, purged(rows), PERSONA_FEATURES + MARKET_FEATURES, "ticker")
+    got = learning.importance(predictions(spark, d), INPUTS, "ticker")
     return got.withColumn("family", text.family(F.col("feature")))
 
 
@@ -386,10 +405,10 @@ def v7_f16_importance(spark, d):
 def v4_leaderboard(spark, d):
     """Candidates by the area under the curve over out-of-fold rows: five stretches with an embargo, five folds dealt without regard to
     time, which leak, and how far a candidate's area is from that of the stretches."""
-    rows = written(meta_rows(spark, d))
+    rows = meta_rows(spark, d)
     out = None
     for name, dealt in (("purged", folds.contiguous(rows.select("ticker", "date"), "ticker", "date", 5, 5)), ("shuffled", folds.shuffled(rows.select("ticker", "date"), "ticker", "date", 5))):
-        board = learning.leaderboard_by(rows, folds.roles(dealt, "ticker", 5), PERSONA_FEATURES + MARKET_FEATURES, "ticker").select(F.lit(name).alias("folds"), "*")
+        board = learning.leaderboard_by(rows, folds.roles(dealt, "ticker", 5), INPUTS, "ticker").select(F.lit(name).alias("folds"), "*")
         out = board if out is None else out.unionByName(board)
     ground = F.max(F.when(F.col("folds") == "purged", F.col("auc"))).over(W.partitionBy("ticker", "kind"))
     return out.withColumn("bias", F.col("auc") - ground)
@@ -398,9 +417,9 @@ def v4_leaderboard(spark, d):
 @query()
 def v4_search(spark, d):
     """Each ticker's best of a grid of candidates by successive halving over purged stretches, forty fits at most."""
-    rows = written(meta_rows(spark, d))
+    rows = meta_rows(spark, d)
     cut = folds.roles(folds.contiguous(rows.select("ticker", "date"), "ticker", "date", 5, 5), "ticker", 5)
-    return learning.search_by(rows, cut, PERSONA_FEATURES + MARKET_FEATURES, "ticker")
+    return learning.search_by(rows, cut, INPUTS, "ticker")
 
 
 def performance(rows: DataFrame, *keys: str) -> DataFrame:
@@ -418,10 +437,9 @@ def performance(rows: DataFrame, *keys: str) -> DataFrame:
 @query()
 def v8_agent_only(spark, d):
     """The meta-learner with all features and with the agent's own alone: Sharpe and log loss."""
-    rows = meta_rows(spark, d)
-    cut, out = purged(rows), None
-    for name, kept in (("all", PERSONA_FEATURES + MARKET_FEATURES), ("agent", PERSONA_FEATURES)):
-        one = learning.fold_predictions(rows, cut, kept, "ticker").groupBy("ticker", "row_pos").agg(F.avg("p").alias("p"), F.first("y").alias("y")).withColumn("inputs", F.lit(name))
+    rows, out = meta_rows(spark, d), None
+    for name, got in (("all", predictions(spark, d)), ("agent", learning.fold_predictions(rows, purged(rows), PERSONA_FEATURES, "ticker"))):
+        one = got.groupBy("ticker", "row_pos").agg(F.avg("p").alias("p"), F.first("y").alias("y")).withColumn("inputs", F.lit(name))
         out = one if out is None else out.unionByName(one)
     q = F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
     out = out.withColumns({"w": F.signum(F.col("p") - 0.5), "loss": -F.when(F.col("y") == 1, F.log(q)).otherwise(F.log(1 - q))})
@@ -478,7 +496,7 @@ def sweep(spark, d) -> DataFrame:
     psa = sizing_scores(states).groupBy("ticker").agg(F.percentile("psa", F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("psa_p"))
     all_in = F.round(supervision.gso_score(F.lit(1.0), supervision.gso_bound(F.col("sigma"))), 9)
     gso = calibration(states).groupBy("ticker").agg(F.percentile(all_in, F.array(*[F.lit(p / 100) for p in PERCENTS])).alias("gso_p"), F.max(all_in).alias("gso_max"))
-    df = rows.join(cuts_of(states), "ticker").join(psa, "ticker", "left").join(gso, "ticker", "left")
+    df = rows.join(cuts(spark, d), "ticker").join(psa, "ticker", "left").join(gso, "ticker", "left")
     points = [F.struct(F.lit("base").alias("moved"), F.lit(0).alias("percent"))] + [F.struct(F.lit(x).alias("moved"), F.lit(p).alias("percent")) for x in ("psa", "gso") for p in PERCENTS]
     df = df.select("*", F.explode(F.array(*points)).alias("g")).select("*", "g.*").drop("g")
     place = F.array_position(F.array(*map(F.lit, PERCENTS)), F.col("percent")).cast("int")
@@ -524,18 +542,32 @@ def q3_t12_threshold_sensitivity(spark, d):
     return out.withColumn("most_gain", F.max(F.abs("base_gain")).over(W.partitionBy("ticker")))
 
 
-def by_states(spark, d, ks: tuple[int, ...] = (2, 3), seeds: tuple[int, ...] = models.SEEDS, fitted: DataFrame | None = None, *keep: str, tau: float | None = None) -> DataFrame:
+KS = (2, 3, 4)
+
+
+def fitted_regimes(spark, d, ks: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Regime models of the calibration days with the common starts, fitted once for all queries."""
+    table = kept(spark, d, "regime_models", lambda: models.fit_regimes(calibration(inputs(spark, d)), KS))
+    return table.where(F.col("k").isin(*ks))
+
+
+def ruled(spark, d, ks: tuple[int, ...], tau: float | None = None) -> DataFrame:
+    """by_states() under the fitted models, supervised once for all queries."""
+    return kept(spark, d, f"by_states {tau}", lambda: by_states(spark, d, KS, tau=tau)).where(F.col("k").isin(*ks))
+
+
+def by_states(spark, d, ks: tuple[int, ...] = (2, 3), fitted: DataFrame | None = None, *keep: str, tau: float | None = None) -> DataFrame:
     """Test days supervised under fitted models, one set for each number of states (and keep): override C, regime gate by isotonic
     calibration or tau, other cuts calibrated. Columns: ticker, k, keep, date, r, r_next, size, final_size, was_intervened, tau, ..."""
-    rows, train = inputs(spark, d), calibration(inputs(spark, d))
-    fitted = models.fit_regimes(train, ks, seeds) if fitted is None else fitted
+    rows = inputs(spark, d)
+    fitted = fitted_regimes(spark, d, ks) if fitted is None else fitted
     gamma = models.apply_regimes(rows, fitted, *keep).join(rows.select("ticker", "date", "r", "r_next"), ["ticker", "date"])
     returns = features(spark, d).where("r is not null")
-    sigma = models.apply_volatility(returns.where(F.col("date") > CALIBRATION_END), models.fit_volatility(calibration(returns)))
+    sigma = models.apply_volatility(returns.where(F.col("date") > CALIBRATION_END), kept(spark, d, "volatility_models", lambda: models.fit_volatility(calibration(returns))))
     days = recursions.sizing_anomaly(bridge.decisions(spark, d).join(sigma, ["ticker", "date"]))
-    cuts = cuts_of(market(spark, d)).drop("ram_low", "ram_medium", "ram_high")
+    limits = cuts(spark, d).drop("ram_low", "ram_medium", "ram_high")
     gates = models.calibrate_gates(calibration(gamma), "ticker", "k", *keep) if tau is None else gamma.select("ticker", "k", *keep).distinct().withColumn("tau", F.lit(tau))
-    full = days.join(gamma, ["ticker", "date"]).join(cuts, "ticker").join(gates, ["ticker", "k", *keep])
+    full = days.join(gamma, ["ticker", "date"]).join(limits, "ticker").join(gates, ["ticker", "k", *keep])
     chosen = {"ram": supervision.gate_cuts(F.col("tau"))} | {x: supervision.cut_columns(x) for x in ("psa", "gso")}
     return supervision.supervise(full, "override", "C", cuts=chosen)
 
@@ -561,7 +593,7 @@ def against(rows: DataFrame, left: DataFrame, right: DataFrame, *keys: str) -> D
 @query()
 def st4_st8_models(spark, d):
     """Fitted regime models of two and three states: start, transitions, means, covariances, scaling, state order applied."""
-    return models.fit_regimes(calibration(inputs(spark, d)))
+    return fitted_regimes(spark, d)
 
 
 @query()
@@ -572,7 +604,7 @@ def st3_volatility_models(spark, d):
 @query()
 def q4_two_or_three_states(spark, d):
     """Each ticker under two and three states side by side."""
-    rows = by_states(spark, d).withColumn("w", F.col("final_size"))
+    rows = ruled(spark, d, (2, 3)).withColumn("w", F.col("final_size"))
     three, two = (rows.where(F.col("k") == k).drop("k") for k in (3, 2))
     result = outcome(rows, "k").withColumn("k", F.concat(F.lit("k"), F.col("k").cast("string")))
     wide = result.groupBy("ticker").pivot("k", ["k2", "k3"]).agg(F.first("sharpe").alias("sharpe"), F.first("accuracy").alias("accuracy"), F.first("touched").alias("touched"), F.first("tau").alias("tau"))
@@ -588,16 +620,12 @@ def ex_ante(rows: DataFrame, *keys: str) -> DataFrame:
     return fine.groupBy("ticker", *keys).agg(F.avg(F.when(fired, right)).alias("at_gate"), F.avg(fired.cast("double")).alias("fire_share"))
 
 
-KS = (2, 3, 4)
-
-
 def _states_per_ticker(spark, d) -> tuple[DataFrame, DataFrame]:
     """Figures of each ticker and number of states with the chosen and the later best one; net returns by ticker, k and day."""
     rows = inputs(spark, d)
-    fitted = written(models.fit_regimes(calibration(rows), KS))
-    gamma = calibration(models.apply_regimes(rows, fitted).join(rows.select("ticker", "date", "r_next"), ["ticker", "date"]))
+    gamma = calibration(models.apply_regimes(rows, fitted_regimes(spark, d, KS)).join(rows.select("ticker", "date", "r_next"), ["ticker", "date"]))
     before = ex_ante(gamma.join(models.calibrate_gates(gamma, "ticker", "k"), ["ticker", "k"]), "k")
-    later = written(by_states(spark, d, fitted=fitted))
+    later = ruled(spark, d, KS)
     after = outcome(later, "k").select("ticker", "k", "sharpe", "accuracy", "touched", "tau")
     both = before.join(after, ["ticker", "k"])
     chosen = models.best_k(both, "at_gate", share="fire_share").withColumnRenamed("k", "chosen")
@@ -644,7 +672,7 @@ def stacked(left: DataFrame, right: DataFrame) -> DataFrame:
 def c7_q7_heldout(spark, d):
     """Held-out log-likelihood, information criteria and the plateau: the number of states past which less than 0.001 a row is gained."""
     rows = calibration(inputs(spark, d))
-    out = models.heldout_loglik(rows).join(models.criteria(models.fit_regimes(rows)).drop("loglik"), ["ticker", "k"])
+    out = models.heldout_loglik(rows).join(models.criteria(fitted_regimes(spark, d)).drop("loglik"), ["ticker", "k"])
     two = F.max(F.when(F.col("k") == 2, F.col("loglik"))).over(W.partitionBy("ticker"))
     three = F.max(F.when(F.col("k") == 3, F.col("loglik"))).over(W.partitionBy("ticker"))
     return out.withColumn("plateau", F.when(three - two > 0.001, 3).otherwise(2)).withColumn("best", F.when(three > two, 3).otherwise(2))
@@ -654,7 +682,7 @@ def c7_q7_heldout(spark, d):
 def m17_durations(spark, d):
     """Occupancy of the Viterbi states on calibration days, expected duration, mean and deviation of returns."""
     rows = calibration(inputs(spark, d))
-    fitted = models.fit_regimes(rows)
+    fitted = fitted_regimes(spark, d)
     seen = models.apply_regimes(rows, fitted).join(rows.select("ticker", "date", "r"), ["ticker", "date"])
     table = seen.groupBy("ticker", "k", "state").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
     table = table.withColumn("occupancy", F.col("n") / F.sum("n").over(W.partitionBy("ticker", "k")))
@@ -681,7 +709,7 @@ def c8_q8_directional(spark, d):
 def q6_directional_later(spark, d):
     """The directional choice of calibration days, held against test days."""
     chosen = c8_q8_directional(spark, d).select("ticker", "chosen")
-    after = outcome(by_states(spark, d, tau=TAU), "k").select("ticker", "k", "sharpe", "accuracy", "touched")
+    after = outcome(ruled(spark, d, (2, 3), TAU), "k").select("ticker", "k", "sharpe", "accuracy", "touched")
     side = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for k in (2, 3) for c in ("sharpe", "accuracy", "touched")]
     out = after.groupBy("ticker").agg(*side).join(chosen, "ticker")
     best = F.when(F.col("sharpe_3") > F.col("sharpe_2"), 3).otherwise(2)
@@ -694,6 +722,10 @@ BASE_SEEDS = (42, *range(19))
 @query()
 def q9_seed_stability(spark, d):
     """The result under each of twenty base seeds, a base seed standing for the best of ten starts from it on. Each start is fitted once."""
+    return kept(spark, d, "seeds", lambda: _seeds(spark, d))
+
+
+def _seeds(spark, d) -> DataFrame:
     rows = calibration(inputs(spark, d))
     every = tuple(sorted({s + i for s in BASE_SEEDS for i in range(10)}))
     starts = models.regime_starts(rows, (3,), every)
@@ -701,7 +733,7 @@ def q9_seed_stability(spark, d):
     names = starts.columns
     mine = starts.select("*", base).where("seed >= base and seed < base + 10")
     fitted = mine.groupBy("ticker", "k", "base").agg(F.max_by(F.struct(*names), F.struct("loglik", -F.col("seed"))).alias("m")).select("base", "m.*")
-    got = by_states(spark, d, (3,), models.SEEDS, fitted, "base").withColumn("w", F.col("final_size"))
+    got = by_states(spark, d, (3,), fitted, "base").withColumn("w", F.col("final_size"))
     result = outcome(got, "base").select("ticker", "base", "tau", "sharpe", "accuracy", "touched")
     agent = got.withColumn("w", F.col("size"))
     return result.join(against(got, agent, got, "base").select("ticker", "base", "b", "c", "mcnemar_p"), ["ticker", "base"])
@@ -716,21 +748,32 @@ def q9_seed_dispersion(spark, d):
     return each.groupBy("ticker").agg(F.count("*").alias("seeds"), *span, *shares, F.avg((F.col("sharpe") > 0).cast("double")).alias("positive"))
 
 
-def learned(spark, d, ks: tuple[int, ...]) -> DataFrame:
-    """Test days under fitted models with the meta-learner's out-of-fold position beside the rule's: ticker, k, date, w10, w8, w5, ..."""
-    rows = by_states(spark, d, ks, tau=TAU).where(VALID).join(f14_persona_features(spark, d), ["ticker", "date"])
-    rows = rows.select("ticker", "k", "date", "r", "r_next", "size", "final_size", *PERSONA_FEATURES, *[F.col(a).alias(b) for a, b in zip(("ram", "psa", "gso", "calm", "stress", "crisis", "sigma"), MARKET_FEATURES, strict=True)])
-    order = W.partitionBy("key").orderBy("date")
-    rows = rows.withColumn("key", F.concat_ws("|", "ticker", "k")).withColumns({"row_pos": (F.row_number().over(order) - 1).cast("long"), "label": (F.col("r_next") > 0).cast("double"), "t1": F.coalesce(F.lead("date").over(order), "date")})
-    cut = folds.purged_by(rows.select("key", "row_pos", F.col("date").alias("t0"), "t1"), "key")
-    got = learning.out_of_fold_by(rows, cut, PERSONA_FEATURES + MARKET_FEATURES, "key")
-    return rows.join(got, ["key", "row_pos"]).withColumn("w10", F.signum(F.col("p") - 0.5))
+def learner_rows(spark, d, k: int) -> DataFrame:
+    """The meta-learner's rows of the test days under fitted models of k states: meta_rows() with the positions of rule and agent."""
+    def make() -> DataFrame:
+        rows = ruled(spark, d, (k,), TAU).where(VALID).join(f14_persona_features(spark, d), ["ticker", "date"])
+        rows = rows.select("ticker", "k", "date", "r", "r_next", "size", "final_size", *PERSONA_FEATURES, *[F.col(a).alias(b) for a, b in zip(("ram", "psa", "gso", "calm", "stress", "crisis", "sigma"), MARKET_FEATURES, strict=True)])
+        return rows.withColumns({"row_pos": (F.row_number().over(by()) - 1).cast("long"), "label": (F.col("r_next") > 0).cast("double"), "t1": F.coalesce(F.lead("date").over(by()), "date")})
+
+    return kept(spark, d, f"learner_rows {k}", make)
+
+
+def learner_predictions(spark, d, k: int, importance: bool = False) -> DataFrame:
+    """predictions() for learner_rows(); with Shapley values only where they are asked for, as those cost as much again."""
+    rows = learner_rows(spark, d, k)
+    return kept(spark, d, f"learner_predictions {k} {importance}", lambda: learning.fold_predictions(rows, purged(rows), INPUTS, "ticker", importance=importance))
+
+
+def learned(spark, d, k: int) -> DataFrame:
+    """Test days under fitted models with the meta-learner's out-of-fold position (w10) beside the rule's and the agent's."""
+    got = learning.out_of_fold(learner_predictions(spark, d, k, k == 2), "ticker")
+    return learner_rows(spark, d, k).join(got, ["ticker", "row_pos"]).withColumn("w10", F.signum(F.col("p") - 0.5))
 
 
 @query()
 def q10_meta_against_rule(spark, d):
     """Two states: the meta-learner against the rule and the agent, with equivalence within half a Sharpe unit."""
-    rows = learned(spark, d, (2,)).drop("k")
+    rows = learned(spark, d, 2).drop("k")
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(c).alias("w")) for n, c in (("learner", "w10"), ("rule", "final_size"), ("agent", "size"))])).alias("x")
     result = performance(rows.select("ticker", "date", "r", "r_next", parts).select("ticker", "date", "r", "r_next", "x.*"), "strategy")
     gap = rows.select("ticker", "date", (net(F.col("w10"), F.col("r")) - net(F.col("final_size"), F.col("r"))).alias("d"))
@@ -747,7 +790,7 @@ def q10_meta_against_rule(spark, d):
 @query()
 def q11_drift_dependence(spark, d):
     """Whether the learner's gain over the rule goes with the drift of the test days, for two and three states."""
-    rows = learned(spark, d, (2, 3))
+    rows = learned(spark, d, 2).unionByName(learned(spark, d, 3))
     of = lambda c, n: performance(rows.withColumn("w", F.col(c)), "k").select("ticker", "k", F.col("sharpe").alias(n))
     drift = features(spark, d).where(F.col("date") > CALIBRATION_END).groupBy("ticker").agg((F.avg("r") * 252).alias("drift"))
     out = of("w10", "learner").join(of("final_size", "rule"), ["ticker", "k"]).join(drift, "ticker").withColumn("gain", F.col("learner") - F.col("rule"))
@@ -824,9 +867,14 @@ def nine(spark, d) -> DataFrame:
 @query(f", {_NINE_SQL} SELECT strategy, ticker, count(net) AS n, {R('avg(net) / nullif(stddev_samp(net), 0) * sqrt(252)')} AS sharpe, {R('avg(net) / nullif(sqrt(avg(least(net, 0) ** 2)), 0) * sqrt(252)')} AS sortino, {DIGITS('min(dd)')} AS max_drawdown, {DIGITS('(CASE WHEN max_by(curve, date) > 0 THEN max_by(curve, date) END ** (252.0 / count(net)) - 1) / nullif(abs(min(dd)), 0)')} AS calmar, {R('sum(net)')} AS total, {R('stddev_samp(net) * sqrt(252)')} AS volatility, {R('avg(CASE WHEN net > 0 THEN 1.0::DOUBLE WHEN net IS NOT NULL THEN 0 END)')} AS hit_rate, {R('avg(CASE WHEN r_next <> 0 THEN CASE WHEN sign(w) = sign(r_next) THEN 1.0::DOUBLE ELSE 0 END END)')} AS accuracy, {R('avg(turned)')} AS turnover FROM ld GROUP BY strategy, ticker")
 def i9_x6_nine_strategies(spark, d):
     """The table of nine strategies and ten figures."""
+    return figures(nine(spark, d))
+
+
+def figures(rows: DataFrame) -> DataFrame:
+    """Ten figures of each strategy and ticker of rows (strategy, ticker, date, r_next, w, net)."""
     order = W.partitionBy("strategy", "ticker").orderBy("date")
     run = order.rowsBetween(W.unboundedPreceding, 0)
-    df = nine(spark, d).withColumns({"curve": F.product(1 + F.coalesce("net", F.lit(0.0))).over(run), "turned": F.abs(F.col("w") - F.lag("w").over(order))})
+    df = rows.withColumns({"curve": F.product(1 + F.coalesce("net", F.lit(0.0))).over(run), "turned": F.abs(F.col("w") - F.lag("w").over(order))})
     df = df.withColumn("dd", F.col("curve") / F.max("curve").over(run) - 1)
     x = F.col("net")
     out = df.groupBy("strategy", "ticker").agg(F.count(x).alias("n"), backtest.sharpe(x).alias("sharpe"), backtest.sortino(x).alias("sortino"), F.min("dd").alias("max_drawdown"), F.max_by("curve", "date").alias("final"), F.sum(x).alias("total"), (F.stddev_samp(x) * 252**0.5).alias("volatility"), F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))).alias("hit_rate"), F.avg(F.when(F.col("r_next") != 0, (F.signum("w") == F.signum("r_next")).cast("double"))).alias("accuracy"), F.avg("turned").alias("turnover"))
@@ -871,8 +919,7 @@ def q16_figure_tables(spark, d):
 @query()
 def m31_threshold_halves(spark, d):
     """Sharpe of the learner's position by its threshold in the first and second half of the days, and the rank correlation of the two orders."""
-    rows = meta_rows(spark, d)
-    got = learning.out_of_fold_by(rows, purged(rows), PERSONA_FEATURES + MARKET_FEATURES, "ticker").join(rows.select("ticker", "row_pos", "r_next"), ["ticker", "row_pos"])
+    got = learning.out_of_fold(predictions(spark, d), "ticker").join(meta_rows(spark, d).select("ticker", "row_pos", "r_next"), ["ticker", "row_pos"])
     cut = F.explode(F.array(*map(F.lit, (0.40, 0.45, 0.50, 0.55, 0.60)))).alias("cut")
     half = F.when(F.row_number().over(W.partitionBy("ticker").orderBy("row_pos")) <= F.floor(F.count("*").over(W.partitionBy("ticker")) / 2), 1).otherwise(2)
     pnl = got.withColumn("half", half).select("*", cut).withColumn("x", F.signum(F.col("p") - F.col("cut")) * F.col("r_next"))
