@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions.series import by, filled_forward
-from tidemark.operators import folds, inference, learning, recursions, supervision
+from tidemark.operators import folds, learning, recursions, supervision
 from tidemark.plans.experiments import (
     _NINE_SQL, CALIBRATION_END, FEATURES_SQL, FLAGS, INPUTS, NINE, PERSONA_FEATURES, VALID,
-    calibration, digits, features, figures, inputs, kept, learned, learner_predictions, learner_rows, market, meta_rows, net, nine, performance, points_sql, predictions, purged, supervised,
+    calibration, features, figures, inputs, kept, learned, learner_predictions, learner_rows, market, meta_rows, net, nine, performance, points_sql, predictions, purged, supervised,
 )
 from tidemark.plans.registry import DET_SQL, ONE, WIN, R, detected, matthews, query, r6
 from tidemark.sources import bridge
@@ -92,7 +92,8 @@ def boards(spark, d) -> DataFrame:
 
 
 def by_scheme(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("key", F.concat_ws("|", F.explode(F.array(F.lit("shuffled"), F.lit("purged"))), "ticker"))
+    """rows twice, once for each scheme, with key (scheme and ticker)."""
+    return rows.withColumn("scheme", F.explode(F.array(F.lit("shuffled"), F.lit("purged")))).withColumn("key", F.concat_ws("|", "scheme", "ticker")).drop("scheme")
 
 
 def _schemes(df: DataFrame) -> DataFrame:
@@ -277,8 +278,8 @@ def f21_statistics_text_with_state(spark, d):
 
 _SIGNALS = f"""s AS (SELECT ticker, date, row_number() {WIN} AS i, size AS x FROM dec), {points_sql('s')},
  g AS (SELECT ticker, date, i, size - lag(size) {WIN} AS x FROM (SELECT *, row_number() {WIN} AS i FROM dec)), gs AS (SELECT ticker, date, i - 1 AS i, x FROM g WHERE i > 1), {points_sql('gs', 'gb')},
- lv AS (SELECT s.ticker, s.date, s.i, b.cp, CAST(b.best AS BIGINT) AS best FROM s JOIN b USING (ticker, i)),
- dv AS (SELECT s.ticker, s.date, s.i, coalesce(gb.cp, 0) AS cp, CAST(coalesce(gb.best, 0) AS BIGINT) AS best FROM s LEFT JOIN gb ON gb.ticker = s.ticker AND gb.i = s.i - 1 AND gb.i > 0)"""
+ lv AS (SELECT s.ticker, s.date, s.i, round(b.cp, 9) AS cp, CAST(b.best AS BIGINT) AS best FROM s JOIN b USING (ticker, i)),
+ dv AS (SELECT s.ticker, s.date, s.i, round(coalesce(gb.cp, 0), 9) AS cp, CAST(coalesce(gb.best, 0) AS BIGINT) AS best FROM s LEFT JOIN gb ON gb.ticker = s.ticker AND gb.i = s.i - 1 AND gb.i > 0)"""
 
 
 @query(f", {_SIGNALS} SELECT ticker, date, 'cp_prob' AS signal, {R('CASE WHEN i >= 7 THEN cp ELSE 0 END')} AS psa, best AS map_run_length, i >= 7 AS psa_ready FROM lv UNION ALL SELECT ticker, date, 'cp_prob_delta', {R('CASE WHEN i >= 8 THEN cp ELSE 0 END')}, best, i >= 8 FROM dv UNION ALL SELECT ticker, date, 'map_runlength', {R('CASE WHEN i >= 7 THEN greatest(0, 5 - best) / 5.0::DOUBLE ELSE 0 END')}, best, i >= 7 FROM lv")
