@@ -56,7 +56,7 @@ URL_RULES = (
 
 @lru_cache(maxsize=1)
 def url_model() -> tuple[list[int], int]:
-    return url_filter.train(url_filter.labelled_urls())
+    return url_filter.train(url_filter.labelled_names())
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _op6_sql() -> str:
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in longest)
     grams = lambda c: (
         f"list_transform(range(1, length({c}) + 1), lambda i: (unicode(substr('^' || {c} || '$', i, 1)) * {131 * 131} + "
-        f"unicode(substr('^' || {c} || '$', i + 1, 1)) * 131 + unicode(substr('^' || {c} || '$', i + 2, 1))) % 1024)"
+        f"unicode(substr('^' || {c} || '$', i + 1, 1)) * 131 + unicode(substr('^' || {c} || '$', i + 2, 1))) % {url_filter.BUCKETS})"
     )
     return f"""
         WITH a AS (SELECT page_id, {part} AS rest FROM pages),
