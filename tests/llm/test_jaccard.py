@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import jaccard, queries
+from tidemark.llm.common import Scratch
 
 
 def word_sets(rows, n):
@@ -160,3 +161,34 @@ def test_tokens_above_the_noise_of_the_sketch_come_last():
     counts[1:31] = 450  # 2.5 times the root of the usual counter above it
     kept = jaccard.prefix(tokens, counts, 400.0, 60)[1]
     assert len(kept) == 41 and not set(kept.tolist()) & set(tokens[:30].tolist())
+
+
+def test_whole_sets_meet_only_of_pairs_whose_signatures_are_near(spark):
+    """Of two pairs with a common document one cannot be similar enough: its sets stay where they are. Repeated rows change nothing."""
+
+    class Kept(Scratch):
+        def table(self, df, partitions=None):
+            out = super().table(df, partitions)
+            counts.append((set(out.columns), out.count()))
+            return out
+
+    counts: list[tuple[set[str], int]] = []
+    base = [f"w{i}" for i in range(200)]
+    texts = [(1, base), (2, [*base, "x"]), (3, base[:100] + [f"y{i}" for i in range(100)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    nodes = jaccard.with_set_key(docs, 3).selectExpr("doc_id as node", "doc_id", "set_key")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    for rows in (docs, docs.union(docs.where("doc_id < 3"))):
+        counts.clear()
+        assert [tuple(r)[:2] for r in jaccard._verified(pairs, nodes, rows, 3, 90, Kept(spark)).collect()] == [(1, 2)]
+        assert [n for columns, n in counts if {"ka", "size_a"} <= columns] == [1]
+
+
+@pytest.mark.parametrize("size", [3, 500, 20_000])
+def test_signatures_never_tell_more_than_what_lacks(size):
+    rng = np.random.default_rng(size)
+    a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    b = np.unique(np.r_[a[: 4 * len(a) // 5], rng.integers(0, 2**63, size // 3).astype(np.uint64)])
+    bits = [np.unpackbits(jaccard.signature(x).view(np.uint8)) for x in (a, b)]
+    for i, (x, y) in enumerate(((a, b), (b, a))):
+        assert int((bits[i] & ~bits[1 - i] & 1).sum()) <= len(np.setdiff1d(x, y))

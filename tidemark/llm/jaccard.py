@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, connected_components, is_small, map_text, maybe_broadcast, slices, small_batches, use_table
+from tidemark.llm.common import BROADCAST_ROWS, Scratch, connected_components, is_small, map_text, maybe_broadcast, slices, small_batches, use_table
 
 #: Counters of the sketch (4 bytes each), and the blocks in which it is added up.
 SKETCH = 1 << 18
@@ -50,6 +50,8 @@ MAX_LEVEL = 8
 #: Cost of verifying one candidate, in postings scanned.
 VERIFY = 20.0
 KNOWN_WORDS = 250_000
+#: Words of 64 bits in a set's signature.
+SIGNATURE = 32
 
 
 class _Hashes(dict):
@@ -183,34 +185,59 @@ def with_set_key(docs: DataFrame, n: int) -> DataFrame:
     return map_text(docs, [F.col(f"`{c}`") for c in docs.columns], step, T.StructType([*docs.schema.fields, T.StructField("set_key", T.BinaryType())]), text=at)
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """SIGNATURE words of bits; each token sets one. A bit that only one of two sets has stands for a token at least that the
+    other set lacks."""
+    bits = np.zeros(64 * SIGNATURE, dtype=np.uint8)
+    bits[(tokens >> np.uint64(32)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """doc_id, set_key, tokens of the documents whose ids wanted (doc_id, set_key) names."""
+    """set_key, size, bits, tokens of the rows of docs whose ids wanted (doc_id) names."""
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if is_small(ids) else ids
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), n)
-        ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-        flat = np.concatenate([*sets, np.empty(0, dtype=np.uint64)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_keyed(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "set_key", "tokens"])
+        listed = lambda parts: pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)), pa.array(np.concatenate([*parts, np.empty(0, dtype=np.int64)]))
+        )
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(_keyed(sets), pa.binary()), sizes, listed([signature(s) for s in sets]), listed([s.view(np.int64) for s in sets])], names=["set_key", "size", "bits", "tokens"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_text(named.join(ids, "doc_id", "left_semi"), ["doc_id", "text"], step, "doc_id long, set_key binary, tokens array<long>")
+    return map_text(named.join(ids, "doc_id", "left_semi"), ["doc_id", "text"], step, "set_key binary, size long, bits array<long>, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """pairs (a, b) of whole sets, with linked: whether they are similar enough."""
+    """Those of pairs (a, b) whose whole sets are similar enough. Signatures meet first; whole sets only of pairs that they leave."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = scratch.table(nodes.select("node", "doc_id", "set_key").join(named, "node"))
-    found = _sets(docs, ids, n).join(ids, ["doc_id", "set_key"])
-    sets = scratch.table(found.groupBy("node").agg(F.first("tokens").alias("tokens")))  # rows of a node hold the same set
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    union = F.size("of_a") + F.size("of_b") - both
-    out = scratch.table(pairs.join(right, "b").join(left, "a").select("a", "b", (100 * both >= percent * union).alias("linked")))
-    scratch.drop(sets)
-    scratch.drop(ids)
+    sets = scratch.table(_sets(docs, ids, n))
+    if not sets.groupBy("set_key").count().where("count > 1").isEmpty():  # rows of one id and set
+        once = scratch.table(sets.groupBy("set_key").agg(*(F.first(c).alias(c) for c in ("size", "bits", "tokens"))))
+        scratch.drop(sets)
+        sets = once
+    keyed = pairs
+    for x in "ab":
+        keyed = keyed.join(ids.select(F.col("node").alias(x), F.col("set_key").alias(f"k{x}")), x)
+    similar = lambda both: f"100 * {both} >= {percent} * (size_a + size_b - {both})"
+
+    def met(those: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+        for x in "ba":
+            those = those.join(sets.select(F.col("set_key").alias(f"k{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns)), f"k{x}")
+        return those
+
+    lacks = "aggregate(zip_with(bits_{0}, bits_{1}, (x, y) -> bit_count(x & ~y)), 0, (s, c) -> s + c)"
+    most = f"least(size_a - {lacks.format('a', 'b')}, size_b - {lacks.format('b', 'a')})"
+    near = scratch.table(met(keyed, sets, "size", "bits").selectExpr("a", "b", "ka", "kb", "size_a", "size_b", f"{most} as most").where(similar("most")).drop("most"))
+    left = near.select(F.explode(F.array("ka", "kb")).alias("set_key")).distinct()
+    whole = sets.join(maybe_broadcast(left, BROADCAST_ROWS // 4), "set_key", "left_semi")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
+    out = scratch.table(met(near, whole, "tokens").select("a", "b", "size_a", "size_b", both.alias("common")).where(similar("common")).select("a", "b"))
+    for t in (sets, ids, near):
+        scratch.drop(t)
     return out
 
 
@@ -292,8 +319,9 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, percent:
     # The pivot of a token is the document with the fewest tokens of its own: of a group of near copies, a central one.
     pivots = shared.groupBy("tok").agg(F.min("y").alias("x"))
     star = _candidates(shared.join(pivots, "tok").where("x.doc <> y.doc"), percent)
-    tried = _verified(scratch.table(star), nodes, docs, n, percent, scratch)
-    component = connected_components(tried.where("linked").select("a", "b"), scratch)
+    tried = scratch.table(star)
+    found = _verified(tried, nodes, docs, n, percent, scratch)
+    component = connected_components(found, scratch)
     placed = scratch.table(
         shared.join(component, F.col("y.doc") == F.col("node"), "left").select("tok", "y", F.coalesce("component", "y.doc").alias("c"))
     )
@@ -309,7 +337,7 @@ def links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, n: int, percent:
     more = _verified(scratch.table(rest.join(known, ["a", "b"], "left_anti")), nodes, docs, n, percent, scratch)
     for t in (shared, placed, open_):
         scratch.drop(t)
-    return tried.where("linked").select("a", "b").union(more.where("linked").select("a", "b"))
+    return found.union(more)
 
 
 def grouped(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
